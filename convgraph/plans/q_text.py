@@ -1 +1,156 @@
-"""placeholder"""
+"""Registered queries: text cleaning, masking, annotation parsing, prompts."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from convgraph.functions import text as X
+from convgraph.plans import standins as S
+from convgraph.plans.registry import query
+
+# Python's \s class (Unicode whitespace) spelled out for RE2
+_PY_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ESC_SQL = "chr(160) || chr(157) || chr(182) || '\\' || chr(9) || chr(10) || chr(13) || chr(12)"
+
+_CLEAN_SQL = f"""
+regexp_replace(
+  strip_accents(
+    translate(
+      regexp_replace(
+        regexp_replace(
+          translate(
+            regexp_replace(regexp_replace(__C__, 'RT @[^:\\s]+:', '', 'g'), 'https?://\\S+', '', 'g'),
+            {_ESC_SQL}, '        '),
+          '{_PY_WS}+', ' ', 'g'),
+        '{_PY_WS}+$', ''),
+      '’‘“”', '''''""')),
+  '{X.NON_KEPT}', '', 'g')
+"""
+
+
+# ---------------------------------------------------------------- X1-X9
+@query("clean_text", f"SELECT doc_id, {_CLEAN_SQL.replace('__C__', 'text')} AS clean FROM documents")
+def clean_text(spark, sf):
+    d = S.table(spark, sf, "documents")
+    return d.select("doc_id", X.clean_text("text").alias("clean"))
+
+
+# ---------------------------------------------------------------- X13/X14
+@query("mask_mentions", """
+SELECT doc_id,
+       regexp_replace(regexp_replace(text, '@[\\pL\\pN_]+\\s?', '@user ', 'g'),
+                      '(@user\\s*){4,}', '@user @user ... @user ', 'g') AS masked
+FROM documents
+""")
+def mask_mentions(spark, sf):
+    d = S.table(spark, sf, "documents")
+    return d.select("doc_id", X.mask_mentions("text").alias("masked"))
+
+
+# ---------------------------------------------------------------- X16 + A28
+def _names_array():
+    return F.array_compact(F.array(*[F.when(F.col(l) == 1, F.lit(l)) for l in S.LABELS]))
+
+
+_NAMES_SQL = "list_filter([" + ", ".join(
+    f"CASE WHEN {l} = 1 THEN '{l}' END" for l in S.LABELS) + "], lambda x: x IS NOT NULL)"
+
+
+def annotations(spark, sf):
+    """Annotation-tool export stand-in: a bare label when one label is set,
+    else ``{"choices": [...]}``."""
+    lab = S.labelled(spark, sf).withColumn("_names", _names_array())
+    ann = F.when(F.size("_names") == 1, F.col("_names")[0]).otherwise(
+        F.to_json(F.struct(F.col("_names").alias("choices"))))
+    return lab.select("id", ann.alias("fallacy"))
+
+
+_ANN_SQL = f"""
+WITH lab AS ({S.LABELLED_SQL}),
+n AS (SELECT id, {_NAMES_SQL} AS names FROM lab),
+a AS (SELECT id, CASE WHEN len(names) = 1 THEN names[1]
+                      ELSE '{{"choices":' || CAST(to_json(names) AS VARCHAR) || '}}' END AS fallacy FROM n),
+p AS (SELECT id, CASE WHEN json_valid(fallacy) AND json_type(fallacy) = 'OBJECT'
+                      THEN CAST(json_extract_string(fallacy, '$.choices[*]') AS VARCHAR[])
+                      ELSE [fallacy] END AS choices FROM a)
+"""
+
+
+@query("parse_choices", _ANN_SQL + f"""
+SELECT id, CAST(len(choices) AS INTEGER) AS n_choices, array_to_string(choices, '|') AS choices,
+       {", ".join(f"CAST(list_contains(choices, '{l}') AS INTEGER) AS {l}" for l in S.LABELS)}
+FROM p
+""")
+def parse_choices(spark, sf):
+    a = annotations(spark, sf)
+    ch = a.select("id", X.annotation_choices("fallacy").alias("choices"))
+    return ch.select("id", F.size("choices").alias("n_choices"),
+                     F.array_join("choices", "|").alias("choices"),
+                     *[F.array_contains("choices", l).cast("int").alias(l) for l in S.LABELS])
+
+
+# ---------------------------------------------------------------- X17/X18/X19/X20
+# --- fixed values: prompt template and the readable class names -----------
+TEMPLATE = ("Given the text below, which of the following labels apply: {classes}? "
+            "More than one can apply. (If none of them apply, you can answer 'none of the above') "
+            "\nText: {main_tweet}")
+CLASS_NAMES = {"toxic": "toxic", "low_quality": "low quality", "exclaim": "exclamation",
+               "mention": "mention", "digits": "digits", "long_text": "long text"}
+# --------------------------------------------------------------------------
+_CLASSES = ", ".join(CLASS_NAMES.values())
+
+
+@query("prompt_target", f"""
+WITH lab AS ({S.LABELLED_SQL}),
+t AS (SELECT id, text,
+  list_filter([{", ".join(f"CASE WHEN {l} = 1 THEN '{n}' END" for l, n in CLASS_NAMES.items())}],
+              lambda x: x IS NOT NULL) AS picked,
+  [{", ".join(S.LABELS)}] AS bin
+  FROM lab)
+SELECT id,
+  replace(replace('{TEMPLATE.replace("'", "''")}', '{{classes}}', '{_CLASSES}'), '{{main_tweet}}', text) AS prompt,
+  CASE WHEN len(picked) > 0 THEN array_to_string(picked, ', ') ELSE 'none of the above' END AS target,
+  array_to_string(bin, ',') AS binary_target
+FROM t
+""")
+def prompt_target(spark, sf):
+    lab = S.labelled(spark, sf)
+    prompt = X.fill_template(TEMPLATE.replace("{classes}", _CLASSES), main_tweet="text")
+    target = X.target_text(list(CLASS_NAMES), list(CLASS_NAMES.values()))
+    return lab.select("id", prompt.alias("prompt"), target.alias("target"),
+                      F.array_join(X.binary_vector(S.LABELS).cast("array<string>"), ",").alias("binary_target"))
+
+
+@query("decode_target", f"""
+WITH lab AS ({S.LABELLED_SQL}),
+t AS (SELECT id, CASE WHEN len(picked) > 0 THEN array_to_string(picked, ', ') ELSE 'none of the above' END AS target
+      FROM (SELECT id, list_filter([{", ".join(f"CASE WHEN {l} = 1 THEN '{n}' END" for l, n in CLASS_NAMES.items())}],
+                                   lambda x: x IS NOT NULL) AS picked FROM lab)),
+b AS (SELECT id, [{", ".join(f"CAST(contains(lower(target), '{n}') AS INTEGER)" for n in list(CLASS_NAMES.values()) + ['none of the above'])}] AS bin FROM t)
+SELECT id, array_to_string(bin, ',') AS predicted_binary,
+       array_to_string(list_filter([{", ".join(f"CASE WHEN bin[{i + 1}] = 1 THEN '{l}' END" for i, l in enumerate(S.LABELS))}],
+                                   lambda x: x IS NOT NULL), '|') AS predicted_labels
+FROM b
+""")
+def decode_target(spark, sf):
+    """X19 + X20: text answer -> 0/1 vector by substring -> label names."""
+    lab = S.labelled(spark, sf)
+    target = X.target_text(list(CLASS_NAMES), list(CLASS_NAMES.values()))
+    vec = X.binary_from_text(target, list(CLASS_NAMES.values()) + ["none of the above"])
+    t = lab.select("id", vec.alias("bin"))
+    return t.select("id", F.array_join(F.col("bin").cast("array<string>"), ",").alias("predicted_binary"),
+                    F.array_join(X.labels_from_vector("bin", S.LABELS), "|").alias("predicted_labels"))
+
+
+# ---------------------------------------------------------------- X23 / P14
+@query("truncate_tokens", f"""
+WITH lab AS ({S.LABELLED_SQL}),
+t AS (SELECT id, list_filter(regexp_split_to_array(text, '{_PY_WS}+'), lambda x: x <> '') AS toks FROM lab)
+SELECT id, CAST(len(toks) AS INTEGER) AS n_tokens, len(toks) > 128 AS truncated,
+       array_to_string(toks[1:128], ' ') AS main_text
+FROM t
+""")
+def truncate_tokens(spark, sf):
+    lab = S.labelled(spark, sf)
+    txt, flag = X.truncate_tokens("text", 128)
+    return lab.select("id", X.word_count("text").alias("n_tokens"), flag.alias("truncated"),
+                      txt.alias("main_text"))
