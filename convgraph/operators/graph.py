@@ -287,36 +287,43 @@ def disconnect(edges: DataFrame, community: DataFrame, seed: int = 42) -> DataFr
     return bp.select(drop.alias("id")).distinct()
 
 
+def top_k_per_key(df: DataFrame, key: str, order: list[str], k: int, salt_col: str,
+                  salt_buckets: int = 16) -> DataFrame:
+    """The first ``k`` rows per ``key`` in ``order`` (W4), skew-safe: rank
+    inside (key, hash(salt_col) % buckets) groups first, keep k per group,
+    then rank the at most k * buckets survivors per key."""
+    salted = df.withColumn("_salt", F.abs(F.xxhash64(salt_col)) % salt_buckets)
+    w1 = Window.partitionBy(key, "_salt").orderBy(*order)
+    pre = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
+    w2 = Window.partitionBy(key).orderBy(*order)
+    return pre.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k).drop("_r")
+
+
 # G22
-def context_text(edges: DataFrame, nodes: DataFrame, hops: int = 2, max_neighbours: int = 6,
+def context_text(edges: DataFrame, nodes: DataFrame, max_neighbours: int = 6,
                  salt_buckets: int = 16) -> DataFrame:
-    """For every node: its neighbours within ``hops`` (undirected), the
+    """For every node: its neighbours within two undirected hops, the
     ``max_neighbours`` oldest by (created_at, id), plus the node itself, in
     time order, each rendered as a tagged block and joined by a space.
 
-    nodes: (id, created_at, user, text).  Only the k oldest members of any
-    neighbour list can reach a node's k oldest two-hop set, so every
-    neighbour list is cut to its k+1 oldest before the expansion (exact), and
-    the final per-node top-k runs on salted groups so a hub's candidates are
-    ranked by several tasks.
+    nodes: (id, created_at, user, text).  Exact pruning keeps the blow-up
+    linear in the edges: a two-hop candidate x reached through m can only be
+    among the k oldest if it is among the k+1 oldest neighbours of m (the
+    +1 covers the start node itself), so the second hop joins the full
+    first hop with neighbour lists cut to k+1.  The per-node top-k runs on
+    salted groups first, so a hub's candidates are ranked by many tasks.
     """
     k = max_neighbours
     info = nodes.select("id", "created_at")
     adj = both_directions(undirected(edges)).toDF("a", "b") \
         .join(info.toDF("b", "b_ts"), "b")
-    wa = Window.partitionBy("a").orderBy("b_ts", "b")
-    near = adj.withColumn("_r", F.row_number().over(wa)).filter(F.col("_r") <= k + 1).drop("_r")
-    cand = near.select(F.col("a").alias("start"), F.col("b").alias("node"), F.col("b_ts").alias("ts"))
-    for _ in range(hops - 1):
-        step = (cand.select("start", F.col("node").alias("a"))
-                    .join(near, "a").select("start", F.col("b").alias("node"), F.col("b_ts").alias("ts")))
-        cand = cand.union(step)
-    cand = cand.filter(F.col("start") != F.col("node")).distinct()
-    salted = cand.withColumn("_salt", F.abs(F.xxhash64("node")) % salt_buckets)
-    w1 = Window.partitionBy("start", "_salt").orderBy("ts", "node")
-    pre = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-    w2 = Window.partitionBy("start").orderBy("ts", "node")
-    top = pre.drop("_r", "_salt").withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k)
+    near = top_k_per_key(adj, "a", ["b_ts", "b"], k + 1, "b", salt_buckets)
+    hop1 = near.select(F.col("a").alias("start"), F.col("b").alias("node"), F.col("b_ts").alias("ts"))
+    hop2 = (adj.select(F.col("a").alias("start"), F.col("b").alias("m"))
+               .join(near.withColumnRenamed("a", "m"), "m")
+               .select("start", F.col("b").alias("node"), F.col("b_ts").alias("ts")))
+    cand = hop1.union(hop2).filter(F.col("start") != F.col("node")).distinct()
+    top = top_k_per_key(cand, "start", ["ts", "node"], k, "node", salt_buckets)
     blocks = nodes.select("id", "created_at",
                           F.concat(F.lit("[context] ["), F.col("user"), F.lit("]: "), F.col("text"),
                                    F.lit(" \n [/context]")).alias("ctx"),
@@ -328,6 +335,7 @@ def context_text(edges: DataFrame, nodes: DataFrame, hops: int = 2, max_neighbou
     main_rows = blocks.select("id", F.col("created_at").alias("ts"), F.col("id").alias("nid"),
                               F.col("main").alias("block"))
     allr = ctx_rows.union(main_rows)
+    # at most k + 1 blocks per node: the collected list is bounded
     return (allr.groupBy("id")
                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "nid", "block"))),
                                               lambda s: s["block"]), " ").alias("text_and_context")))

@@ -1 +1,391 @@
-"""placeholder"""
+"""Registered queries: graph build, components, hubs, neighbourhoods,
+clustering, rich club, DAG test, border cut, context text, sampling."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from convgraph.functions import text as X
+from convgraph.operators import graph as G
+from convgraph.operators import labels as L
+from convgraph.operators import relations as R
+from convgraph.operators import sampling as H
+from convgraph.plans import standins as S
+from convgraph.plans.registry import query, r6
+
+SEED = 42
+
+
+def e3(spark, sf):
+    return G.build_edges(S.e3_edges_raw(spark, sf), "src", "dst", "context_type")
+
+
+def e3_node_ids(spark, sf):
+    return S.table(spark, sf, "events").select(F.col("event_id").alias("id"))
+
+
+_E3 = f"e AS ({S.E3_EDGES_SQL})"
+_E3_U = _E3 + """,
+u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst),
+adj AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u)"""
+_E3_CC = "WITH RECURSIVE " + _E3_U + """,
+r(id, lbl) AS (SELECT event_id, event_id FROM events UNION SELECT adj.b, r.lbl FROM r JOIN adj ON r.id = adj.a),
+cc AS (SELECT id, min(lbl) AS root FROM r GROUP BY id),
+sz AS (SELECT root, count(*) AS size FROM cc GROUP BY root),
+num AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) AS component_id FROM sz),
+comp AS (SELECT cc.id, num.component_id, num.size FROM cc JOIN num ON cc.root = num.root)"""
+
+
+def e3_components(spark, sf):
+    cc = G.connected_components(e3(spark, sf), e3_node_ids(spark, sf))
+    return G.number_components(cc)
+
+
+# ---------------------------------------------------------------- G1
+@query("edge_build", f"WITH {_E3} SELECT src, dst, context_type FROM e")
+def edge_build(spark, sf):
+    return e3(spark, sf)
+
+
+# ---------------------------------------------------------------- G2 + U2
+@query("graph_size", f"""
+WITH {_E3}
+SELECT (SELECT count(*) FROM events) AS n_nodes, (SELECT count(*) FROM e) AS n_edges,
+       (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS n_connected_nodes
+""")
+def graph_size(spark, sf):
+    e = e3(spark, sf)
+    nodes = G.node_ids(e, e3_node_ids(spark, sf))
+    return (nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
+                 .crossJoin(e.agg(F.count(F.lit(1)).alias("n_edges")))
+                 .crossJoin(G.node_ids(e).agg(F.count(F.lit(1)).alias("n_connected_nodes"))))
+
+
+# ---------------------------------------------------------------- G8
+@query("degree_rank", f"""
+WITH {_E3}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
+SELECT id, degree, rank() OVER (ORDER BY degree DESC) AS rank FROM d
+""")
+def degree_rank(spark, sf):
+    d = G.degrees(e3(spark, sf))
+    return R.competition_rank(d, "degree", "rank").select("id", "degree", F.col("rank").cast("long").alias("rank"))
+
+
+# ---------------------------------------------------------------- G9
+@query("hubs", f"""
+WITH e AS ({S.E2_EDGES_SQL}),
+d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),
+z AS (SELECT id, degree, (degree - avg(degree) OVER ()) / stddev_pop(degree) OVER () AS z FROM d)
+SELECT id, degree, round(z, 6) AS z FROM z WHERE z > 2
+""")
+def hubs(spark, sf):
+    h = G.hubs(G.degrees(S.e2_edges(spark, sf)))
+    return h.select("id", "degree", r6(F.col("z")).alias("z"))
+
+
+# ---------------------------------------------------------------- G5 + W6
+@query("components", _E3_CC + " SELECT id, component_id, size FROM comp")
+def components(spark, sf):
+    return e3_components(spark, sf).select("id", "component_id", "size")
+
+
+# ---------------------------------------------------------------- G6 + A11 + A12
+@query("component_stats", _E3_CC + """
+, s AS (SELECT component_id, size FROM num)
+SELECT stat, round(value, 6) AS value FROM (
+  SELECT 'n_components' AS stat, CAST(count(*) AS DOUBLE) AS value FROM s
+  UNION ALL SELECT 'mean', avg(size) FROM s
+  UNION ALL SELECT 'min', CAST(min(size) AS DOUBLE) FROM s
+  UNION ALL SELECT 'max', CAST(max(size) AS DOUBLE) FROM s
+  UNION ALL SELECT 'p50', quantile_cont(size, 0.5) FROM s
+  UNION ALL SELECT 'p90', quantile_cont(size, 0.9) FROM s
+  UNION ALL SELECT 'p99', quantile_cont(size, 0.99) FROM s
+  UNION ALL SELECT 'largest_pct', max(size) * 100.0 / sum(size) FROM s
+  UNION ALL SELECT 'top20_pct', (SELECT sum(size) FROM s WHERE component_id <= 20) * 100.0 / sum(size) FROM s) t
+""")
+def component_stats(spark, sf):
+    comp = e3_components(spark, sf).select("component_id", "size").distinct()
+    st = comp.agg(F.count(F.lit(1)).cast("double").alias("n_components"), F.avg("size").alias("mean"),
+                  F.min("size").cast("double").alias("min"), F.max("size").cast("double").alias("max"),
+                  F.percentile("size", 0.5).alias("p50"), F.percentile("size", 0.9).alias("p90"),
+                  F.percentile("size", 0.99).alias("p99"),
+                  (F.max("size") * 100.0 / F.sum("size")).alias("largest_pct"),
+                  (F.sum(F.when(F.col("component_id") <= 20, F.col("size"))) * 100.0 / F.sum("size"))
+                  .alias("top20_pct"))
+    long = st.unpivot([], st.columns, "stat", "value")
+    return long.select("stat", r6(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------- G7 + J8
+@query("largest_component", _E3_CC + """
+SELECT e.src, e.dst FROM e JOIN comp a ON e.src = a.id JOIN comp b ON e.dst = b.id
+WHERE a.component_id = 1 AND b.component_id = 1
+""")
+def largest_component(spark, sf):
+    comp = e3_components(spark, sf)
+    top = comp.filter(F.col("component_id") == 1).select("id")
+    return G.induced_subgraph(e3(spark, sf).select("src", "dst"), top)
+
+
+# ---------------------------------------------------------------- G10
+@query("n_hop", "WITH " + _E3_U + """,
+h AS (SELECT a AS s, b AS n FROM adj UNION SELECT adj.a, x.b FROM adj JOIN adj x ON adj.b = x.a),
+r AS (SELECT s, n FROM h WHERE s <> n UNION SELECT a, a FROM adj)
+SELECT s AS id, count(*) AS n_within FROM r GROUP BY s
+""")
+def n_hop(spark, sf):
+    r = G.n_hop(e3(spark, sf), 2, include_start=True)
+    return r.groupBy(F.col("start").alias("id")).agg(F.count(F.lit(1)).alias("n_within"))
+
+
+# ---------------------------------------------------------------- G11
+@query("ego_subgraph", f"""
+WITH e AS ({S.E2_EDGES_SQL}),
+d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),
+c AS (SELECT id FROM d ORDER BY degree DESC, id LIMIT 1),
+adj AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+h1 AS (SELECT b AS n FROM adj WHERE a IN (SELECT id FROM c) UNION SELECT id FROM c),
+h2 AS (SELECT adj.b AS n FROM adj JOIN h1 ON adj.a = h1.n UNION SELECT n FROM h1),
+h3 AS (SELECT adj.b AS n FROM adj JOIN h2 ON adj.a = h2.n UNION SELECT n FROM h2)
+SELECT src, dst FROM e WHERE src IN (SELECT n FROM h3) AND dst IN (SELECT n FROM h3)
+""")
+def ego_subgraph(spark, sf):
+    """Radius-3 ego graph of the highest-degree node (ties: smallest id)."""
+    e = S.e2_edges(spark, sf)
+    centre = G.degrees(e).orderBy(F.col("degree").desc(), F.col("id").asc()).limit(1).select("id")
+    reach = G.n_hop(e, 3, include_start=True)
+    ball = reach.join(centre.withColumnRenamed("id", "start"), "start").select(F.col("node").alias("id"))
+    return G.induced_subgraph(e, ball)
+
+
+# ---------------------------------------------------------------- G12
+@query("clustering_coefficient", "WITH " + _E3_U + """,
+deg AS (SELECT a AS id, count(*) AS degree FROM adj GROUP BY a),
+tri AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.a = y.a AND x.b < y.b
+        JOIN u z ON z.a = x.b AND z.b = y.b),
+tc AS (SELECT id, count(*) AS t FROM (SELECT p AS id FROM tri UNION ALL SELECT q FROM tri UNION ALL SELECT r FROM tri) GROUP BY id),
+c AS (SELECT v.event_id AS id, coalesce(deg.degree, 0) AS degree, coalesce(tc.t, 0) AS t
+      FROM events v LEFT JOIN deg ON v.event_id = deg.id LEFT JOIN tc ON v.event_id = tc.id)
+SELECT round(avg(CASE WHEN degree < 2 THEN 0.0 ELSE 2.0 * t / (degree * (degree - 1)) END), 6) AS avg_clustering,
+       CAST(sum(t) AS BIGINT) AS triangle_corners
+FROM c
+""")
+def clustering_coefficient(spark, sf):
+    c = G.average_clustering(e3(spark, sf), e3_node_ids(spark, sf))
+    return c.select(r6(F.col("avg_clustering")).alias("avg_clustering"),
+                    F.col("triangle_corners").cast("long").alias("triangle_corners"))
+
+
+# ---------------------------------------------------------------- G13
+@query("rich_club", f"""
+WITH e AS ({S.E2_EDGES_SQL}),
+d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),
+em AS (SELECT least(a.degree, b.degree) AS md FROM e JOIN d a ON e.src = a.id JOIN d b ON e.dst = b.id),
+ks AS (SELECT unnest(range(0, (SELECT max(degree) FROM d) + 1)) AS k),
+nk AS (SELECT k, (SELECT count(*) FROM d WHERE degree > k) AS n_k, (SELECT count(*) FROM em WHERE md > k) AS e_k FROM ks)
+SELECT k, round(2.0 * e_k / (n_k * (n_k - 1)), 6) AS phi FROM nk WHERE n_k > 1
+""")
+def rich_club(spark, sf):
+    rc = G.rich_club(S.e2_edges(spark, sf))
+    return rc.select(F.col("k").cast("long").alias("k"), r6(F.col("phi")).alias("phi"))
+
+
+# ---------------------------------------------------------------- G3
+@query("is_dag", f"""
+WITH RECURSIVE e AS ({S.E3_EDGES_SQL}), c AS ({S.E1_EDGES_SQL}),
+p(s, n) AS (SELECT src, dst FROM e UNION SELECT p.s, e.dst FROM p JOIN e ON p.n = e.src),
+q(s, n) AS (SELECT src, dst FROM c UNION SELECT q.s, c.dst FROM q JOIN c ON q.n = c.src)
+SELECT 'events' AS graph, NOT EXISTS (SELECT 1 FROM p WHERE s = n) AS is_dag,
+       (SELECT count(*) FROM e) AS n_edges
+UNION ALL
+SELECT 'conversations', NOT EXISTS (SELECT 1 FROM q WHERE s = n), (SELECT count(*) FROM c)
+""")
+def is_dag(spark, sf):
+    rows = []
+    for name, edges in (("events", e3(spark, sf)), ("conversations", S.e1_edges(spark, sf))):
+        rows.append((name, G.is_dag(edges), edges.count()))
+    return spark.createDataFrame(rows, "graph string, is_dag boolean, n_edges long")
+
+
+# ---------------------------------------------------------------- G18 + G19
+_BORDER_SQL = f"""
+WITH e AS ({S.E2_EDGES_SQL}), n AS ({S.E2_NODES_SQL.replace('FROM e2', 'FROM e')}),
+d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),
+cs AS (SELECT community, count(*) AS csize FROM n GROUP BY community),
+nc AS (SELECT n.id, n.community, cs.csize, d.degree FROM n JOIN cs ON n.community = cs.community JOIN d ON n.id = d.id),
+bp AS (SELECT e.src, e.dst, a.degree AS ds, b.degree AS dd, a.csize AS ss, b.csize AS sd
+       FROM e JOIN nc a ON e.src = a.id JOIN nc b ON e.dst = b.id WHERE a.community <> b.community),
+rm AS (SELECT DISTINCT CASE WHEN ds < dd THEN src WHEN dd < ds THEN dst WHEN ss > sd THEN src WHEN sd > ss THEN dst
+                WHEN md5('{SEED}:' || CAST(src AS VARCHAR)) < md5('{SEED}:' || CAST(dst AS VARCHAR)) THEN src ELSE dst END AS id
+       FROM bp)
+"""
+
+
+@query("border_cut", _BORDER_SQL + " SELECT id FROM rm")
+def border_cut(spark, sf):
+    return G.disconnect(S.e2_edges(spark, sf), S.e2_nodes(spark, sf), SEED)
+
+
+# ---------------------------------------------------------------- G20
+@query("cut_components", "WITH RECURSIVE " + _BORDER_SQL.replace("WITH e AS", "e AS", 1) + """,
+ke AS (SELECT src, dst FROM e WHERE src NOT IN (SELECT id FROM rm) AND dst NOT IN (SELECT id FROM rm)),
+kn AS (SELECT id FROM n WHERE id NOT IN (SELECT id FROM rm)),
+adj AS (SELECT src AS a, dst AS b FROM ke UNION SELECT dst, src FROM ke),
+r(id, lbl) AS (SELECT id, id FROM kn UNION SELECT adj.b, r.lbl FROM r JOIN adj ON r.id = adj.a),
+cc AS (SELECT id, min(lbl) AS root FROM r GROUP BY id),
+sz AS (SELECT root, count(*) AS size FROM cc GROUP BY root),
+num AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) AS component_id FROM sz)
+SELECT cc.id, num.component_id, num.size FROM cc JOIN num ON cc.root = num.root
+""")
+def cut_components(spark, sf):
+    e = S.e2_edges(spark, sf)
+    nodes = S.e2_nodes(spark, sf)
+    gone = G.disconnect(e, nodes, SEED)
+    kept_e = (e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
+               .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    kept_n = nodes.select("id").join(gone, "id", "left_anti")
+    cc = G.connected_components(kept_e, kept_n)
+    return G.number_components(cc).select("id", "component_id", "size")
+
+
+# ---------------------------------------------------------------- J12 + P20 + J15
+_ATTR_SQL = f"""
+WITH {_E3}, ids AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+att AS (SELECT event_id, ts, event_type, 'user' || CAST(user_id AS VARCHAR) AS usr FROM events WHERE value >= 1),
+na AS (SELECT ids.id, att.ts, coalesce(att.usr, 'userunknown') AS anonymised_user_id, att.event_type AS text
+       FROM ids LEFT JOIN att ON ids.id = att.event_id)
+"""
+
+
+def _attributes(spark, sf):
+    e = e3(spark, sf)
+    ids = G.node_ids(e)
+    att = S.table(spark, sf, "events").filter(F.col("value") >= 1).select(
+        F.col("event_id").alias("id"), "ts", F.col("event_type").alias("text"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("usr"))
+    return ids.join(att, "id", "left").withColumn(
+        "anonymised_user_id", F.coalesce("usr", F.lit("userunknown"))).drop("usr")
+
+
+@query("node_attributes", _ATTR_SQL + """
+SELECT id, anonymised_user_id, text,
+       CAST(date_diff('microsecond', TIMESTAMP '1970-01-01', ts) AS DOUBLE) / 1000000.0 AS created_at_unix
+FROM na
+""")
+def node_attributes(spark, sf):
+    a = _attributes(spark, sf)
+    unix = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1e6
+    return a.select("id", "anonymised_user_id", "text", unix.cast("double").alias("created_at_unix"))
+
+
+@query("missing_attributes", _ATTR_SQL + """
+SELECT count(*) AS n_nodes, count(*) FILTER (WHERE ts IS NULL) AS n_missing FROM na
+""")
+def missing_attributes(spark, sf):
+    a = _attributes(spark, sf)
+    return a.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("ts").isNull()).alias("n_missing"))
+
+
+# ---------------------------------------------------------------- G22
+_CTX_SQL = "WITH " + _E3_U + """,
+h2 AS (SELECT DISTINCT s, n FROM (SELECT a AS s, b AS n FROM adj UNION ALL
+                                  SELECT adj.a, x.b FROM adj JOIN adj x ON adj.b = x.a) WHERE s <> n),
+rk AS (SELECT h2.s, h2.n, v.ts, row_number() OVER (PARTITION BY h2.s ORDER BY v.ts, h2.n) AS r
+       FROM h2 JOIN events v ON h2.n = v.event_id),
+blk AS (SELECT rk.s AS id, rk.ts, rk.n AS nid,
+               '[context] [user' || CAST(v.user_id AS VARCHAR) || ']: ' || v.event_type || ' ' || chr(10) || ' [/context]' AS block
+        FROM rk JOIN events v ON rk.n = v.event_id WHERE rk.r <= 6
+        UNION ALL
+        SELECT event_id, ts, event_id,
+               '[main_tweet] [user' || CAST(user_id AS VARCHAR) || ']: ' || event_type || ' ' || chr(10) || ' [/main_tweet]'
+        FROM events),
+ctx AS (SELECT id, string_agg(block, ' ' ORDER BY ts, nid) AS text_and_context FROM blk GROUP BY id)
+"""
+
+
+def _context(spark, sf):
+    ev = S.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.col("ts").alias("created_at"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user"),
+        F.col("event_type").alias("text"))
+    return G.context_text(e3(spark, sf), ev, max_neighbours=6)
+
+
+@query("context_text", _CTX_SQL + " SELECT id, text_and_context FROM ctx")
+def context_text(spark, sf):
+    return _context(spark, sf)
+
+
+# ---------------------------------------------------------------- X12 + X13/X14 + X15
+@query("annotation_set", _CTX_SQL + r""",
+m AS (SELECT id, regexp_replace(regexp_replace(replace(text_and_context, '[/context]', ''),
+                 '@[\pL\pN_]+\s?', '@user ', 'g'), '(@user\s*){4,}', '@user @user ... @user ', 'g') AS t FROM ctx),
+p AS (SELECT id, regexp_split_to_array(t, '\[main_tweet\]|\[/main_tweet\]') AS parts FROM m)
+SELECT id AS new_id, parts[1] AS previous_context, '[main_tweet]' || parts[2] AS main_tweet,
+       parts[3] AS posterior_context
+FROM p
+""")
+def annotation_set(spark, sf):
+    c = _context(spark, sf)
+    t = X.mask_mentions(X.remove_tag("text_and_context", X.CONTEXT_CLOSE))
+    prev, main, post = X.split_context(t)
+    return c.select(F.col("id").alias("new_id"), prev.alias("previous_context"), main.alias("main_tweet"),
+                    post.alias("posterior_context"))
+
+
+# ---------------------------------------------------------------- H1 + G23 + A37
+@query("component_sample", _E3_CC + f"""
+, k AS (SELECT floor(3000.0 / (count(*) * 1.0 / count(DISTINCT component_id))) AS k FROM comp),
+rk AS (SELECT component_id, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(component_id AS VARCHAR)), component_id) AS r
+       FROM (SELECT DISTINCT component_id FROM comp))
+SELECT comp.id, comp.component_id FROM comp JOIN rk ON comp.component_id = rk.component_id
+WHERE rk.r <= (SELECT k FROM k)
+""")
+def component_sample(spark, sf):
+    comp = e3_components(spark, sf).select("id", "component_id")
+    return H.cluster_sample(comp, "component_id", 3000, SEED).select("id", "component_id")
+
+
+# ---------------------------------------------------------------- H2 + H3 + A33
+_SPLIT_SQL = _E3_CC + f"""
+, g AS (SELECT component_id, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(component_id AS VARCHAR)), component_id) AS r
+        FROM (SELECT DISTINCT component_id FROM comp)),
+cut AS (SELECT ceil({H.test_share_literal()} * count(*)) AS t,
+               ceil(0.25 * (count(*) - ceil({H.test_share_literal()} * count(*)))) AS v FROM g),
+sp AS (SELECT comp.id, comp.component_id,
+              CASE WHEN g.r <= cut.t THEN 'test' WHEN g.r <= cut.t + cut.v THEN 'val' ELSE 'train' END AS split
+       FROM comp JOIN g ON comp.component_id = g.component_id CROSS JOIN cut)
+"""
+
+
+def _split(spark, sf):
+    comp = e3_components(spark, sf).select("id", "component_id")
+    return H.split_by_groups(comp, "component_id", 0.6, 0.2, SEED)
+
+
+@query("group_split", _SPLIT_SQL + " SELECT id, component_id, split FROM sp")
+def group_split(spark, sf):
+    return _split(spark, sf).select("id", "component_id", "split")
+
+
+@query("split_shares", _SPLIT_SQL + """
+SELECT split, count(*) AS n_rows, round(count(*) / (SELECT count(*) FROM sp), 6) AS share FROM sp GROUP BY split
+""")
+def split_shares(spark, sf):
+    s = H.split_shares(_split(spark, sf))
+    return s.select("split", "n_rows", r6(F.col("share")).alias("share"))
+
+
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("split_balance", _SPLIT_SQL + f"""
+SELECT split, count(*) AS n_rows,
+       {", ".join(f"round(avg(CAST(v.event_type = '{t}' AS INTEGER)) * 100, 6) AS {t}" for t in _TYPES)}
+FROM sp JOIN events v ON sp.id = v.event_id GROUP BY split
+""")
+def split_balance(spark, sf):
+    sp = _split(spark, sf)
+    ev = S.table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type")
+    wide = sp.join(ev, "id").select("split", *[(F.col("event_type") == t).cast("int").alias(t) for t in _TYPES])
+    b = L.balance_by_split(wide, "split", _TYPES)
+    return b.select("split", "n_rows", *[r6(F.col(t)).alias(t) for t in _TYPES])
