@@ -1 +1,196 @@
-"""placeholder"""
+"""Registered queries: significance tests over aggregated tables."""
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from convgraph.operators import stats as ST
+from convgraph.plans import standins as S
+from convgraph.plans.q_labels import _REPLY_SQL, _e3_edges, _e3_labels
+from convgraph.operators import labels as L
+from convgraph.plans.registry import query, r6
+
+_SQ2 = math.sqrt(2.0)
+
+
+def _props(spark, sf):
+    return L.flagged_reply_share(_e3_edges(spark, sf), _e3_labels(spark, sf), S.E3_NONE_LABEL)
+
+
+_PAIRS_SQL = _REPLY_SQL + """
+, pr AS (SELECT a.source_label AS group_a, b.source_label AS group_b, a.successes AS x1, a.trials AS n1,
+                b.successes AS x2, b.trials AS n2 FROM g a JOIN g b ON a.source_label < b.source_label),
+zz AS (SELECT group_a, group_b,
+         CASE WHEN sqrt(((x1 + x2) / (n1 + n2)) * (1 - (x1 + x2) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)) > 0
+              THEN (x1 / n1 - x2 / n2) / sqrt(((x1 + x2) / (n1 + n2)) * (1 - (x1 + x2) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2))
+         END AS z FROM pr),
+pv AS (SELECT group_a, group_b, z, z * z AS chi2, """ + ST.erfc_sql(f"(abs(z) / {_SQ2})") + """ AS p_value,
+         count(*) OVER () AS m FROM zz)
+"""
+
+
+# ---------------------------------------------------------------- I1
+@query("chi2_allpairs", _PAIRS_SQL + """
+SELECT group_a, group_b, round(chi2, 6) AS chi2, round(p_value, 6) AS p_value,
+       round(least(p_value * m, 1.0), 6) AS p_adjusted, least(p_value * m, 1.0) < 0.05 AS reject FROM pv
+""")
+def chi2_allpairs(spark, sf):
+    t = ST.proportion_pairs(_props(spark, sf), "source_label", "successes", "trials")
+    return t.select("group_a", "group_b", r6(F.col("chi2")).alias("chi2"), r6(F.col("p_value")).alias("p_value"),
+                    r6(F.col("p_adjusted")).alias("p_adjusted"), "reject")
+
+
+# ---------------------------------------------------------------- I2
+@query("z_allpairs", _PAIRS_SQL + """
+SELECT group_a, group_b, round(z, 6) AS z, round(p_value, 6) AS p_value,
+       round(least(p_value * m, 1.0), 6) AS p_adjusted, least(p_value * m, 1.0) < 0.05 AS reject FROM pv
+""")
+def z_allpairs(spark, sf):
+    t = ST.proportion_pairs(_props(spark, sf), "source_label", "successes", "trials")
+    return t.select("group_a", "group_b", r6(F.col("z")).alias("z"), r6(F.col("p_value")).alias("p_value"),
+                    r6(F.col("p_adjusted")).alias("p_adjusted"), "reject")
+
+
+# ---------------------------------------------------------------- I3
+@query("z_one_sample", _REPLY_SQL + """
+, zz AS (SELECT source_label AS "group",
+           CASE WHEN sqrt((successes / trials) * (1 - successes / trials) / trials) > 0
+                THEN (successes / trials - 0.5) / sqrt((successes / trials) * (1 - successes / trials) / trials) END AS z,
+           count(*) OVER () AS m FROM g),
+pv AS (SELECT "group", z, 0.5 * """ + ST.erfc_sql(f"(z / {_SQ2})") + """ AS p_value, m FROM zz)
+SELECT "group", round(z, 6) AS z, round(p_value, 6) AS p_value, round(least(p_value * m, 1.0), 6) AS p_adjusted,
+       least(p_value * m, 1.0) < 0.05 AS rejected FROM pv
+""")
+def z_one_sample(spark, sf):
+    t = ST.proportion_vs_half(_props(spark, sf), "source_label", "successes", "trials")
+    return t.select("group", r6(F.col("z")).alias("z"), r6(F.col("p_value")).alias("p_value"),
+                    r6(F.col("p_adjusted")).alias("p_adjusted"), "rejected")
+
+
+# ---------------------------------------------------------------- I4 (+A21 on a binary labelling)
+def _flag_crosstab(spark, sf):
+    lab = _e3_labels(spark, sf)
+    node = lab.groupBy("id").agg(F.max((F.col("label") != S.E3_NONE_LABEL).cast("int")).alias("flagged"))
+    e = _e3_edges(spark, sf).select("src", "dst")
+    j = e.join(node.toDF("src", "fs"), "src").join(node.toDF("dst", "fd"), "dst")
+    return j.agg(F.sum(F.when(F.col("fs") == 1, F.col("fd"))).alias("x1"),
+                 F.count_if(F.col("fs") == 1).alias("n1"),
+                 F.sum(F.when(F.col("fs") == 0, F.col("fd"))).alias("x2"),
+                 F.count_if(F.col("fs") == 0).alias("n2"))
+
+
+@query("z_two_sample", f"""
+WITH e AS ({S.E3_EDGES_SQL}),
+l AS (SELECT event_id AS id, event_type AS label FROM events UNION ALL SELECT event_id, 'high_value' FROM events WHERE value >= 100),
+nd AS (SELECT id, max(CAST(label <> '{S.E3_NONE_LABEL}' AS INTEGER)) AS f FROM l GROUP BY id),
+j AS (SELECT a.f AS fs, b.f AS fd FROM e JOIN nd a ON e.src = a.id JOIN nd b ON e.dst = b.id),
+c AS (SELECT CAST(sum(fd) FILTER (WHERE fs = 1) AS BIGINT) AS x1, count(*) FILTER (WHERE fs = 1) AS n1,
+             CAST(sum(fd) FILTER (WHERE fs = 0) AS BIGINT) AS x2, count(*) FILTER (WHERE fs = 0) AS n2 FROM j),
+zz AS (SELECT *, (x1 / n1 - x2 / n2) / sqrt(((x1 + x2) / (n1 + n2)) * (1 - (x1 + x2) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)) AS z FROM c)
+SELECT x1, n1, x2, n2, round(z, 6) AS z, round(0.5 * {ST.erfc_sql(f"(z / {_SQ2})")}, 6) AS p_value FROM zz
+""")
+def z_two_sample(spark, sf):
+    c = _flag_crosstab(spark, sf)
+    z, p = ST.two_sample_larger(F.col("x1"), F.col("n1"), F.col("x2"), F.col("n2"))
+    return c.select(F.col("x1").cast("long").alias("x1"), "n1", F.col("x2").cast("long").alias("x2"), "n2",
+                    r6(z).alias("z"), r6(p).alias("p_value"))
+
+
+# ---------------------------------------------------------------- moments on orders
+_ORD = "o_orderstatus = 'F'"
+
+
+def _orders_flag(spark, sf):
+    o = S.table(spark, sf, "orders")
+    return o.select((F.col("o_orderstatus") == "F").alias("flag"), F.col("o_totalprice").alias("v"))
+
+
+_MOM_SQL = f"""
+WITH o AS (SELECT {_ORD} AS flag, o_totalprice AS v FROM orders),
+mn AS (SELECT flag, count(*) AS n, avg(v) AS mean FROM o GROUP BY flag),
+mo AS (SELECT o.flag, mn.n, mn.mean, sum((v - mean) ^ 2) AS s2, sum((v - mean) ^ 3) AS s3, sum((v - mean) ^ 4) AS s4
+       FROM o JOIN mn ON o.flag = mn.flag GROUP BY o.flag, mn.n, mn.mean),
+m AS (SELECT flag, n, mean, s2 / (n - 1) AS var, s2 / n AS m2, s3 / n AS m3, s4 / n AS m4 FROM mo)
+"""
+
+
+# ---------------------------------------------------------------- I6
+@query("jarque_bera", _MOM_SQL + """
+, j AS (SELECT flag, n, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) - 3 AS kurt FROM m),
+jb AS (SELECT flag, n, skew, kurt, n / 6.0 * (skew * skew + kurt * kurt / 4.0) AS jb FROM j)
+SELECT flag, n, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(jb, 6) AS jb, round(exp(-jb / 2.0), 6) AS jb_p FROM jb
+""")
+def jarque_bera(spark, sf):
+    m = ST.jarque_bera(ST.group_moments(_orders_flag(spark, sf), "flag", "v"))
+    return m.select("flag", "n", *[r6(F.col(c)).alias(c) for c in ["skew", "kurt", "jb", "jb_p"]])
+
+
+# ---------------------------------------------------------------- I7
+@query("levene", f"""
+WITH o AS (SELECT {_ORD} AS flag, o_totalprice AS v FROM orders),
+md AS (SELECT flag, quantile_cont(v, 0.5) AS med FROM o GROUP BY flag),
+z AS (SELECT o.flag, abs(v - med) AS z FROM o JOIN md ON o.flag = md.flag),
+zi AS (SELECT flag, count(*) AS n, avg(z) AS zi FROM z GROUP BY flag),
+za AS (SELECT avg(z) AS zbar, count(*) AS nn FROM z),
+w AS (SELECT sum((z.z - zi.zi) ^ 2) AS w FROM z JOIN zi ON z.flag = zi.flag),
+b AS (SELECT sum(n * (zi - zbar) ^ 2) AS b, count(*) AS k, any_value(nn) AS nn FROM zi CROSS JOIN za)
+SELECT round((nn - k) / (k - 1) * b / w, 6) AS w, CAST(k - 1 AS DOUBLE) AS df1, CAST(nn - k AS DOUBLE) AS df2 FROM b CROSS JOIN w
+""")
+def levene(spark, sf):
+    lv = ST.levene(_orders_flag(spark, sf), "flag", "v")
+    return lv.select(r6(F.col("w")).alias("w"), "df1", "df2")
+
+
+# ---------------------------------------------------------------- I8
+@query("welch_t", _MOM_SQL + """
+, a AS (SELECT n AS n1, mean AS m1, var AS v1 FROM m WHERE flag), b AS (SELECT n AS n2, mean AS m2, var AS v2 FROM m WHERE NOT flag),
+t AS (SELECT (m1 - m2) / sqrt((((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1.0 / n1 + 1.0 / n2)) AS t_student,
+             CAST(n1 + n2 - 2 AS DOUBLE) AS df_student,
+             (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t_welch,
+             (v1 / n1 + v2 / n2) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v2 / n2) ^ 2 / (n2 - 1)) AS df_welch FROM a CROSS JOIN b)
+SELECT round(t_student, 6) AS t_student, df_student, round(t_welch, 6) AS t_welch, round(df_welch, 6) AS df_welch FROM t
+""")
+def welch_t(spark, sf):
+    m = ST.group_moments(_orders_flag(spark, sf), "flag", "v")
+    a = m.filter(F.col("flag")).select(F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("var").alias("v1"))
+    b = m.filter(~F.col("flag")).select(F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("var").alias("v2"))
+    tt = ST.t_tests({"n": F.col("n1"), "mean": F.col("m1"), "var": F.col("v1")},
+                    {"n": F.col("n2"), "mean": F.col("m2"), "var": F.col("v2")})
+    return a.crossJoin(b).select(r6(tt["t_student"]).alias("t_student"), tt["df_student"].alias("df_student"),
+                                 r6(tt["t_welch"]).alias("t_welch"), r6(tt["df_welch"]).alias("df_welch"))
+
+
+# ---------------------------------------------------------------- I9
+@query("mann_whitney", f"""
+WITH h AS (SELECT o_totalprice AS v, count(*) AS c, count(*) FILTER (WHERE {_ORD}) AS c1 FROM orders GROUP BY 1),
+cu AS (SELECT v, c, c1, sum(c) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM h),
+a AS (SELECT sum(c1 * (cum - c + (c + 1) / 2.0)) AS r1, CAST(sum(c1) AS DOUBLE) AS n1, CAST(sum(c) AS DOUBLE) AS n,
+             sum(CAST(c AS DOUBLE) ^ 3 - c) AS ties FROM cu),
+u AS (SELECT n1, n - n1 AS n2, r1 - n1 * (n1 + 1) / 2.0 AS u1, n, ties FROM a),
+z AS (SELECT n1, n2, u1, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5)
+          / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM u)
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u1, 6) AS u, round(z, 6) AS z,
+       round(least(2.0 * 0.5 * {ST.erfc_sql(f"(z / {_SQ2})")}, 1.0), 6) AS p_value FROM z
+""")
+def mann_whitney(spark, sf):
+    mw = ST.mann_whitney(_orders_flag(spark, sf), "flag", "v")
+    return mw.select("n1", "n2", r6(F.col("u")).alias("u"), r6(F.col("z")).alias("z"),
+                     r6(F.col("p_value")).alias("p_value"))
+
+
+# ---------------------------------------------------------------- I10 (no SQL oracle: t / F tails)
+@query("compare_means")
+def compare_means(spark, sf):
+    """The reference's decision tree over several flags (unpivoted): status
+    F, urgent priority, large order."""
+    o = S.table(spark, sf, "orders")
+    flags = o.select(F.col("o_totalprice").alias("v"),
+                     (F.col("o_orderstatus") == "F").alias("status_f"),
+                     (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+                     (F.col("o_custkey") % 2 == 0).alias("even_customer"))
+    out = None
+    for name in ["status_f", "urgent", "even_customer"]:
+        r = ST.compare_means(flags, name, "v").select(F.lit(name).alias("flag"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
