@@ -1 +1,130 @@
-"""placeholder"""
+"""Registered queries: run-metric roll-ups, model comparison, retention."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from convgraph.functions import text as X
+from convgraph.operators import runs as RU
+from convgraph.plans import standins as S
+from convgraph.plans.registry import query, r6
+
+_FLAGS = list(RU.FOLDED_FLAGS) + list(RU.CASED_FLAGS)
+
+
+def _raw(spark, sf):
+    """S10-shaped raw table: one metrics record per (model_dir, run); the
+    'test_' keys are absent, so the fallback (P19) takes the plain keys."""
+    m = S.run_metrics(spark, sf)
+    m = m.select("model_dir", "run", "f1", "precision", "recall", "accuracy",
+                 *[F.lit(None).cast("double").alias("test_" + k) for k in ["f1", "precision", "recall", "accuracy"]])
+    return m.select("model_dir", "run",
+                    *[RU.metric_fallback("test_" + k, k).alias("test_" + k) for k in ["f1", "precision", "recall", "accuracy"]],
+                    *RU.path_flags("model_dir"))
+
+
+_FLAG_SQL = ", ".join(
+    [f"contains(lower(model_dir), '{v}') AS {k}" for k, v in RU.FOLDED_FLAGS.items()] +
+    [f"({' OR '.join(f'contains(model_dir, {chr(39)}{s}{chr(39)})' for s in subs)}) AS {k}"
+     for k, subs in RU.CASED_FLAGS.items()])
+_RAW_SQL = f"""
+WITH m AS ({S.RUN_METRICS_SQL}),
+raw AS (SELECT model_dir, run, f1 * 100 AS test_f1, precision * 100 AS test_precision, recall * 100 AS test_recall,
+               accuracy * 100 AS test_accuracy, {_FLAG_SQL} FROM m),
+sm AS (SELECT model_dir, round_even(avg(test_f1), 2) AS test_f1, round_even(stddev_samp(test_f1), 2) AS std_test_f1,
+              round_even(avg(test_precision), 2) AS test_precision, round_even(avg(test_recall), 2) AS test_recall,
+              round_even(avg(test_accuracy), 2) AS test_accuracy,
+              {", ".join(f"first({f}) AS {f}" for f in _FLAGS)}
+       FROM raw GROUP BY model_dir)
+"""
+
+
+def _summary(spark, sf):
+    return RU.model_summary(_raw(spark, sf), _FLAGS)
+
+
+# ---------------------------------------------------------------- A34 + P18 + P19
+@query("model_summary", _RAW_SQL + " SELECT * FROM sm")
+def model_summary(spark, sf):
+    return _summary(spark, sf)
+
+
+# ---------------------------------------------------------------- A36
+@query("flag_mean", _RAW_SQL + " SELECT context, round(avg(test_f1), 6) AS mean_test_f1 FROM sm GROUP BY context")
+def flag_mean(spark, sf):
+    m = RU.mean_by_flag(_summary(spark, sf), "context")
+    return m.select("context", r6(F.col("mean_test_f1")).alias("mean_test_f1"))
+
+
+# ---------------------------------------------------------------- M12 + P17
+@query("ablation", _RAW_SQL + """
+SELECT model_dir, test_f1, std_test_f1, context, sentiment_scores, pos FROM sm
+WHERE regexp_matches(model_dir, 'deberta|roberta') AND NOT regexp_matches(model_dir, 'POS')
+""")
+def ablation(spark, sf):
+    s = _summary(spark, sf)
+    return s.filter(RU.include_exclude("model_dir", ["deberta", "roberta"], ["POS"])) \
+            .select("model_dir", "test_f1", "std_test_f1", "context", "sentiment_scores", "pos")
+
+
+# ---------------------------------------------------------------- W8
+@query("best_run", _RAW_SQL + """
+, bm AS (SELECT model_dir FROM raw GROUP BY model_dir ORDER BY avg(test_f1) DESC, model_dir DESC LIMIT 1)
+SELECT raw.model_dir, arg_max(run, (test_f1, run)) AS run, round(max(test_f1), 6) AS test_f1
+FROM raw JOIN bm ON raw.model_dir = bm.model_dir GROUP BY raw.model_dir
+""")
+def best_run(spark, sf):
+    b = RU.best_model_then_run(_raw(spark, sf))
+    return b.select("model_dir", "run", r6(F.col("test_f1")).alias("test_f1"))
+
+
+# ---------------------------------------------------------------- W9
+@query("keep_latest", """
+WITH r AS (SELECT o_orderpriority AS name, o_orderdate AS created, o_orderkey AS id FROM orders
+           WHERE NOT regexp_matches(o_orderpriority, 'LOW')),
+k AS (SELECT name, arg_max(id, (created, id)) AS kept_id, max(created) AS kept_created, count(*) - 1 AS n_deleted
+      FROM r GROUP BY name)
+SELECT name, kept_id, strftime(kept_created, '%Y-%m-%d %H:%M:%S') AS kept_created, n_deleted FROM k
+""")
+def keep_latest(spark, sf):
+    o = S.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("name"),
+                                            F.col("o_orderdate").alias("created"), F.col("o_orderkey").alias("id"))
+    k = RU.keep_latest(o, "name", "created", "id", ["LOW"])
+    return k.select("name", "kept_id", F.date_format("kept_created", "yyyy-MM-dd HH:mm:ss").alias("kept_created"),
+                    "n_deleted")
+
+
+# ---------------------------------------------------------------- W10
+@query("purge_before_date", """
+WITH r AS (SELECT 'run-' || strftime(o_orderdate, '%Y-%m-%d') || '-' || CAST(o_orderkey AS VARCHAR) AS name,
+                  o_orderstatus FROM orders)
+SELECT o_orderstatus, count(*) FILTER (WHERE CAST(regexp_extract(name, '(\\d{4}-\\d{2}-\\d{2})', 1) AS DATE) < DATE '1998-01-01') AS n_purged,
+       count(*) FILTER (WHERE NOT (CAST(regexp_extract(name, '(\\d{4}-\\d{2}-\\d{2})', 1) AS DATE) < DATE '1998-01-01')) AS n_kept
+FROM r GROUP BY o_orderstatus
+""")
+def purge_before_date(spark, sf):
+    o = S.table(spark, sf, "orders").select(
+        F.concat(F.lit("run-"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-"),
+                 F.col("o_orderkey").cast("string")).alias("name"), "o_orderstatus")
+    old = RU.older_than("name", "1998-01-01")
+    return o.groupBy("o_orderstatus").agg(F.count_if(old).alias("n_purged"), F.count_if(~old).alias("n_kept"))
+
+
+# ---------------------------------------------------------------- X21 + X22 + A35
+@query("prompt_epoch_means", """
+WITH r AS (SELECT 'model_' || replace(o_orderpriority, '-', '/') || '_prompt_' || o_orderstatus || 'x_' ||
+                  CAST(month(o_orderdate) AS VARCHAR) || '_epochs_seed_' || CAST(o_custkey % 3 AS VARCHAR) AS name,
+                  o_totalprice FROM orders),
+p AS (SELECT regexp_extract(replace(name, '/', '_'), 'prompt_?([A-Za-z0-9]+)', 1) AS prompt_type,
+             CAST(regexp_extract(name, '(\\d+)_epochs', 1) AS INTEGER) AS epochs, o_totalprice FROM r)
+SELECT prompt_type, epochs, round(avg(o_totalprice), 6) AS mean_value, count(*) AS n FROM p GROUP BY ALL
+""")
+def prompt_epoch_means(spark, sf):
+    o = S.table(spark, sf, "orders")
+    name = F.concat(F.lit("model_"), F.replace("o_orderpriority", F.lit("-"), F.lit("/")), F.lit("_prompt_"),
+                    F.col("o_orderstatus"), F.lit("x_"), F.month("o_orderdate").cast("string"),
+                    F.lit("_epochs_seed_"), (F.col("o_custkey") % 3).cast("string"))
+    r = o.select(X.run_name(name).alias("name"), "o_totalprice")
+    pt, ep, _seed = X.parse_run_name("name")
+    return r.select(pt.alias("prompt_type"), ep.alias("epochs"), "o_totalprice") \
+            .groupBy("prompt_type", "epochs").agg(r6(F.avg("o_totalprice")).alias("mean_value"),
+                                                  F.count(F.lit(1)).alias("n"))
