@@ -237,7 +237,7 @@ def is_dag(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> bool:
         if dead.limit(1).count() == 0 and chain.limit(1).count() == 0:
             return False
         e = e.join(dead.withColumnRenamed("id", "src"), "src", "left_anti") \
-             .join(dead.withColumnRenamed("id", "dst"), "dst", "left_anti")
+             .join(dead.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
         # random mate: contract chain node v (coin heads) whose predecessor
         # is not a contracted node (coin tails or not a chain node)
         coin = (F.xxhash64(F.col("id"), F.lit(rnd)) % 2 == 0)
@@ -247,12 +247,13 @@ def is_dag(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> bool:
         outof = e.join(heads.withColumnRenamed("id", "src"), "src", "left_semi")  # v -> w
         # keep only v whose predecessor u is not itself contracted this round
         into = into.join(heads.withColumnRenamed("id", "src"), "src", "left_anti")
-        bypass = into.alias("a").join(outof.alias("b"), F.col("a.dst") == F.col("b.src")) \
-                     .select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        bypass = into.select(F.col("src").alias("u"), F.col("dst").alias("v")) \
+                     .join(outof.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v") \
+                     .select(F.col("u").alias("src"), F.col("w").alias("dst"))
         gone = into.select(F.col("dst").alias("id"))
         e = (e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
               .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-              .union(bypass).distinct())
+              .select("src", "dst").unionByName(bypass).distinct())
         e = cut_lineage(e)
     raise RuntimeError(f"is_dag did not finish in {max_rounds} rounds")
 
