@@ -225,3 +225,91 @@ def summary_percentiles(spark, sf):
     st = R.summary_stats(d, "n")
     under = d.agg(R.share_below("n", 5).alias("value")).select(F.lit("pct_under_5").alias("stat"), "value")
     return st.unionByName(under).select("stat", r6(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------- the relationships pipeline
+# P8 -> J1 (+P10, A13) -> P11 -> P12 -> U1 + A4 -> W1 -> J2 -> A5 -> G1
+def _posts_text(col_type, col_value):
+    return F.concat(col_type, F.lit(":"), F.floor(col_value / 10).cast("bigint").cast("string"))
+
+
+def _relationships_no_duplicates(spark, sf):
+    ev = S.table(spark, sf, "events")
+    posts = ev.select(F.col("event_id").alias("id"), _posts_text(F.col("event_type"), F.col("value")).alias("text"),
+                      F.col("ts").alias("created_at"))
+    e = S.e3_edges_raw(spark, sf).groupBy("src", "dst").agg(F.max("context_type").alias("context_type"))
+    quoted = e.join(posts.toDF("src", "_qt", "_qc"), "src").select(
+        F.col("dst").alias("id"), F.col("src").alias("context_id"), "context_type",
+        F.when(F.col("context_type") == "quoted", F.col("_qt")).alias("context_text"),
+        F.when(F.col("context_type") == "quoted", F.col("_qc")).alias("context_created_at"))
+    rel = posts.join(quoted, "id", "left")                                        # one row per (post, context)
+    rel = R.complete_context(rel, posts, "context_id", "id",                      # J1 + P10
+                             {"context_text": "text", "context_created_at": "created_at"})
+    ctx_cols = ["context_id", "context_type", "context_created_at"]
+    rel = R.invalidate_when(rel, F.col("context_text").isNull(), ctx_cols)        # P11
+    rel = R.invalidate_when(rel, F.col("text") == F.col("context_text"),          # P12 (T4: all four)
+                            ctx_cols + ["context_text"])
+    ids = R.union_all([rel.select("id", "text", "created_at"),                    # U1
+                       rel.select(F.col("context_id").alias("id"), F.col("context_text").alias("text"),
+                                  F.col("context_created_at").alias("created_at"))])
+    all_ids = ids.dropna(subset=["id", "text"]).groupBy("id", "text").agg(F.min("created_at").alias("created_at"))  # A4
+    all_ids = R.dense_ids(all_ids, ["text"], "new_id")                            # W1
+    m = all_ids.select("id", "new_id")
+    rel = rel.join(m, "id", "left").join(m.toDF("context_id", "context_new_id"), "context_id", "left")  # J2
+    return rel.groupBy("new_id", "text", "context_type", "context_new_id", "context_text").agg(        # A5
+        F.min("created_at").alias("created_at"), F.min("context_created_at").alias("context_created_at"))
+
+
+_RELND_SQL = f"""
+WITH e AS ({S.E3_EDGES_SQL}),
+posts AS (SELECT event_id AS id, event_type || ':' || CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS text,
+                 ts AS created_at FROM events),
+q AS (SELECT e.dst AS id, e.src AS context_id, e.context_type,
+             CASE WHEN e.context_type = 'quoted' THEN p.text END AS context_text,
+             CASE WHEN e.context_type = 'quoted' THEN p.created_at END AS context_created_at
+      FROM e JOIN posts p ON e.src = p.id),
+r0 AS (SELECT p.id, p.text, p.created_at, q.context_id, q.context_type,
+              coalesce(q.context_text, c.text) AS context_text, coalesce(q.context_created_at, c.created_at) AS context_created_at
+       FROM posts p LEFT JOIN q ON p.id = q.id LEFT JOIN posts c ON q.context_id = c.id),
+r1 AS (SELECT DISTINCT id, text, created_at,
+              CASE WHEN context_text IS NULL THEN NULL ELSE context_id END AS context_id,
+              CASE WHEN context_text IS NULL THEN NULL ELSE context_type END AS context_type,
+              context_text,
+              CASE WHEN context_text IS NULL THEN NULL ELSE context_created_at END AS context_created_at FROM r0),
+r2 AS (SELECT DISTINCT id, text, created_at,
+              CASE WHEN text = context_text THEN NULL ELSE context_id END AS context_id,
+              CASE WHEN text = context_text THEN NULL ELSE context_type END AS context_type,
+              CASE WHEN text = context_text THEN NULL ELSE context_text END AS context_text,
+              CASE WHEN text = context_text THEN NULL ELSE context_created_at END AS context_created_at FROM r1),
+ai AS (SELECT id, text, min(created_at) AS created_at FROM
+         (SELECT id, text, created_at FROM r2 UNION ALL SELECT context_id, context_text, context_created_at FROM r2)
+       WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id, text),
+ni AS (SELECT id, CAST(dense_rank() OVER (ORDER BY text) - 1 AS BIGINT) AS new_id FROM ai),
+rm AS (SELECT r2.*, a.new_id, b.new_id AS context_new_id FROM r2 LEFT JOIN ni a ON r2.id = a.id
+       LEFT JOIN ni b ON r2.context_id = b.id),
+nd AS (SELECT new_id, text, context_type, context_new_id, context_text, min(created_at) AS created_at,
+              min(context_created_at) AS context_created_at FROM rm GROUP BY ALL)
+"""
+
+
+@query("relationships_no_duplicates", _RELND_SQL + """
+SELECT new_id, text, context_type, context_new_id, context_text,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at,
+       strftime(context_created_at, '%Y-%m-%d %H:%M:%S.%f') AS context_created_at FROM nd
+""")
+def relationships_no_duplicates(spark, sf):
+    r = _relationships_no_duplicates(spark, sf)
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return r.select("new_id", "text", "context_type", "context_new_id", "context_text",
+                    F.date_format("created_at", fmt).alias("created_at"),
+                    F.date_format("context_created_at", fmt).alias("context_created_at"))
+
+
+@query("text_graph_edges", _RELND_SQL + """
+SELECT context_new_id AS src, new_id AS dst, max(context_type) AS context_type FROM nd
+WHERE context_new_id IS NOT NULL AND new_id IS NOT NULL GROUP BY 1, 2
+""")
+def text_graph_edges(spark, sf):
+    """G1 on the text-id graph: context -> reply, parallel edges collapsed."""
+    from convgraph.operators.graph import build_edges
+    return build_edges(_relationships_no_duplicates(spark, sf), "context_new_id", "new_id", "context_type")
