@@ -100,9 +100,16 @@ def keep_ascii_and_emoji(col) -> Column:
     return F.regexp_replace(_c(col), NON_KEPT, "")
 
 
+# every code point with a non-zero canonical combining class, mapped to
+# deletion; built once per Python worker from the Unicode database
+_DROP_COMBINING = {cp: None for cp in range(0x110000) if unicodedata.combining(chr(cp))}
+
+
 def _fold_one(s: str) -> str:
-    nfkd = unicodedata.normalize("NFKD", s)
-    return "".join(ch for ch in nfkd if not unicodedata.combining(ch))
+    """NFKD, then drop combining marks (``str.translate`` runs in C)."""
+    if s.isascii():
+        return s
+    return unicodedata.normalize("NFKD", s).translate(_DROP_COMBINING)
 
 
 _WS = re.compile(r"\s+")

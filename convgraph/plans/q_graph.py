@@ -389,3 +389,60 @@ def split_balance(spark, sf):
     wide = sp.join(ev, "id").select("split", *[(F.col("event_type") == t).cast("int").alias(t) for t in _TYPES])
     b = L.balance_by_split(wide, "split", _TYPES)
     return b.select("split", "n_rows", *[r6(F.col(t)).alias(t) for t in _TYPES])
+
+
+# ---------------------------------------------------------------- G14-G17
+from convgraph.operators import community as C  # noqa: E402
+
+
+@query("modularity", f"""
+WITH e AS ({S.E2_EDGES_SQL}), n AS ({S.E2_NODES_SQL.replace('FROM e2', 'FROM e')}),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM e),
+l AS (SELECT a.community, count(*) AS l FROM e JOIN n a ON e.src = a.id JOIN n b ON e.dst = b.id
+      WHERE a.community = b.community GROUP BY 1),
+d AS (SELECT n.community, count(*) AS d FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) x
+      JOIN n ON x.id = n.id GROUP BY 1)
+SELECT round(sum(coalesce(l.l, 0) / m.m - (d.d / (2 * m.m)) ^ 2), 6) AS modularity,
+       count(*) AS n_communities
+FROM d LEFT JOIN l ON d.community = l.community CROSS JOIN m
+""")
+def modularity(spark, sf):
+    """G17 for a given partition (nation of supplier / customer)."""
+    e, n = S.e2_edges(spark, sf), S.e2_nodes(spark, sf)
+    q = C.modularity(e, n)
+    k = n.select("community").distinct().agg(F.count(F.lit(1)).alias("n_communities"))
+    return q.select(r6(F.col("modularity")).alias("modularity")).crossJoin(k)
+
+
+def _n_hubs(spark, sf):
+    return G.hubs(G.degrees(S.e2_edges(spark, sf))).count()
+
+
+@query("louvain_communities")
+def louvain_communities(spark, sf):
+    return C.louvain(S.e2_edges(spark, sf), resolution=0.1, seed=SEED)
+
+
+@query("greedy_modularity_communities")
+def greedy_modularity_communities(spark, sf):
+    return C.greedy_modularity(S.e2_edges(spark, sf), resolution=0.08, cutoff=max(1, _n_hubs(spark, sf)))
+
+
+@query("fluid_communities")
+def fluid_communities(spark, sf):
+    return C.fluid_communities(S.e2_edges(spark, sf), k=max(1, _n_hubs(spark, sf)), seed=SEED)
+
+
+@query("community_compare")
+def community_compare(spark, sf):
+    """Count, largest size and modularity of each partition."""
+    e = S.e2_edges(spark, sf)
+    parts = {"louvain": louvain_communities(spark, sf),
+             "greedy_modularity": greedy_modularity_communities(spark, sf),
+             "fluid": fluid_communities(spark, sf).filter(F.col("community").isNotNull())}
+    out = None
+    for name, p in parts.items():
+        sizes = C.community_sizes(p).agg(F.count(F.lit(1)).alias("n_communities"), F.max("size").alias("largest"))
+        row = sizes.crossJoin(C.modularity(e, p)).select(F.lit(name).alias("algorithm"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -110,3 +110,20 @@ def test_next_in_sequence_matches_lead(spark):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     exp = {r["event_id"]: r["n"] for r in df.withColumn("n", F.lead("event_id").over(w)).collect()}
     assert got == exp
+
+
+def test_communities_improve_modularity(spark):
+    from convgraph.operators import community as C
+    # four dense blocks joined by single bridges
+    edges = []
+    for b in range(4):
+        base = b * 10
+        edges += [(base + i, base + j) for i in range(10) for j in range(i + 1, 10) if (i + j) % 3]
+        edges.append((base, (base + 10) % 40))
+    e = spark.createDataFrame(edges, "src long, dst long")
+    single = C.modularity(e, e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+                          .withColumn("community", F.col("id"))).first()[0]
+    for part in (C.louvain(e, 1.0), C.greedy_modularity(e, 1.0), C.fluid_communities(e, 4)):
+        assert part.select("id").distinct().count() == part.count() == 40
+        q = C.modularity(e, part).first()[0]
+        assert q > single and q > 0.5
