@@ -44,7 +44,8 @@ def tfidf_by_label(df: DataFrame, col: str, long_labels: DataFrame, id_col: str
     w = (tf.join(dfreq, element).crossJoin(F.broadcast(n_docs))
            .withColumn("_w", F.col("tf") * (F.log((1 + F.col("_nd")) / (1 + F.col("_df"))) + 1)))
     norm = w.groupBy("label").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return w.join(norm, "label").select("label", element, (F.col("_w") / F.col("_norm")).alias("tfidf"))
+    # one row per label: bounded by the label set
+    return w.join(F.broadcast(norm), "label").select("label", element, (F.col("_w") / F.col("_norm")).alias("tfidf"))
 
 
 # A26

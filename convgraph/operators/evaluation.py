@@ -103,7 +103,8 @@ def _score_histogram(long: DataFrame) -> DataFrame:
                                                F.sum(1 - F.col("y")).alias("_neg"))
 
 
-def grouped_running_sums(df: DataFrame, key: str, order: list, values: list[str]) -> DataFrame:
+def grouped_running_sums(df: DataFrame, key: str, order: list, values: list[str],
+                         few_keys: bool = False) -> DataFrame:
     """Running sums of ``values`` inside each ``key`` group in ``order``,
     distributed: one global running sum per value over (key, order...),
     minus the key's starting offset (one row per key)."""
@@ -111,7 +112,8 @@ def grouped_running_sums(df: DataFrame, key: str, order: list, values: list[str]
     for v in values:
         out = global_running_sum(out, [F.col(key)] + order, v, "_g_" + v)
     starts = out.groupBy(key).agg(*[F.min(F.col("_g_" + v) - F.col(v)).alias("_s_" + v) for v in values])
-    out = out.join(starts, key)
+    # one row per key; broadcast when the caller knows the key set is small
+    out = out.join(F.broadcast(starts) if few_keys else starts, key)
     for v in values:
         out = out.withColumn("cum" + v, F.col("_g_" + v) - F.col("_s_" + v)).drop("_g_" + v, "_s_" + v)
     return out
@@ -122,9 +124,9 @@ def roc_auc(long: DataFrame) -> DataFrame:
     """Per label AUC by the trapezoid rule over distinct thresholds (ties
     count half), from a per-label score histogram."""
     h = _score_histogram(long)
-    c = grouped_running_sums(h, "label", [F.col("score").desc()], ["_pos", "_neg"])
+    c = grouped_running_sums(h, "label", [F.col("score").desc()], ["_pos", "_neg"], few_keys=True)
     tot = h.groupBy("label").agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"))
-    c = c.join(tot, "label")
+    c = c.join(F.broadcast(tot), "label")
     area = F.col("_neg") * (2 * F.col("cum_pos") - F.col("_pos")) / 2.0
     return c.groupBy("label").agg(F.sum(area).alias("_a"), F.first("P").alias("P"), F.first("N").alias("N")) \
             .select("label", F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_a") / (F.col("P") * F.col("N")))
@@ -135,9 +137,9 @@ def roc_auc(long: DataFrame) -> DataFrame:
 def average_precision(long: DataFrame) -> DataFrame:
     """AP = sum over thresholds (descending) of (R_n - R_{n-1}) * P_n."""
     h = _score_histogram(long)
-    c = grouped_running_sums(h, "label", [F.col("score").desc()], ["_pos", "_neg"])
+    c = grouped_running_sums(h, "label", [F.col("score").desc()], ["_pos", "_neg"], few_keys=True)
     tot = h.groupBy("label").agg(F.sum("_pos").alias("P"))
-    c = c.join(tot, "label")
+    c = c.join(F.broadcast(tot), "label")
     term = (F.col("_pos") / F.col("P")) * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
     return c.groupBy("label").agg(F.sum(F.when(F.col("P") > 0, term)).alias("average_precision"))
 

@@ -102,7 +102,8 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean, sample variance, central moments m2..m4 per group (two
     passes: mean first, then centred powers, for stable sums)."""
     mean = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    c = df.join(mean, group).withColumn("_d", F.col(value) - F.col("mean"))
+    # one row per group (a handful of flag values): broadcast
+    c = df.join(F.broadcast(mean), group).withColumn("_d", F.col(value) - F.col("mean"))
     m = c.groupBy(group, "n", "mean").agg((F.sum(F.col("_d") ** 2)).alias("_s2"),
                                           (F.sum(F.col("_d") ** 3)).alias("_s3"),
                                           (F.sum(F.col("_d") ** 4)).alias("_s4"))
