@@ -266,3 +266,8 @@ def word_count(col) -> Column:
 # X24
 def strip(col) -> Column:
     return F.trim(_c(col))
+
+
+from convgraph.session import pickle_by_value  # noqa: E402
+
+pickle_by_value(__name__)

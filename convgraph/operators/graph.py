@@ -106,10 +106,12 @@ def _sym(e: DataFrame) -> DataFrame:
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    # m(u) = min(N(u) ∪ {u}); connect every larger neighbour to m(u)
+    # m(u) = min(N(u) ∪ {u}); connect every larger neighbour to m(u).
+    # Duplicates are harmless to the small-star step that follows (it only
+    # takes minima and de-duplicates its own output), so no distinct here.
     m = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     out = e.join(m, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _sym(out)
+    return out.union(out.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter(F.col("u") != F.col("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:

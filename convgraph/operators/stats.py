@@ -261,3 +261,8 @@ def compare_means(df: DataFrame, flag: str, value: str, alpha: float = 0.05) ->
     return row.select(normal.alias("normality_pass"), homo.alias("homoscedasticity_pass"),
                       test.alias("test"), p.alias("p_value"), concl.alias("conclusion"),
                       F.col("n_1").alias("n1"), F.col("n_2").alias("n2"))
+
+
+from convgraph.session import pickle_by_value  # noqa: E402
+
+pickle_by_value(__name__)

@@ -446,3 +446,24 @@ def community_compare(spark, sf):
         row = sizes.crossJoin(C.modularity(e, p)).select(F.lit(name).alias("algorithm"), "*")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# ---------------------------------------------------------------- J6 + J7 + G23 + A37
+_EXCLUDED_TOPIC = "error"   # stand-in for the excluded topic list
+
+
+@query("topic_filtered_components", _E3_CC + f"""
+, keep AS (SELECT id FROM comp WHERE id NOT IN (SELECT event_id FROM events WHERE event_type = '{_EXCLUDED_TOPIC}'))
+SELECT count(DISTINCT comp.component_id) AS n_components, count(*) AS n_nodes,
+       round(count(*) * 1.0 / count(DISTINCT comp.component_id), 6) AS mean_component_size
+FROM comp JOIN keep ON comp.id = keep.id
+""")
+def topic_filtered_components(spark, sf):
+    """Nodes whose topic is excluded leave (anti join on the id list), the
+    components they belonged to are counted among the rest."""
+    comp = e3_components(spark, sf)
+    excluded = S.table(spark, sf, "events").filter(F.col("event_type") == _EXCLUDED_TOPIC) \
+                .select(F.col("event_id").alias("id"))
+    kept = comp.join(excluded, "id", "left_anti")
+    return kept.agg(F.count_distinct("component_id").alias("n_components"), F.count(F.lit(1)).alias("n_nodes"),
+                    r6(F.count(F.lit(1)) / F.count_distinct("component_id")).alias("mean_component_size"))

@@ -69,3 +69,15 @@ def cut_lineage(df, eager: bool = True):
     path = f"{base}/convgraph-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def pickle_by_value(module_name: str) -> None:
+    """Ship a module's Python UDF code to the workers inside the task
+    closures (cloudpickle by value), so executors need no installed copy of
+    the package and no PYTHONPATH set up by the caller."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[module_name])
+    except (ImportError, AttributeError, KeyError, ValueError):
+        pass

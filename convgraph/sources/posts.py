@@ -172,3 +172,8 @@ def parse_mixed_timestamp(col) -> Column:
 def unix_seconds(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.unix_micros(c.cast("timestamp")) / 1e6
+
+
+from convgraph.session import pickle_by_value  # noqa: E402
+
+pickle_by_value(__name__)
