@@ -195,21 +195,25 @@ def average_clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def rich_club(edges: DataFrame) -> DataFrame:
     """Un-normalised rich-club coefficient phi(k) = 2 E_k / (N_k (N_k - 1))
     for every k with N_k > 1, where N_k = nodes of degree > k and E_k = edges
-    between them.  Built from two small histograms (degree and edge
-    min-degree), not from per-k scans."""
+    between them.  One row per k in [0, max degree] (the output itself);
+    N_k and E_k come from equi joins of that axis with the degree and
+    edge-min-degree histograms and a distributed running sum over k."""
+    from convgraph.operators.relations import global_running_sum
     und = undirected(edges)
     deg = degrees(und)
-    dh = deg.groupBy("degree").agg(F.count(F.lit(1)).alias("nd"))
+    dh = deg.groupBy(F.col("degree").alias("k")).agg(F.count(F.lit(1)).alias("_nd"))
     em = (und.join(deg.toDF("src", "ds"), "src").join(deg.toDF("dst", "dd"), "dst")
-             .select(F.least("ds", "dd").alias("md"))
-             .groupBy("md").agg(F.count(F.lit(1)).alias("ne")))
-    maxd = deg.agg(F.max("degree").alias("mx"))
-    ks = maxd.select(F.explode(F.sequence(F.lit(0), F.col("mx"))).alias("k"))
-    nk = ks.join(F.broadcast(dh), F.col("degree") > F.col("k"), "left") \
-           .groupBy("k").agg(F.coalesce(F.sum("nd"), F.lit(0)).alias("n_k"))
-    ek = ks.join(F.broadcast(em), F.col("md") > F.col("k"), "left") \
-           .groupBy("k").agg(F.coalesce(F.sum("ne"), F.lit(0)).alias("e_k"))
-    out = nk.join(ek, "k").filter("n_k > 1")
+             .groupBy(F.least("ds", "dd").alias("k")).agg(F.count(F.lit(1)).alias("_ne")))
+    tot = deg.agg(F.count(F.lit(1)).alias("_tn"), F.max("degree").alias("_mx")).crossJoin(
+        und.agg(F.count(F.lit(1)).alias("_te")))
+    ks = tot.select(F.explode(F.sequence(F.lit(0), F.col("_mx"))).alias("k"))
+    axis = (ks.join(dh, "k", "left").join(em, "k", "left")
+              .select("k", F.coalesce("_nd", F.lit(0)).alias("_nd"), F.coalesce("_ne", F.lit(0)).alias("_ne")))
+    axis = global_running_sum(axis, [F.col("k")], "_nd", "_cn")
+    axis = global_running_sum(axis, [F.col("k")], "_ne", "_ce")
+    out = axis.crossJoin(F.broadcast(tot)).select(
+        "k", (F.col("_tn") - F.col("_cn")).alias("n_k"), (F.col("_te") - F.col("_ce")).alias("e_k"))
+    out = out.filter("n_k > 1")
     return out.select("k", (2.0 * F.col("e_k") / (F.col("n_k") * (F.col("n_k") - 1))).alias("phi"))
 
 

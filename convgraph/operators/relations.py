@@ -88,6 +88,29 @@ def competition_rank(df: DataFrame, value: str, out: str = "rank",
     return df.join(ranks, value)
 
 
+def exact_percentiles(df: DataFrame, value: str, percentiles, group: str | None = None) -> DataFrame:
+    """Exact linear-interpolated percentiles (numpy's default rule), without
+    collecting the values of a group into one aggregation buffer: values are
+    ranked with the distributed global positions, and for each requested p
+    the two order statistics around h = 1 + (n - 1) p are fetched by an equi
+    join on (group, rank).  Returns (group?, p, value)."""
+    keys = [group] if group else []
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    pos = global_positions(base, [*keys, "_v"], "_pos")
+    stats = pos.groupBy(*keys).agg((F.min("_pos") - 1).alias("_off"), F.count(F.lit(1)).alias("_n"))
+    ps = pos.sparkSession.createDataFrame([(float(p),) for p in percentiles], "p double")
+    tgt = stats.crossJoin(F.broadcast(ps)).withColumn("_h", 1 + (F.col("_n") - 1) * F.col("p")) \
+               .withColumn("_lo", F.floor("_h").cast("long")).withColumn("_hi", F.ceil("_h").cast("long"))
+    # one row per (group, p): bounded by the group count times |percentiles|
+    ranked = pos.join(stats, keys, "inner") if keys else pos.crossJoin(F.broadcast(stats))
+    ranked = ranked.select(*keys, (F.col("_pos") - F.col("_off")).alias("_r"), "_v")
+    lo = ranked.withColumnRenamed("_r", "_lo").withColumnRenamed("_v", "_vlo")
+    hi = ranked.withColumnRenamed("_r", "_hi").withColumnRenamed("_v", "_vhi")
+    out = tgt.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
+    frac = F.col("_h") - F.col("_lo")
+    return out.select(*keys, "p", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias(value))
+
+
 # --------------------------------------------------------------------------
 # P8-P16
 # --------------------------------------------------------------------------
@@ -257,16 +280,17 @@ def share_below(col: str, threshold) -> Column:
 
 def summary_stats(df: DataFrame, col: str,
                   percentiles=(0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999)) -> DataFrame:
-    """Mean, min, max and exact linear percentiles, long form.
-
-    ``percentile`` keeps a value->count map, so its memory grows with the
-    number of distinct values (sizes, counts), not with the rows.
-    """
+    """Mean, min, max, count and exact linear percentiles, long form
+    (stat, value).  Percentiles come from distributed order statistics."""
     aggs = [F.avg(col).alias("mean"), F.min(col).cast("double").alias("min"),
             F.max(col).cast("double").alias("max"), F.count(col).cast("double").alias("count")]
-    aggs += [F.percentile(F.col(col), p).alias(("p%g" % (p * 100)).replace(".", "_")) for p in percentiles]
     wide = df.agg(*aggs)
-    return wide.unpivot([], wide.columns, "stat", "value")
+    basic = wide.unpivot([], wide.columns, "stat", "value")
+    pct = exact_percentiles(df, col, percentiles).select(
+        F.concat(F.lit("p"), F.regexp_replace(F.format_number(F.col("p") * 100, 2), r"\.?0+$", "")).alias("stat"),
+        F.col(col).alias("value"))
+    pct = pct.withColumn("stat", F.regexp_replace("stat", r"\.", "_"))
+    return basic.unionByName(pct)
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:

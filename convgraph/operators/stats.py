@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convgraph.operators.relations import global_running_sum
+from convgraph.operators.relations import exact_percentiles, global_running_sum
 
 # --- fixed values: Chebyshev coefficients of the erfc approximation -------
 _ERFC_COEF = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
@@ -124,10 +124,12 @@ def jarque_bera(moments: DataFrame) -> DataFrame:
 # I7
 def levene(df: DataFrame, group: str, value: str, exact_median: bool = True) -> DataFrame:
     """Brown-Forsythe (median-centred) Levene W with its F degrees of
-    freedom.  The exact median keeps a value->count map per group; set
-    ``exact_median=False`` for groups with billions of distinct values."""
-    med = F.percentile(value, 0.5) if exact_median else F.percentile_approx(value, 0.5, 100000)
-    meds = df.groupBy(group).agg(med.alias("_med"))
+    freedom.  The exact median comes from distributed order statistics (no
+    per-group value buffer); ``exact_median=False`` uses a sketch instead."""
+    if exact_median:
+        meds = exact_percentiles(df, value, [0.5], group).select(group, F.col(value).alias("_med"))
+    else:
+        meds = df.groupBy(group).agg(F.percentile_approx(value, 0.5, 100000).alias("_med"))
     z = df.join(F.broadcast(meds), group).select(group, F.abs(F.col(value) - F.col("_med")).alias("_z"))
     zi = z.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("_z").alias("_zi"))
     zall = z.agg(F.avg("_z").alias("_zbar"), F.count(F.lit(1)).alias("_total"))

@@ -106,13 +106,13 @@ def component_stats(spark, sf):
     comp = e3_components(spark, sf).select("component_id", "size").distinct()
     st = comp.agg(F.count(F.lit(1)).cast("double").alias("n_components"), F.avg("size").alias("mean"),
                   F.min("size").cast("double").alias("min"), F.max("size").cast("double").alias("max"),
-                  F.percentile("size", 0.5).alias("p50"), F.percentile("size", 0.9).alias("p90"),
-                  F.percentile("size", 0.99).alias("p99"),
                   (F.max("size") * 100.0 / F.sum("size")).alias("largest_pct"),
                   (F.sum(F.when(F.col("component_id") <= 20, F.col("size"))) * 100.0 / F.sum("size"))
                   .alias("top20_pct"))
     long = st.unpivot([], st.columns, "stat", "value")
-    return long.select("stat", r6(F.col("value")).alias("value"))
+    pct = R.exact_percentiles(comp, "size", [0.5, 0.9, 0.99]).select(
+        F.concat(F.lit("p"), (F.col("p") * 100).cast("int").cast("string")).alias("stat"), F.col("size").alias("value"))
+    return long.unionByName(pct).select("stat", r6(F.col("value")).alias("value"))
 
 
 # ---------------------------------------------------------------- G7 + J8
