@@ -296,3 +296,17 @@ def summary_stats(df: DataFrame, col: str,
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     """U1"""
     return reduce(lambda x, y: x.unionByName(y), dfs)
+
+
+# W12
+def order_by_group_time(df: DataFrame, group: str, time: str, key: str) -> DataFrame:
+    """Rows ordered by (group, time, key): range-partitioned on the group so
+    every group is contiguous, then sorted inside each partition (no single
+    sorted partition)."""
+    return df.repartitionByRange(group).sortWithinPartitions(group, time, key)
+
+
+# W13
+def first_n(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows in ``order`` (a debug cap: TakeOrderedAndProject)."""
+    return df.orderBy(*_cols(order)).limit(n)

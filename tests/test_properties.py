@@ -127,3 +127,35 @@ def test_communities_improve_modularity(spark):
         assert part.select("id").distinct().count() == part.count() == 40
         q = C.modularity(e, part).first()[0]
         assert q > single and q > 0.5
+
+
+def test_exact_percentiles_match_numpy(spark):
+    import numpy as np
+    rnd = random.Random(13)
+    rows = [(g, float(rnd.choice([rnd.randrange(0, 30), rnd.random() * 100]))) for g in range(3) for _ in range(97 + g * 50)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    ps = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {(r["g"], r["p"]): r["v"] for r in R.exact_percentiles(df, "v", ps, "g").collect()}
+    for g in range(3):
+        vals = np.array([v for gg, v in rows if gg == g])
+        for p in ps:
+            assert abs(got[(g, p)] - float(np.percentile(vals, p * 100))) < 1e-9
+
+
+def test_rich_club_matches_bruteforce(spark):
+    rnd = random.Random(21)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in
+                    ((rnd.randrange(0, 40), rnd.randrange(0, 40)) for _ in range(150)) if a != b})
+    deg = defaultdict(int)
+    for a, b in edges:
+        deg[a] += 1
+        deg[b] += 1
+    got = {r["k"]: r["phi"] for r in G.rich_club(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    exp = {}
+    for k in range(0, max(deg.values()) + 1):
+        rich = {n for n, d in deg.items() if d > k}
+        if len(rich) > 1:
+            ek = sum(1 for a, b in edges if a in rich and b in rich)
+            exp[k] = 2.0 * ek / (len(rich) * (len(rich) - 1))
+    assert got.keys() == exp.keys()
+    assert all(abs(got[k] - exp[k]) < 1e-12 for k in exp)
