@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convgraph.operators.relations import global_positions
-from convgraph.session import cut_lineage
+from convgraph.session import cut_lineage, release
 
 MAX_ROUNDS = 200
 
@@ -81,14 +81,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
     e = cut_lineage(e)
     prev, prev_n = e, e.count()
     for _ in range(max_rounds):
-        e = _small_star(_large_star(e))
-        e = cut_lineage(e)
+        e = cut_lineage(_small_star(_large_star(prev)))
         n = e.count()
         if n == prev_n:
             # same size and a subset of the previous set -> no change
             changed = e.join(prev, ["u", "v"], "left_anti").limit(1).count() if n else 0
             if changed == 0:
+                release(prev)
                 break
+        release(prev)
         prev, prev_n = e, n
     else:
         raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
@@ -229,6 +230,7 @@ def is_dag(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> bool:
     """
     e = edges.select("src", "dst").distinct()
     e = cut_lineage(e)
+    deg = None
     for rnd in range(max_rounds):
         if e.filter(F.col("src") == F.col("dst")).limit(1).count():
             return False
@@ -236,31 +238,31 @@ def is_dag(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> bool:
             return True
         outd = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o"))
         ind = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i"))
-        deg = outd.join(ind, "id", "full").fillna(0, ["o", "i"])
-        deg = cut_lineage(deg)
+        deg = cut_lineage(outd.join(ind, "id", "full").fillna(0, ["o", "i"]), replaces=deg)
         dead = deg.filter((F.col("o") == 0) | (F.col("i") == 0)).select("id")
         chain = deg.filter((F.col("o") == 1) & (F.col("i") == 1)).select("id")
         if dead.limit(1).count() == 0 and chain.limit(1).count() == 0:
             return False
+        e_round = e
         e = e.join(dead.withColumnRenamed("id", "src"), "src", "left_anti") \
              .join(dead.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
         # random mate: contract chain node v (coin heads) whose predecessor
         # is not a contracted node (coin tails or not a chain node)
         coin = (F.xxhash64(F.col("id"), F.lit(rnd)) % 2 == 0)
         heads = chain.filter(coin).select("id")
-        e = cut_lineage(e)
-        into = e.join(heads.withColumnRenamed("id", "dst"), "dst", "left_semi")  # u -> v
-        outof = e.join(heads.withColumnRenamed("id", "src"), "src", "left_semi")  # v -> w
+        e_cut = cut_lineage(e, replaces=e_round)
+        into = e_cut.join(heads.withColumnRenamed("id", "dst"), "dst", "left_semi")  # u -> v
+        outof = e_cut.join(heads.withColumnRenamed("id", "src"), "src", "left_semi")  # v -> w
         # keep only v whose predecessor u is not itself contracted this round
         into = into.join(heads.withColumnRenamed("id", "src"), "src", "left_anti")
         bypass = into.select(F.col("src").alias("u"), F.col("dst").alias("v")) \
                      .join(outof.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v") \
                      .select(F.col("u").alias("src"), F.col("w").alias("dst"))
         gone = into.select(F.col("dst").alias("id"))
-        e = (e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
-              .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-              .select("src", "dst").unionByName(bypass).distinct())
-        e = cut_lineage(e)
+        e = (e_cut.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
+                  .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+                  .select("src", "dst").unionByName(bypass).distinct())
+        e = cut_lineage(e, replaces=e_cut)
     raise RuntimeError(f"is_dag did not finish in {max_rounds} rounds")
 
 

@@ -56,19 +56,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df, eager: bool = True):
+_CUT_PATHS: dict[int, str] = {}
+
+
+def cut_lineage(df, eager: bool = True, replaces=None):
     """Cut lineage by writing the rows to the shared checkpoint folder as
     Parquet and reading them back.
 
     Survives executor loss (unlike ``localCheckpoint``), bounds the plan of
     iterative jobs, and -- unlike ``Dataset.checkpoint`` -- carries no
     accumulated plan metadata from earlier rounds into the next one, so
-    planning time stays flat over hundreds of rounds.
+    planning time stays flat over hundreds of rounds.  ``replaces`` names an
+    earlier cut that the new one supersedes; its folder is deleted once the
+    new rows are written, so an iterative job keeps one or two rounds on
+    storage instead of all of them.
     """
-    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/convgraph-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = spark.read.parquet(path)
+    _CUT_PATHS[id(out)] = path
+    if replaces is not None:
+        release(replaces)
+    return out
+
+
+def release(df) -> None:
+    """Delete the storage behind a DataFrame returned by ``cut_lineage``
+    (no-op for anything else).  Only call it when nothing still reads it."""
+    path = _CUT_PATHS.pop(id(df), None)
+    if not path:
+        return
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def pickle_by_value(module_name: str) -> None:
