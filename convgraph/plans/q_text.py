@@ -154,3 +154,26 @@ def truncate_tokens(spark, sf):
     txt, flag = X.truncate_tokens("text", 128)
     return lab.select("id", X.word_count("text").alias("n_tokens"), flag.alias("truncated"),
                       txt.alias("main_text"))
+
+
+# ---------------------------------------------------------------- J10 + P13 + P9 + P16
+@query("annotation_join", _ANN_SQL + f"""
+, o AS (SELECT id, {", ".join(f"CAST(list_contains(choices, '{l}') AS INTEGER) AS {l}" for l in S.LABELS)} FROM p)
+SELECT o.*, d.source, d.lang, d.n_chars,
+       nullif(regexp_extract(d.text, '^([^.]*)', 1), '') AS first_sentence,
+       coalesce(d.source, '') || coalesce(d.lang, '') AS source_lang
+FROM o LEFT JOIN documents d ON o.id = d.doc_id
+""")
+def annotation_join(spark, sf):
+    """Annotations (one-hot, A28) left-joined to the posts, keeping named
+    columns; text columns dropped by pattern (P13); '' -> NULL (P9); a
+    null-safe concatenation (P16)."""
+    from convgraph.operators import relations as R
+    a = annotations(spark, sf).select("id", X.annotation_choices("fallacy").alias("choices"))
+    o = a.select("id", *[F.array_contains("choices", l).cast("int").alias(l) for l in S.LABELS])
+    d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "n_chars",
+                                               F.col("text").alias("raw_text"))
+    j = o.join(d, "id", "left")
+    j = j.withColumn("first_sentence", R.empty_to_null(F.regexp_extract("raw_text", r"^([^.]*)", 1))) \
+         .withColumn("source_lang", R.concat_null_safe("source", "lang"))
+    return R.drop_like(j, fragment="raw_text")

@@ -51,6 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or configured
     if current:
         return current
+    if not sc.master.startswith("local"):
+        # a machine-local folder is not shared by the executors of a cluster
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for iterative jobs")
     path = tempfile.mkdtemp(prefix="convgraph-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()

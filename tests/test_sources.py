@@ -113,3 +113,26 @@ def test_stream_cleans_new_files(spark, tmp_dir):
     q.awaitTermination(120)
     out = spark.read.parquet(os.path.join(tmp_dir, "out")).collect()
     assert [(r["id"], r["clean_text"]) for r in out] == [("1", "hello full")]
+
+
+def test_csv_roundtrip_annotations_lexicon_selected(spark, tmp_dir):
+    df = spark.createDataFrame([(1, 'say "hi"\nthere', 0), (2, "plain", 1)], "new_id long, text string, lab int")
+    for split in ("train", "val", "test"):
+        SIO.write_csv(df, os.path.join(tmp_dir, split))
+    back = SIO.read_split_csvs(spark, [os.path.join(tmp_dir, s) for s in ("train", "val", "test")],
+                               "new_id long, text string, lab int")
+    assert back.count() == 6 and back.filter(F.col("text") == 'say "hi"\nthere').count() == 3
+    ann = spark.createDataFrame([(7, "2024", 11, '{"choices":["a"]}')], "annotation_id long, created_at string, new_id long, fallacy string")
+    SIO.write_csv(ann, os.path.join(tmp_dir, "ann"))
+    a = SIO.read_annotations(spark, os.path.join(tmp_dir, "ann"))
+    assert a.columns == ["new_id", "fallacy"] and a.first()["new_id"] == "11"
+    with open(os.path.join(tmp_dir, "lex.txt"), "w") as f:
+        f.write("good\t0.9\t0.1\t0.3\nbad\t0.1\t0.8\t0.2\n")
+    assert SIO.read_lexicon(spark, os.path.join(tmp_dir, "lex.txt")).count() == 2
+    sel = {"selected_hashtags": spark.createDataFrame([("b",), ("a",)], "element string"),
+           "selected_mentions": spark.createDataFrame([("m",)], "element string")}
+    SIO.write_selected_elements(spark, sel, os.path.join(tmp_dir, "sel"))
+    row = SIO.read_selected_elements(spark, os.path.join(tmp_dir, "sel"), list(sel)).first()
+    assert row["selected_hashtags"] == ["a", "b"] and row["selected_mentions"] == ["m"]
+    staged = SIO.write_stage(df, os.path.join(tmp_dir, "stage"))
+    assert staged.count() == 2
