@@ -467,3 +467,24 @@ def topic_filtered_components(spark, sf):
     kept = comp.join(excluded, "id", "left_anti")
     return kept.agg(F.count_distinct("component_id").alias("n_components"), F.count(F.lit(1)).alias("n_nodes"),
                     r6(F.count(F.lit(1)) / F.count_distinct("component_id")).alias("mean_component_size"))
+
+
+# ---------------------------------------------------------------- G12 (directed form)
+@query("clustering_directed", "WITH " + _E3 + """,
+d AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst),
+pr AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, count(*) AS b FROM d GROUP BY 1, 2),
+bb AS (SELECT x AS u, y AS v, b FROM pr UNION ALL SELECT y, x, b FROM pr),
+tri AS (SELECT p.x AS a, p.y AS u, q.y AS v, p.b * q.b * r.b AS t
+        FROM pr p JOIN pr q ON p.x = q.x AND p.y < q.y JOIN pr r ON r.x = p.y AND r.y = q.y),
+per AS (SELECT id, sum(t) AS t FROM (SELECT a AS id, t FROM tri UNION ALL SELECT u, t FROM tri UNION ALL SELECT v, t FROM tri) GROUP BY id),
+dt AS (SELECT id, count(*) AS dtot FROM (SELECT src AS id FROM d UNION ALL SELECT dst FROM d) GROUP BY id),
+dr AS (SELECT id, count(*) AS drec FROM (SELECT x AS id FROM pr WHERE b = 2 UNION ALL SELECT y FROM pr WHERE b = 2) GROUP BY id),
+c AS (SELECT v.event_id AS id, coalesce(dt.dtot, 0) AS dtot, coalesce(dr.drec, 0) AS drec, coalesce(per.t, 0) AS t
+      FROM events v LEFT JOIN dt ON v.event_id = dt.id LEFT JOIN dr ON v.event_id = dr.id LEFT JOIN per ON v.event_id = per.id)
+SELECT round(avg(CASE WHEN dtot * (dtot - 1) - 2 * drec > 0 AND t > 0 THEN t / (dtot * (dtot - 1) - 2 * drec) ELSE 0.0 END), 6)
+       AS avg_clustering
+FROM c
+""")
+def clustering_directed(spark, sf):
+    c = G.average_clustering_directed(e3(spark, sf), e3_node_ids(spark, sf))
+    return c.select(r6(F.col("avg_clustering")).alias("avg_clustering"))

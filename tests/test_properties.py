@@ -159,3 +159,23 @@ def test_rich_club_matches_bruteforce(spark):
             exp[k] = 2.0 * ek / (len(rich) * (len(rich) - 1))
     assert got.keys() == exp.keys()
     assert all(abs(got[k] - exp[k]) < 1e-12 for k in exp)
+
+
+def test_directed_clustering_matches_definition(spark):
+    rnd = random.Random(4)
+    arcs = {(rnd.randrange(0, 25), rnd.randrange(0, 25)) for _ in range(120)}
+    arcs = {(a, b) for a, b in arcs if a != b}
+    nodes = list(range(27))
+    A = {(a, b): 1 for a, b in arcs}
+    a = lambda x, y: A.get((x, y), 0)
+    exp = []
+    for u in nodes:
+        t = sum((a(u, v) + a(v, u)) * (a(v, w) + a(w, v)) * (a(w, u) + a(u, w)) for v in nodes for w in nodes)
+        dtot = sum(a(u, v) + a(v, u) for v in nodes)
+        drec = sum(a(u, v) * a(v, u) for v in nodes)
+        den = 2 * (dtot * (dtot - 1) - 2 * drec)
+        exp.append(t / den if t > 0 and den > 0 else 0.0)
+    e = spark.createDataFrame(sorted(arcs), "src long, dst long")
+    n = spark.createDataFrame([(x,) for x in nodes], "id long")
+    got = G.average_clustering_directed(e, n).first()[0]
+    assert abs(got - sum(exp) / len(exp)) < 1e-12
