@@ -177,3 +177,27 @@ def annotation_join(spark, sf):
     j = j.withColumn("first_sentence", R.empty_to_null(F.regexp_extract("raw_text", r"^([^.]*)", 1))) \
          .withColumn("source_lang", R.concat_null_safe("source", "lang"))
     return R.drop_like(j, fragment="raw_text")
+
+
+# ---------------------------------------------------------------- X10 / X11 + A23
+@query("emoji_frequency", f"""
+WITH t AS (SELECT unnest(regexp_extract_all(text, '({X.EMOJI_TOKEN})', 1)) AS element FROM documents)
+SELECT element, count(*) AS frequency FROM t GROUP BY element
+""")
+def emoji_frequency(spark, sf):
+    """Emojis (flags, tone and gender modifiers kept together) by frequency."""
+    from convgraph.operators import elements as E
+    d = S.table(spark, sf, "documents").select(X.extract_emojis("text").alias("emojis"))
+    return E.frequencies(d, "emojis")
+
+
+@query("mention_frequency", r"""
+WITH t AS (SELECT unnest(regexp_extract_all(text, '@([A-Za-z0-9_.]+)', 1)) AS m FROM documents)
+SELECT lower(regexp_replace(m, '[^a-zA-Z0-9]', '', 'g')) AS element, count(*) AS frequency FROM t GROUP BY 1
+""")
+def mention_frequency(spark, sf):
+    """Mentions cleaned to lower-case alphanumerics (X11), by frequency."""
+    from convgraph.operators import elements as E
+    d = S.table(spark, sf, "documents").select(
+        X.lower_alnum(F.regexp_extract_all("text", F.lit(r"@([A-Za-z0-9_.]+)"), 1)).alias("mentions"))
+    return E.frequencies(d, "mentions")
