@@ -150,10 +150,24 @@ def remove_diacritics(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else _fold_one(v))
 
 
+# Python's whitespace class restricted to ASCII (str.isspace: includes the
+# four information separators 0x1C-0x1F, which Java's \s lacks)
+_ASCII_PY_WS = r"[\t\n\x0B\f\r\x1C-\x1F ]"
+
+
 def clean_text(col) -> Column:
-    """X1..X9 in the reference's order."""
+    """X1..X9 in the reference's order.
+
+    Only rows that hold an entity candidate ('&') or a non-ASCII character
+    need Python (HTML unescape, NFKD folding); the others take the same
+    steps as JVM expressions.  The UDF receives NULL for those rows, so
+    almost nothing crosses the Arrow boundary for plain ASCII text.
+    """
     c = escapes_to_space(remove_urls(remove_retweet_prefix(col)))
-    return keep_ascii_and_emoji(unescape_and_fold(c))
+    needs_python = c.rlike(r"[^\x00-\x7F]|&")
+    py = unescape_and_fold(F.when(needs_python, c))
+    native = ascii_quotes(F.regexp_replace(F.regexp_replace(c, _ASCII_PY_WS + "+", " "), _ASCII_PY_WS + "+$", ""))
+    return keep_ascii_and_emoji(F.when(needs_python, py).otherwise(native))
 
 
 def clean_text_native(col) -> Column:

@@ -30,9 +30,10 @@ def _cols(cols):
 # distributed global order helpers
 # --------------------------------------------------------------------------
 def _ordered_partitions(df: DataFrame, order: list, num_partitions: int | None):
-    n = num_partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
+    # without an explicit count AQE may coalesce the range partitions of a
+    # small (aggregated) table; large inputs keep the session's parallelism
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    ranged = (ranged.sortWithinPartitions(*order)
                 .withColumn("_mid", F.monotonically_increasing_id()))
     # pin the range layout: ids must not change if a stage is recomputed
     ranged = cut_lineage(ranged)

@@ -100,3 +100,26 @@ def test_lexicon_miss_is_neutral(spark):
     lex = spark.createDataFrame([("good", 0.9, 0.1, 0.3)], "word string, valence double, arousal double, dominance double")
     got = {r["id"]: r["valence"] for r in FT.lexicon_scores(docs, "id", "text", lex).collect()}
     assert got == {1: 0.5, 2: 0.9}
+
+
+def test_clean_text_fast_path_matches_python(spark):
+    import html
+    import re
+    import unicodedata
+
+    def py_clean(t):
+        t = re.sub(r"RT @[^:\s]+:", "", t)
+        t = re.sub(r"https?://\S+", "", t)
+        t = re.sub(r"\xa0|\x9d|\xb6|\\|\t|\n|\r|\f", " ", t)
+        t = html.unescape(t)
+        t = re.sub(r"\s+", " ", t)
+        t = re.sub(r"\s+$", "", t)
+        t = t.replace("’", "'").replace("‘", "'").replace("“", '"').replace("”", '"')
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        return "".join(c for c in t if c.isascii())
+
+    samples = ["a\x1c\x1db  c \x0b d\x1f ", "plain text.  ", " lead\tand\ntrail\r\n", "x &amp; y &lt;z&gt; &ampx",
+               "café naïve — “q” ’s", "RT @u: http://a.b/c keep  ", "tab\\back", " em space　wide"]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    got = [r[0] for r in df.select(X.clean_text("t")).collect()]
+    assert got == [py_clean(s) for s in samples]
