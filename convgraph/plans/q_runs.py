@@ -58,11 +58,11 @@ def flag_mean(spark, sf):
 # ---------------------------------------------------------------- M12 + P17
 @query("ablation", _RAW_SQL + """
 SELECT model_dir, test_f1, std_test_f1, context, sentiment_scores, pos FROM sm
-WHERE regexp_matches(model_dir, 'deberta|roberta') AND NOT regexp_matches(model_dir, 'POS')
+WHERE regexp_matches(model_dir, 'encoder-a|encoder-b') AND NOT regexp_matches(model_dir, 'POS')
 """)
 def ablation(spark, sf):
     s = _summary(spark, sf)
-    return s.filter(RU.include_exclude("model_dir", ["deberta", "roberta"], ["POS"])) \
+    return s.filter(RU.include_exclude("model_dir", ["encoder-a", "encoder-b"], ["POS"])) \
             .select("model_dir", "test_f1", "std_test_f1", "context", "sentiment_scores", "pos")
 
 

@@ -297,13 +297,13 @@ FROM orders GROUP BY 1, 2, 3
 
 
 def model_dir_expr(model_col):
-    return (F.when(model_col == "F", F.lit("deberta-v3-base_with_context_VADER_VAD"))
-             .when(model_col == "O", F.lit("roberta-base_POS_emojis"))
-             .otherwise(F.lit("bert-base_hashtags_with_context")))
+    return (F.when(model_col == "F", F.lit("encoder-a_with_context_VADER_VAD"))
+             .when(model_col == "O", F.lit("encoder-b_POS_emojis"))
+             .otherwise(F.lit("encoder-c_hashtags_with_context")))
 
 
-MODEL_DIR_SQL = """CASE WHEN model = 'F' THEN 'deberta-v3-base_with_context_VADER_VAD'
- WHEN model = 'O' THEN 'roberta-base_POS_emojis' ELSE 'bert-base_hashtags_with_context' END"""
+MODEL_DIR_SQL = """CASE WHEN model = 'F' THEN 'encoder-a_with_context_VADER_VAD'
+ WHEN model = 'O' THEN 'encoder-b_POS_emojis' ELSE 'encoder-c_hashtags_with_context' END"""
 
 
 def run_metrics(spark, sf_dir) -> DataFrame:
