@@ -91,10 +91,13 @@ def release(df) -> None:
     path = _CUT_PATHS.pop(id(df), None)
     if not path:
         return
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+    try:  # clean-up is best effort: a failure here must not fail the job
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001
+        pass
 
 
 def pickle_by_value(module_name: str) -> None:
