@@ -61,6 +61,30 @@ def dropped(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A class of equal rows is spread over up to this many tasks when something
+#: about the class is joined back to its rows.
+SALTS = 256
+
+
+def with_salt(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+
+
+def salt_bits() -> list:
+    """Aggregates that note which salts occur in a class: four longs, combined
+    before the shuffle, whatever the size of the class."""
+    return [F.expr(f"bit_or(if(salt div 64 = {j}, shiftleft(1L, salt % 64), 0L))").alias(f"_bits{j}")
+            for j in range(SALTS // 64)]
+
+
+def per_salt(classes: DataFrame) -> DataFrame:
+    """One row per class and salt that occurs in it, as column ``salt``."""
+    has = ", ".join(f"_bits{j}" for j in range(SALTS // 64))
+    present = F.expr(f"filter(sequence(0, {SALTS - 1}), s -> "
+                     f"(get(array({has}), int(s div 64)) & shiftleft(1L, s % 64)) != 0)")
+    return classes.withColumn("salt", F.explode(present)).drop(*[f"_bits{j}" for j in range(SALTS // 64)])
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker process."""
     holder = sys.modules.get("_convgraph_llm_worker")
@@ -113,10 +137,10 @@ def text_slices(batch, column: str = "text", slice_bytes: int = SLICE_BYTES):
         lo = hi
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[list(WHITESPACE)] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SPACE = np.zeros(256, dtype=bool)
+SPACE[list(WHITESPACE)] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray):
@@ -124,7 +148,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray):
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offs] = True
     start = word.copy()

@@ -7,7 +7,7 @@ different classes.  Copies are combined before the shuffle, one row per
 distinct text leaves a task, whatever the size of the group.  The classes then
 go back to the rows by (hash, SHA-256 of the class text, salt); only the salts
 that occur in a class are sent, so a class of any size is spread over up to
-``SALTS`` tasks.
+256 tasks.
 
 Defined results: a null text is the empty text; a null id never wins over a
 non-null one; rows that repeat an id share the decision; an empty table gives
@@ -17,10 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from convgraph.llm.common import id_text
-
-SALTS = 256
-_LONGS = SALTS // 64
+from convgraph.llm.common import id_text, per_salt, salt_bits, with_salt
 
 
 def normalised(text: Column) -> Column:
@@ -34,18 +31,12 @@ def md5_128(text: Column) -> Column:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 hash_128=md5_128) -> DataFrame:
     """One row per input row: (id, keep_id, group_size, kept, text_sha256)."""
-    rows = id_text(docs, id_col, text_col).select("id", normalised(F.col("text")).alias("norm")) \
-        .withColumn("h", hash_128(F.col("norm"))) \
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    bits = [F.expr(f"bit_or(if(salt div 64 = {j}, shiftleft(1L, salt % 64), 0L))").alias(f"b{j}")
-            for j in range(_LONGS)]
+    rows = with_salt(id_text(docs, id_col, text_col).select("id", normalised(F.col("text")).alias("norm"))
+                     .withColumn("h", hash_128(F.col("norm"))))
     classes = rows.groupBy("h", "norm").agg(F.min("id").alias("keep_id"),
-                                            F.count(F.lit(1)).alias("group_size"), *bits)
-    has = ", ".join(f"b{j}" for j in range(_LONGS))
-    present = F.expr(f"filter(sequence(0, {SALTS - 1}), s -> "
-                     f"(get(array({has}), int(s div 64)) & shiftleft(1L, s % 64)) != 0)")
+                                            F.count(F.lit(1)).alias("group_size"), *salt_bits())
     sha = F.unhex(F.sha2("norm", 256)).alias("sha")
-    spread = classes.select("h", sha, "keep_id", "group_size", F.explode(present).alias("salt"))
+    spread = per_salt(classes.withColumn("sha", sha).drop("norm"))
     return (rows.select("id", "h", sha, "salt")
                 .join(spread, ["h", "sha", "salt"])
                 .select(F.col("id").alias(id_col), "keep_id", "group_size",

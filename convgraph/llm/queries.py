@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from convgraph.llm import exact_dedup as _exact
 from convgraph.llm.common import table
+from convgraph.llm.minhash_hamming import near_dedup
 from convgraph.llm.packing import pack
 from convgraph.llm.token_counts import token_counts
 
@@ -38,3 +39,8 @@ def op2_token_counts(spark, sf_dir):
     FROM t WINDOW w AS (PARTITION BY norm)""")
 def op5_exact_dedup(spark, sf_dir):
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op8_minhash_hamming")
+def op8_minhash_hamming(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"))
