@@ -7,6 +7,7 @@ from convgraph.llm import exact_dedup as _exact
 from convgraph.llm.common import table
 from convgraph.llm.minhash_hamming import near_dedup
 from convgraph.llm.packing import pack
+from convgraph.llm.substring_dedup import substring_dedup
 from convgraph.llm.token_counts import token_counts
 
 QUERIES: dict = {}
@@ -41,6 +42,12 @@ def op5_exact_dedup(spark, sf_dir):
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark, sf_dir):
+    return (substring_dedup(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+
+
 @query("op8_minhash_hamming")
 def op8_minhash_hamming(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"))
