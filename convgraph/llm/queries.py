@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convgraph.llm import exact_dedup as _exact
+from convgraph.llm.bpe_duckdb import decode, encode
 from convgraph.llm.common import table
 from convgraph.llm.minhash_hamming import near_dedup
 from convgraph.llm.packing import pack
@@ -33,6 +34,13 @@ def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query("op4_bpe_duckdb")
+def op4_bpe_duckdb(spark, sf_dir):
+    return (decode(encode(table(spark, sf_dir, "documents")))
+            .select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                    F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
+
+
 @query("op5_exact_dedup", r"""
     WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
     SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
