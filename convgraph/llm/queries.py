@@ -8,6 +8,7 @@ from convgraph.llm.bpe_duckdb import decode, encode
 from convgraph.llm.common import table
 from convgraph.llm.minhash_hamming import near_dedup
 from convgraph.llm.packing import pack
+from convgraph.llm.quality_ledger import BIT, apply_policy, ledger
 from convgraph.llm.substring_dedup import substring_dedup
 from convgraph.llm.token_counts import token_counts
 
@@ -56,6 +57,14 @@ def op6_substring_dedup(spark, sf_dir):
             .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+@query("op7_quality_ledger")
+def op7_quality_ledger(spark, sf_dir):
+    base = BIT["few_words"] | BIT["repeated_windows"]
+    return (apply_policy(ledger(table(spark, sf_dir, "documents")), "v2")
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept", "failed"))
+
+
 @query("op8_minhash_hamming")
 def op8_minhash_hamming(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"))
