@@ -12,6 +12,7 @@ from convgraph.llm.packing import pack
 from convgraph.llm.quality_ledger import BIT, apply_policy, ledger
 from convgraph.llm.substring_dedup import substring_dedup
 from convgraph.llm.token_counts import token_counts
+from convgraph.llm import toxicity_chain as _toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,9 @@ def op9_chat_windows(spark, sf_dir):
                                   "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return read_back(chat_windows(rows))
+
+
+@query("op10_toxicity_chain")
+def op10_toxicity_chain(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _toxicity.score(docs, _toxicity.fit(docs, table(spark, sf_dir, "labels")))
