@@ -25,7 +25,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, functions as F
 
 from convgraph.llm.common import id_text, worker_cache
-from convgraph.llm.pretokens import Memo, chunks, memo
+from convgraph.llm.token_counts import byte_symbols
 
 CAPACITY = 2048
 END_ID = 1
@@ -116,35 +116,42 @@ def power_windows(pieces: list[tuple[int, int, int]], capacity: int) -> list[lis
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; chunks are remembered."""
+    """Ids as the tokenizers library gives them for a byte-level BPE file.
 
-    def __init__(self, path: str):
+    Where the file's ids follow its merges (checked), the same merges run in
+    the faster tiktoken; texts with very long unbroken runs, on which that is
+    quadratic, and files of another kind go through tokenizers itself."""
+
+    def __init__(self, path: str, pattern: str):
+        import json
         import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import re
+        import tiktoken
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: Memo = memo(f"ids-first-{path}", self.chunk)
-        self.rest: Memo = memo(f"ids-rest-{path}", self.chunk, " ")
-
-    def chunk(self, chunk: str) -> bytes:
-        import numpy as np
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        of_char = {c: b for b, c in enumerate(byte_symbols())}
+        self.long_run = re.compile(r"\S{2000}|\s{2000}")
+        self.fast = None
+        if all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) \
+                and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word")
+                            for t in spec.get("added_tokens") or []):
+            special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+            ranks = {bytes(of_char[c] for c in token): i for token, i in vocab.items() if token not in special}
+            self.fast = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        import numpy as np
         if not text:
             return b""
-        parts = chunks(text)
-        self.rest.trim()
-        self.first.trim()
-        known = self.rest
-        fresh = [p for p in set(parts[1:]) if p not in known and len(p) <= known.longest]
-        if fresh:
-            import numpy as np
-            for p, e in zip(fresh, self.tokenizer.encode_batch_fast([" " + p for p in fresh],
-                                                                    add_special_tokens=False)):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return self.first[parts[0]] + b"".join(map(known.__getitem__, parts[1:]))
+        if self.fast is not None and not self.long_run.search(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def pack_pool(pool: list[tuple], capacity: int, first_sequence: int, close: bool):
@@ -167,14 +174,13 @@ def pack_pool(pool: list[tuple], capacity: int, first_sequence: int, close: bool
     return rows, seq, left
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None,
          capacity: int = CAPACITY, end_id: int = END_ID, pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, sequence_tokens).  ``sequence_id`` is the task number
     in the high bits and a running number in the low 33 bits."""
-    if path is None:
-        import public_tokenizers
-        path = public_tokenizers.path("byte_bpe_50k.json")
+    import public_tokenizers
+    path, pattern = path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
@@ -183,7 +189,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         from pyspark import TaskContext
         box = worker_cache(f"encoder-{path}")
         if "encoder" not in box:
-            box["encoder"] = Encoder(path)
+            box["encoder"] = Encoder(path, pattern)
         encode = box["encoder"]
         seq = TaskContext.get().partitionId() << 33
         names = [f.split()[0] for f in SCHEMA.split(", ")]
