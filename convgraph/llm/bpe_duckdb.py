@@ -183,23 +183,29 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [chunks(t) if t else [] for t in texts]
-        fresh = {" " + c for parts in cut for c in parts[1:] if c not in self.rest}
-        fresh.update(parts[0] for parts in cut if parts and parts[0] not in self.first)
-        unknown = list({w for c in fresh for w in self.match(c) if w not in self.words})
-        held = dict(zip(unknown, self.encode_words(unknown)))
-        self.words.update((w, ids) for w, ids in held.items() if len(w) <= self.words.longest)
-        long = {w: ids for w, ids in held.items() if len(w) > self.words.longest}
-        if long:  # not remembered beyond this batch
-            known = self.words
-
-            def chunk_ids(chunk):
-                return b"".join([long[w] if w in long else known[w] for w in self.match(chunk)])
-        else:
-            chunk_ids = self._chunk
-        self.first.fn = self.rest.fn = chunk_ids
-        out = [self.first[p[0]] + b"".join(map(self.rest.__getitem__, p[1:])) if p else b"" for p in cut]
-        for m in (self.words, self.first, self.rest):
-            m.trim()
+        found = [list(map(self.rest.get, parts[1:])) for parts in cut]
+        fresh = {c for parts, ids in zip(cut, found) if None in ids for c, i in zip(parts[1:], ids) if i is None}
+        head = {parts[0] for parts in cut if parts and parts[0] not in self.first}
+        pieces = {c: self.match(" " + c) for c in fresh}
+        unknown = list({w for m in pieces.values() for w in m if w not in self.words}
+                       | {w for c in head for w in self.match(c) if w not in self.words})
+        new = dict(zip(unknown, self.encode_words(unknown)))
+
+        def ids_of(words):
+            return b"".join([new[w] if w in new else self.words[w] for w in words])
+        made = {c: ids_of(m) for c, m in pieces.items()}
+        first = {c: ids_of(self.match(c)) for c in head}
+        out = []
+        for parts, ids in zip(cut, found):
+            if not parts:
+                out.append(b"")
+                continue
+            if None in ids:
+                ids = [made[c] if i is None else i for c, i in zip(parts[1:], ids)]
+            out.append((first[parts[0]] if parts[0] in first else self.first[parts[0]]) + b"".join(ids))
+        for memory, fill in ((self.words, new), (self.rest, made), (self.first, first)):
+            memory.update((k, v) for k, v in fill.items() if len(k) <= memory.longest)
+            memory.trim()
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:

@@ -7,6 +7,7 @@ from convgraph.llm import exact_dedup as _exact
 from convgraph.llm.bpe_duckdb import decode, encode
 from convgraph.llm.chat_windows import chat_windows, read_back
 from convgraph.llm.common import table
+from convgraph.llm.html_lstm import extract
 from convgraph.llm.minhash_hamming import near_dedup
 from convgraph.llm.packing import pack
 from convgraph.llm.quality_ledger import BIT, apply_policy, ledger
@@ -37,6 +38,11 @@ def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query("op3_html_lstm")
+def op3_html_lstm(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query("op4_bpe_duckdb")
 def op4_bpe_duckdb(spark, sf_dir):
     return (decode(encode(table(spark, sf_dir, "documents")))
