@@ -202,11 +202,12 @@ def mask_mentions(col) -> Column:
 # X15
 def split_context(col) -> tuple[Column, Column, Column]:
     """previous / main / posterior parts around the main tags (at most two
-    splits); the main part is re-prefixed with the opening tag."""
+    splits); the main part is re-prefixed with the opening tag.  Parts that the
+    text does not have are NULL."""
     parts = F.split(_c(col), r"\[main_tweet\]|\[/main_tweet\]", 3)
-    previous = parts.getItem(0)
-    main = F.concat(F.lit(MAIN_OPEN), parts.getItem(1))
-    posterior = parts.getItem(2)
+    previous = F.get(parts, 0)
+    main = F.concat(F.lit(MAIN_OPEN), F.get(parts, 1))
+    posterior = F.get(parts, 2)
     return previous, main, posterior
 
 
@@ -248,13 +249,21 @@ def labels_from_vector(vec, names: list[str]) -> Column:
         lambda x: x.isNotNull())
 
 
+# --- fixed value: the form of a run directory's name ----------------------
+RUN_NAME = r"^t5-large_prompt_type_(.*?)_epochs_(\d+)_seed_(\d+)"
+# --------------------------------------------------------------------------
+
+
 # X21
 def parse_run_name(col) -> tuple[Column, Column, Column]:
+    """(prompt type, epochs, seed) of a run name; all NULL if it does not
+    have the form, and a number too large for an int is NULL."""
     c = _c(col)
-    prompt_type = F.regexp_extract(c, r"prompt_?([A-Za-z0-9]+)", 1)
-    epochs = F.regexp_extract(c, r"(\d+)_epochs", 1).cast("int")
-    seed = F.regexp_extract(c, r"seed_?(\d+)", 1).cast("int")
-    return prompt_type, epochs, seed
+    fits = c.rlike(RUN_NAME)
+
+    def part(i):
+        return F.when(fits, F.regexp_extract(c, RUN_NAME, i))
+    return part(1), part(2).try_cast("int"), part(3).try_cast("int")
 
 
 # X22
@@ -279,7 +288,8 @@ def word_count(col) -> Column:
 
 # X24
 def strip(col) -> Column:
-    return F.trim(_c(col))
+    """Without any white space at both ends."""
+    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
 
 
 from convgraph.session import pickle_by_value  # noqa: E402

@@ -62,11 +62,29 @@ def element_label_matrix(df: DataFrame, col: str, long_labels: DataFrame, min_fr
 
 
 # A27
-def select_by_frequency(freq: DataFrame, threshold: int) -> DataFrame:
-    return freq.filter(F.col("frequency") > threshold)
+def select_by_frequency(freq: DataFrame, threshold: int, element: str = "element") -> DataFrame:
+    """Elements seen more than ``threshold`` times, without those that hold a
+    line break."""
+    return freq.filter((F.col("frequency") > threshold) & ~F.contains(F.col(element), F.lit("\n")))
+
+
+def share_above(freq: DataFrame, threshold: int) -> DataFrame:
+    """Percent of the elements and of their occurrences above a cut."""
+    hit = F.col("frequency") > threshold
+    return freq.agg((F.avg(hit.cast("double")) * 100).alias("pct_elements"),
+                    F.try_divide(F.sum(F.when(hit, F.col("frequency")).otherwise(0)) * 100.0, F.sum("frequency"))
+                    .alias("pct_occurrences"))
 
 
 # A29
+def flag_columns(df: DataFrame, col: str, chosen: list[str], prefix: str | None = None) -> DataFrame:
+    """One 0/1 column ``<prefix>_<element>`` per chosen element; every row is
+    kept, a NULL array holds none of them.  ``chosen`` is the list that the
+    selection file holds, a bounded report of the selection rule."""
+    held = F.coalesce(F.col(col), F.array().cast("array<string>"))
+    return df.select("*", *[F.array_contains(held, e).cast("int").alias(f"{prefix or col}_{e}") for e in chosen])
+
+
 def membership_flags(df: DataFrame, col: str, chosen: DataFrame, element: str = "element",
                      id_col: str = "id") -> DataFrame:
     """Which chosen elements each row holds (long form, as the chosen list

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convgraph.operators.relations import global_running_sum
+from convgraph.operators.relations import global_running_sums
 
 
 # M1
@@ -103,93 +103,106 @@ def _score_histogram(long: DataFrame) -> DataFrame:
                                                F.sum(1 - F.col("y")).alias("_neg"))
 
 
-def grouped_running_sums(df: DataFrame, key: str, order: list, values: list[str],
-                         few_keys: bool = False) -> DataFrame:
+def grouped_running_sums(df: DataFrame, key: str, order: list, values: list[str]) -> DataFrame:
     """Running sums of ``values`` inside each ``key`` group in ``order``,
-    distributed: one global running sum per value over (key, order...),
+    distributed: global running sums over (key, order...), all in one pass,
     minus the key's starting offset (one row per key)."""
-    out = df
-    for v in values:
-        out = global_running_sum(out, [F.col(key)] + order, v, "_g_" + v)
+    out = global_running_sums(df, [F.col(key)] + order, {v: "_g_" + v for v in values})
     starts = out.groupBy(key).agg(*[F.min(F.col("_g_" + v) - F.col(v)).alias("_s_" + v) for v in values])
-    # one row per key; broadcast when the caller knows the key set is small
-    out = out.join(F.broadcast(starts) if few_keys else starts, key)
+    out = out.join(starts, key)
     for v in values:
         out = out.withColumn("cum" + v, F.col("_g_" + v) - F.col("_s_" + v)).drop("_g_" + v, "_s_" + v)
     return out
 
 
+def _curve(long: DataFrame) -> DataFrame:
+    """Per label and distinct score, highest first: hits and false alarms at
+    that score and at it or above, and the label's totals P and N."""
+    h = _score_histogram(long)
+    c = grouped_running_sums(h, "label", [F.col("score").desc()], ["_pos", "_neg"])
+    return c.join(h.groupBy("label").agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N")), "label")
+
+
 # M5
+def roc_curve(long: DataFrame) -> DataFrame:
+    """(label, threshold, fpr, tpr), one point per distinct score; NULL rates
+    for a label without negatives or positives."""
+    return _curve(long).select("label", F.col("score").alias("threshold"), F.try_divide("cum_neg", "N").alias("fpr"),
+                               F.try_divide("cum_pos", "P").alias("tpr"))
+
+
 def roc_auc(long: DataFrame) -> DataFrame:
     """Per label AUC by the trapezoid rule over distinct thresholds (ties
     count half), from a per-label score histogram."""
-    h = _score_histogram(long)
-    c = grouped_running_sums(h, "label", [F.col("score").desc()], ["_pos", "_neg"], few_keys=True)
-    tot = h.groupBy("label").agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"))
-    c = c.join(F.broadcast(tot), "label")
     area = F.col("_neg") * (2 * F.col("cum_pos") - F.col("_pos")) / 2.0
-    return c.groupBy("label").agg(F.sum(area).alias("_a"), F.first("P").alias("P"), F.first("N").alias("N")) \
-            .select("label", F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_a") / (F.col("P") * F.col("N")))
-                    .alias("auc"))
+    return _curve(long).groupBy("label").agg(F.try_divide(F.sum(area), F.first("P") * F.first("N")).alias("auc"))
 
 
 # M6
+def precision_recall_curve(long: DataFrame) -> DataFrame:
+    """(label, threshold, precision, recall), one point per distinct score."""
+    return _curve(long).select("label", F.col("score").alias("threshold"),
+                               (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
+                               F.try_divide("cum_pos", "P").alias("recall"))
+
+
 def average_precision(long: DataFrame) -> DataFrame:
     """AP = sum over thresholds (descending) of (R_n - R_{n-1}) * P_n."""
-    h = _score_histogram(long)
-    c = grouped_running_sums(h, "label", [F.col("score").desc()], ["_pos", "_neg"], few_keys=True)
-    tot = h.groupBy("label").agg(F.sum("_pos").alias("P"))
-    c = c.join(F.broadcast(tot), "label")
-    term = (F.col("_pos") / F.col("P")) * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
-    return c.groupBy("label").agg(F.sum(F.when(F.col("P") > 0, term)).alias("average_precision"))
+    term = F.try_divide("_pos", "P") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+    return _curve(long).groupBy("label").agg(F.sum(term).alias("average_precision"))
 
 
-# M10
-TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+# --- fixed values: the 13a tokenizer of machine-translation scoring --------
+TOKENIZER_13A = (
+    (r"<skipped>", ""), (r"-\n", ""), (r"\n", " "),
+    (r"&quot;", '"'), (r"&amp;", "&"), (r"&lt;", "<"), (r"&gt;", ">"),
+    (r"^|$", " "),
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "),
+)
+# --------------------------------------------------------------------------
 
 
+# M10
 def bleu_tokens(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_extract_all(F.trim(c), F.lit("(" + TOKEN + ")"), 1)
-
-
-def _ngrams(toks: Column, n: int) -> Column:
-    idx = F.sequence(F.lit(1), F.size(toks) - n + 1)
-    return F.when(F.size(toks) >= n, F.transform(idx, lambda i: F.array_join(F.slice(toks, i, n), " "))) \
-            .otherwise(F.array().cast("array<string>"))
+    for pattern, to in TOKENIZER_13A:
+        c = F.concat(F.lit(" "), c, F.lit(" ")) if pattern == "^|$" else F.regexp_replace(c, pattern, to)
+    return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
 
 def corpus_bleu(pairs: DataFrame, id_col: str, hyp: str, ref: str, max_n: int = 4) -> DataFrame:
-    """Corpus BLEU (one reference, exponential smoothing of zero counts,
-    brevity penalty) and the mean hypothesis length, from clipped n-gram
-    count sums per order n."""
+    """Corpus BLEU (one reference, 13a tokens, exponential smoothing of zero
+    counts, brevity penalty) and the mean hypothesis length.  All n-grams of
+    both sides come from one explode and one grouping; 0 if no hypothesis has
+    ``max_n`` tokens, NULL lengths for an empty table."""
     t = pairs.select(id_col, bleu_tokens(hyp).alias("_h"), bleu_tokens(ref).alias("_r"))
     lens = t.agg(F.sum(F.size("_h")).alias("sys_len"), F.sum(F.size("_r")).alias("ref_len"),
                  F.avg(F.size("_h")).alias("gen_len"))
-    per_n = []
-    for n in range(1, max_n + 1):
-        hc = (t.select(id_col, F.explode(_ngrams(F.col("_h"), n)).alias("g"))
-               .groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("hc")))
-        rc = (t.select(id_col, F.explode(_ngrams(F.col("_r"), n)).alias("g"))
-               .groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("rc")))
-        m = hc.join(rc, [id_col, "g"], "left").agg(
-            F.coalesce(F.sum(F.least("hc", F.coalesce("rc", F.lit(0)))), F.lit(0)).alias(f"c{n}"),
-            F.coalesce(F.sum("hc"), F.lit(0)).alias(f"t{n}"))
-        per_n.append(m)
-    row = lens
-    for m in per_n:
-        row = row.crossJoin(m)
+
+    def grams(side, is_hyp):
+        toks = F.col(side)
+
+        def of(n):
+            made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))),
+                               lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("g"),
+                                                  F.lit(is_hyp).alias("hyp")))
+            return F.when(F.size(toks) >= n, made).otherwise(F.slice(made, 1, 0))
+        return F.concat(*[of(n) for n in range(1, max_n + 1)])
+    per = (t.select(id_col, F.inline(F.concat(grams("_h", True), grams("_r", False))))
+            .groupBy(id_col, "n", "g").agg(F.count_if("hyp").alias("hc"), F.count_if(~F.col("hyp")).alias("rc")))
+    row = lens.crossJoin(per.agg(
+        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("hc", "rc"))), F.lit(0)).alias(f"c{n}") for n in range(1, max_n + 1)],
+        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("hc"))), F.lit(0)).alias(f"t{n}") for n in range(1, max_n + 1)]))
     # exponential smoothing: the k-th order with no match gets 1 / (2^k * total)
-    logs = []
-    k = F.lit(0)
+    logs, k = [], F.lit(0)
     for n in range(1, max_n + 1):
         c, tt = F.col(f"c{n}"), F.col(f"t{n}")
         k = k + F.when(c == 0, 1).otherwise(0)
-        p = F.when(c > 0, c / tt).otherwise(1.0 / (F.pow(F.lit(2.0), k) * tt))
-        logs.append(F.log(p))
+        logs.append(F.log(F.when(c > 0, F.try_divide(c, tt)).otherwise(F.try_divide(F.lit(1.0), F.pow(F.lit(2.0), k) * tt))))
     bp = F.when(F.col("sys_len") >= F.col("ref_len"), F.lit(1.0)).otherwise(
-        F.exp(1 - F.col("ref_len") / F.col("sys_len")))
-    bleu = bp * F.exp(sum(logs) / max_n) * 100
+        F.exp(1 - F.try_divide("ref_len", "sys_len")))
+    bleu = F.when(F.col(f"t{max_n}") == 0, F.lit(0.0)).otherwise(bp * F.exp(sum(logs) / max_n) * 100)
     return row.select(bleu.alias("bleu"), F.col("gen_len"))
 
 

@@ -82,13 +82,12 @@ def words(col) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: x != "")
 
 
-def top_words_lexicon(docs: DataFrame, text_col: str, k: int = 200, min_len: int = 3) -> DataFrame:
-    """Stand-in VAD lexicon: the k most frequent words (ties by word) with
-    scores derived by rule.  k bounds its size, so it is broadcast."""
+def word_lexicon(docs: DataFrame, text_col: str, min_len: int = 3) -> DataFrame:
+    """Stand-in VAD lexicon: every word of the texts, with scores derived by
+    rule.  Its size follows the vocabulary, so it is joined, not broadcast by
+    hint; Spark broadcasts it where its measured size allows."""
     w = docs.select(F.explode(words(text_col)).alias("word")).filter(F.length("word") >= min_len)
-    top = (w.groupBy("word").agg(F.count(F.lit(1)).alias("_c"))
-            .orderBy(F.col("_c").desc(), F.col("word").asc()).limit(k))
-    return top.select("word",
+    return w.distinct().select("word",
                       ((F.length("word") % 10) / 10.0 + F.ascii("word") / 1000.0).alias("valence"),
                       ((F.ascii(F.substring("word", -1, 1)) - 97) / 26.0).alias("arousal"),
                       ((F.length("word") % 7) / 7.0).alias("dominance"))
@@ -99,7 +98,7 @@ def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
     """Mean lexicon score of the matched words of each row; rows with
     no match get ``neutral``."""
     toks = df.select(id_col, F.explode(words(text_col)).alias("word"))
-    m = toks.join(F.broadcast(lexicon), "word").groupBy(id_col).agg(*[F.avg(d).alias(d) for d in dims])
+    m = toks.join(lexicon, "word").groupBy(id_col).agg(*[F.avg(d).alias(d) for d in dims])
     out = df.select(id_col).join(m, id_col, "left")
     return out.select(id_col, *[F.coalesce(F.col(d), F.lit(neutral)).alias(d) for d in dims])
 
@@ -111,7 +110,7 @@ def polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, scor
     mass and unscored words; compound = s / sqrt(s^2 + alpha), s = sum p."""
     lex = lexicon.select("word", score.alias("_p"))
     toks = df.select(id_col, F.explode(words(text_col)).alias("word"))
-    j = toks.join(F.broadcast(lex), "word", "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
+    j = toks.join(lex, "word", "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
     g = j.groupBy(id_col).agg(F.sum(F.greatest("_p", F.lit(0.0))).alias("_pos"),
                               F.sum(F.greatest(-F.col("_p"), F.lit(0.0))).alias("_neg"),
                               F.count_if(F.col("_p") == 0).alias("_neu"),

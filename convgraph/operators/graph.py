@@ -1,9 +1,9 @@
 """Graph operators over edge tables.
 
 A graph is a pair of DataFrames: ``nodes(id, ...)`` and ``edges(src, dst,
-...)``.  Iterative algorithms run a bounded number of set-at-a-time rounds,
-cut lineage every round with a reliable checkpoint, stop on an exact
-no-change test, and fail loudly at the bound.
+...)``.  Iterative algorithms run set-at-a-time rounds, cut lineage every round
+with Parquet files in the shared folder, and stop on an exact test; each round
+makes progress, so none has a bound on its rounds.
 """
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from convgraph.operators.relations import global_positions
 from convgraph.session import cut_lineage, release
 
-MAX_ROUNDS = 200
-
 
 # G1
 def build_edges(rel: DataFrame, src: str, dst: str, attr: str | None = None) -> DataFrame:
@@ -68,60 +66,59 @@ def hubs(deg: DataFrame, z_cut: float = 2.0) -> DataFrame:
 
 
 # G5
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
-                         max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Connected components by alternating large-star / small-star
     contraction (Kiveris et al., 2014): O(log n) rounds even on long chains.
 
     Returns (id, root) with root = the smallest id of the component.
     Isolated nodes (present only in ``nodes``) are their own root.
+
+    Edges are kept as (u, v) with v < u.  A node is finished once its only
+    edge leads to a root that has no smaller neighbour; finished stars leave
+    the active edges as soon as all edges of their root are of that kind, so
+    later rounds touch only what still changes.  A round ends the loop when
+    no active edge is left.
     """
-    e = both_directions(edges.select("src", "dst")).toDF("u", "v") \
-        .filter(F.col("u") != F.col("v")).distinct()
-    e = cut_lineage(e)
-    prev, prev_n = e, e.count()
-    for _ in range(max_rounds):
-        e = cut_lineage(_small_star(_large_star(prev)))
-        n = e.count()
-        if n == prev_n:
-            # same size and a subset of the previous set -> no change
-            changed = e.join(prev, ["u", "v"], "left_anti").limit(1).count() if n else 0
-            if changed == 0:
-                release(prev)
-                break
-        release(prev)
-        prev, prev_n = e, n
-    else:
-        raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
-    roots = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")) \
-             .withColumnRenamed("u", "id")
+    active = cut_lineage(edges.filter(F.col("src") != F.col("dst"))
+                         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    done = None
+    while active.limit(1).count():
+        new = cut_lineage(_small_star(_large_star(active)), replaces=active)
+        # a star is settled if its root has no smaller neighbour and each leaf
+        # has this one edge only: v that is a u, u with two edges, u that is a v
+        per_u = new.groupBy("u").agg(F.count(F.lit(1)).alias("_n"))
+        ends = per_u.filter(F.col("_n") > 1).select("u") \
+            .union(new.select(F.col("v").alias("u")).distinct().join(per_u.select("u"), "u", "left_semi")).distinct()
+        open_roots = new.join(ends, "u", "left_semi").select(F.col("v").alias("r")) \
+            .union(ends.select(F.col("u").alias("r"))).distinct()
+        flagged = cut_lineage(new.join(open_roots.withColumn("_open", F.lit(True)), new["v"] == open_roots["r"], "left")
+                              .select("u", "v", F.coalesce("_open", F.lit(False)).alias("open")), replaces=new)
+        settled = flagged.filter(~F.col("open")).select("u", "v")
+        done = settled if done is None else done.union(settled)
+        active = cut_lineage(flagged.filter("open").select("u", "v"))
+    stars = done if done is not None else active
+    roots = stars.select(F.col("u").alias("id"), F.col("v").alias("root")) \
+        .union(stars.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
     if nodes is not None:
         roots = nodes.select("id").distinct().join(roots, "id", "left") \
                      .withColumn("root", F.coalesce("root", "id"))
     return roots
 
 
-def _sym(e: DataFrame) -> DataFrame:
-    return (e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-             .filter(F.col("u") != F.col("v")).distinct())
-
-
 def _large_star(e: DataFrame) -> DataFrame:
-    # m(u) = min(N(u) ∪ {u}); connect every larger neighbour to m(u).
-    # Duplicates are harmless to the small-star step that follows (it only
-    # takes minima and de-duplicates its own output), so no distinct here.
-    m = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    out = e.join(m, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.union(out.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter(F.col("u") != F.col("v"))
+    """Every larger neighbour of a node is linked to the smallest of the node
+    and its neighbours.  Edges come and go as (u, v) with v < u."""
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    m = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(m, "u") \
+        .select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    # m(u) = min of the neighbours not larger than u; connect them and u to it
-    le = e.filter(F.col("v") < F.col("u"))
-    m = le.groupBy("u").agg(F.min("v").alias("m"))
-    out = le.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .union(m.select("u", F.col("m").alias("v")))
-    return _sym(out)
+    """A node and its smaller neighbours are linked to the smallest of them."""
+    m = e.groupBy("u").agg(F.min("v").alias("m"))
+    out = e.join(m, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return out.union(m.select("u", F.col("m").alias("v"))).distinct()
 
 
 # W6
@@ -142,22 +139,19 @@ def induced_subgraph(edges: DataFrame, node_set: DataFrame) -> DataFrame:
 
 
 # G10
-def n_hop(edges: DataFrame, n: int, include_start: bool = True) -> DataFrame:
-    """All (start, node) pairs within ``n`` undirected hops, for every start
-    node at once.  Frontier expansion with set semantics per hop."""
+def n_hop(edges: DataFrame, n: int, starts: DataFrame, include_start: bool = True) -> DataFrame:
+    """(start, node) pairs within ``n`` undirected hops of the given starts
+    (a frame with an ``id`` column).  Frontier expansion with set semantics
+    per hop, seeded with the starts, so work follows what they reach."""
     adj = both_directions(undirected(edges)).toDF("a", "b")
-    reach = adj.select(F.col("a").alias("start"), F.col("b").alias("node")).distinct()
+    reach = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct() \
+        .join(adj.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("start", "node")
     frontier = reach
-    for _ in range(n - 1):
-        step = frontier.join(adj, frontier.node == adj.a).select("start", F.col("b").alias("node"))
-        new = step.filter(F.col("start") != F.col("node")).distinct().join(reach, ["start", "node"], "left_anti")
-        reach = reach.union(new)
-        frontier = new
-    reach = reach.filter(F.col("start") != F.col("node"))
-    if include_start:
-        starts = adj.select(F.col("a").alias("start")).distinct().withColumn("node", F.col("start"))
-        reach = reach.union(starts)
-    return reach.distinct()
+    for _ in range(n):
+        step = frontier.join(adj, frontier.node == adj.a).select("start", F.col("b").alias("node")).distinct()
+        frontier = step.join(reach, ["start", "node"], "left_anti")
+        reach = reach.union(frontier)
+    return reach if include_start else reach.filter(F.col("start") != F.col("node"))
 
 
 # G12
@@ -254,51 +248,62 @@ def rich_club(edges: DataFrame) -> DataFrame:
 
 
 # G3
-def is_dag(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> bool:
+def is_dag(edges: DataFrame, order: DataFrame | None = None) -> bool:
     """True when the directed graph has no cycle.
 
-    Each round removes every node that is a source or a sink (it cannot lie
-    on a cycle) and contracts chain nodes (in = out = 1) picked by a
-    random-mate coin, so long paths shrink geometrically.  When edges remain
-    but no node is a source or sink, every node has in >= 1 and out >= 1,
-    so a cycle exists.  A self loop is a cycle.
+    ``order`` (id, columns of a total order) is a certificate: if every edge
+    ascends in it, one pass proves the graph acyclic.  Otherwise every round
+    removes the nodes that are a source or a sink (they cannot lie on a
+    cycle) and contracts chain nodes (in = out = 1) picked by a random-mate
+    coin, so long paths shrink geometrically.  When edges remain but no node
+    is a source or sink, every node has in >= 1 and out >= 1, so a cycle
+    exists.  A self loop is a cycle.
     """
     e = edges.select("src", "dst").distinct()
-    e = cut_lineage(e)
-    deg = None
-    for rnd in range(max_rounds):
-        if e.filter(F.col("src") == F.col("dst")).limit(1).count():
-            return False
-        if e.limit(1).count() == 0:
+    if order is not None:
+        keys = [c for c in order.columns if c != "id"]
+        key = order.select("id", F.struct(*keys, "id").alias("_k"))
+        bad = (e.join(key.toDF("src", "_ks"), "src", "left").join(key.toDF("dst", "_kd"), "dst", "left")
+                .filter(~F.coalesce(F.col("_ks") < F.col("_kd"), F.lit(False))))
+        if bad.limit(1).count() == 0:
             return True
-        outd = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o"))
-        ind = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i"))
-        deg = cut_lineage(outd.join(ind, "id", "full").fillna(0, ["o", "i"]), replaces=deg)
-        dead = deg.filter((F.col("o") == 0) | (F.col("i") == 0)).select("id")
-        chain = deg.filter((F.col("o") == 1) & (F.col("i") == 1)).select("id")
-        if dead.limit(1).count() == 0 and chain.limit(1).count() == 0:
-            return False
-        e_round = e
-        e = e.join(dead.withColumnRenamed("id", "src"), "src", "left_anti") \
-             .join(dead.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
-        # random mate: contract chain node v (coin heads) whose predecessor
-        # is not a contracted node (coin tails or not a chain node)
-        coin = (F.xxhash64(F.col("id"), F.lit(rnd)) % 2 == 0)
-        heads = chain.filter(coin).select("id")
-        e_cut = cut_lineage(e, replaces=e_round)
-        into = e_cut.join(heads.withColumnRenamed("id", "dst"), "dst", "left_semi")  # u -> v
-        outof = e_cut.join(heads.withColumnRenamed("id", "src"), "src", "left_semi")  # v -> w
-        # keep only v whose predecessor u is not itself contracted this round
-        into = into.join(heads.withColumnRenamed("id", "src"), "src", "left_anti")
-        bypass = into.select(F.col("src").alias("u"), F.col("dst").alias("v")) \
-                     .join(outof.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v") \
-                     .select(F.col("u").alias("src"), F.col("w").alias("dst"))
-        gone = into.select(F.col("dst").alias("id"))
-        e = (e_cut.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
-                  .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-                  .select("src", "dst").unionByName(bypass).distinct())
-        e = cut_lineage(e, replaces=e_cut)
-    raise RuntimeError(f"is_dag did not finish in {max_rounds} rounds")
+    e = cut_lineage(e)
+    deg, rnd = None, 0
+    try:
+        while True:
+            if e.filter(F.col("src") == F.col("dst")).limit(1).count():
+                return False
+            if e.limit(1).count() == 0:
+                return True
+            outd = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o"))
+            ind = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i"))
+            deg = cut_lineage(outd.join(ind, "id", "full").fillna(0, ["o", "i"]), replaces=deg)
+            dead = deg.filter((F.col("o") == 0) | (F.col("i") == 0)).select("id")
+            if dead.limit(1).count() == 0:
+                return False
+            left = e.join(dead.withColumnRenamed("id", "src"), "src", "left_anti") \
+                    .join(dead.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
+            # random mate: contract chain node v (coin heads) whose predecessor
+            # is not a contracted node (coin tails or not a chain node)
+            rnd += 1
+            heads = deg.filter((F.col("o") == 1) & (F.col("i") == 1) & (F.xxhash64(F.col("id"), F.lit(rnd)) % 2 == 0)) \
+                .select("id")
+            cut = cut_lineage(left, replaces=e)
+            into = cut.join(heads.withColumnRenamed("id", "dst"), "dst", "left_semi") \
+                      .join(heads.withColumnRenamed("id", "src"), "src", "left_anti")          # u -> v
+            outof = cut.join(heads.withColumnRenamed("id", "src"), "src", "left_semi")         # v -> w
+            bypass = into.select(F.col("src").alias("u"), F.col("dst").alias("v")) \
+                         .join(outof.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v")
+            # an end of the chain may be gone already: then v is left to the next round
+            gone = bypass.select(F.col("v").alias("id"))
+            e = cut_lineage(cut.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
+                               .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
+                               .unionByName(bypass.select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct(),
+                            replaces=cut)
+    finally:
+        release(e)
+        if deg is not None:
+            release(deg)
 
 
 # G18

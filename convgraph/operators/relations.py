@@ -66,15 +66,22 @@ def global_running_sum(df: DataFrame, order: list, value: str, out: str = "runni
                        num_partitions: int | None = None) -> DataFrame:
     """``sum(value) over (order by ... rows unbounded preceding)`` without a
     single-partition window.  ``order`` must be a total order."""
+    return global_running_sums(df, order, {value: out}, num_partitions)
+
+
+def global_running_sums(df: DataFrame, order: list, sums: dict[str, str],
+                        num_partitions: int | None = None) -> DataFrame:
+    """Running sums of several columns ({value column: output column}) in one
+    pass.  ``order`` must be a total order."""
     ranged = _ordered_partitions(df, _cols(order), num_partitions)
-    sums = ranged.groupBy("_pid").agg(F.sum(value).alias("_s"))
+    per = ranged.groupBy("_pid").agg(*[F.sum(v).alias("_s_" + o) for v, o in sums.items()])
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_pid", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_off"))
+    offsets = per.select("_pid", *[F.coalesce(F.sum("_s_" + o).over(w), F.lit(0)).alias("_o_" + o) for o in sums.values()])
     local = Window.partitionBy("_pid").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return (ranged.withColumn("_loc", F.sum(value).over(local))
-                  .join(F.broadcast(offsets), "_pid")
-                  .withColumn(out, F.col("_off") + F.col("_loc"))
-                  .drop("_pid", "_idx", "_off", "_loc"))
+    out = ranged.select("*", *[F.sum(v).over(local).alias("_l_" + o) for v, o in sums.items()]) \
+                .join(F.broadcast(offsets), "_pid")
+    out = out.select("*", *[(F.col("_o_" + o) + F.col("_l_" + o)).alias(o) for o in sums.values()])
+    return out.drop("_pid", "_idx", *[p + o for o in sums.values() for p in ("_o_", "_l_")])
 
 
 def competition_rank(df: DataFrame, value: str, out: str = "rank",
@@ -90,26 +97,28 @@ def competition_rank(df: DataFrame, value: str, out: str = "rank",
 
 
 def exact_percentiles(df: DataFrame, value: str, percentiles, group: str | None = None) -> DataFrame:
-    """Exact linear-interpolated percentiles (numpy's default rule), without
-    collecting the values of a group into one aggregation buffer: values are
-    ranked with the distributed global positions, and for each requested p
-    the two order statistics around h = 1 + (n - 1) p are fetched by an equi
-    join on (group, rank).  Returns (group?, p, value)."""
+    """Exact linear-interpolated percentiles (numpy's default rule) from a
+    (group, value) histogram: its running counts tell which value holds each
+    rank, so equal values are one row, whatever their number, and the rows
+    themselves are neither ranked nor copied.  Returns (group?, p, value)."""
     keys = [group] if group else []
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    pos = global_positions(base, [*keys, "_v"], "_pos")
-    stats = pos.groupBy(*keys).agg((F.min("_pos") - 1).alias("_off"), F.count(F.lit(1)).alias("_n"))
-    ps = pos.sparkSession.createDataFrame([(float(p),) for p in percentiles], "p double")
-    tgt = stats.crossJoin(F.broadcast(ps)).withColumn("_h", 1 + (F.col("_n") - 1) * F.col("p")) \
-               .withColumn("_lo", F.floor("_h").cast("long")).withColumn("_hi", F.ceil("_h").cast("long"))
-    # one row per (group, p): bounded by the group count times |percentiles|
-    ranked = pos.join(stats, keys, "inner") if keys else pos.crossJoin(F.broadcast(stats))
-    ranked = ranked.select(*keys, (F.col("_pos") - F.col("_off")).alias("_r"), "_v")
-    lo = ranked.withColumnRenamed("_r", "_lo").withColumnRenamed("_v", "_vlo")
-    hi = ranked.withColumnRenamed("_r", "_hi").withColumnRenamed("_v", "_vhi")
-    out = tgt.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
-    frac = F.col("_h") - F.col("_lo")
-    return out.select(*keys, "p", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias(value))
+    hist = (df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    cum = global_running_sum(hist, [*keys, "_v"], "_c", "_cum")
+    stats = cum.groupBy(*keys).agg(F.min(F.col("_cum") - F.col("_c")).alias("_off"), F.sum("_c").alias("_n"))
+    cum = cum.join(stats, keys) if keys else cum.crossJoin(F.broadcast(stats))
+    to = F.col("_cum") - F.col("_off")
+    wanted = F.array(*[F.lit(float(p)) for p in percentiles])
+    h = lambda p: 1 + (F.col("_n") - 1) * p
+    hit = cum.select(*keys, "_v", "_n", (to - F.col("_c")).alias("_a"), to.alias("_b"), F.explode(wanted).alias("p")) \
+             .withColumn("_h", h(F.col("p")))
+    holds = lambda r: (r > F.col("_a")) & (r <= F.col("_b"))
+    low, high = F.floor("_h"), F.ceil("_h")
+    out = hit.filter(holds(low) | holds(high)).groupBy(*keys, "p").agg(
+        F.first("_h").alias("_h"), F.max(F.when(holds(low), F.col("_v"))).alias("_lo"),
+        F.max(F.when(holds(high), F.col("_v"))).alias("_hi"))
+    frac = F.col("_h") - F.floor("_h")
+    return out.select(*keys, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias(value))
 
 
 # --------------------------------------------------------------------------
@@ -123,7 +132,7 @@ def explode_parallel(df: DataFrame, keep: list[str], arrays: list[str]) -> DataF
 
 
 def empty_to_null(col) -> Column:
-    """P9"""
+    """P9: '' becomes NULL."""
     c = F.col(col) if isinstance(col, str) else col
     return F.nullif(c, F.lit(""))
 
@@ -178,11 +187,11 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def mismatch_patterns(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """A2: for each duplicated key, the columns whose values differ; then the
     distinct patterns with their key counts."""
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[(F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias("_d_" + c)
-          for c in cols])
-    names = F.array_compact(F.array(*[F.when(F.col("_d_" + c) > 1, F.lit(c)) for c in cols]))
+    def differs(c):  # two values, or a value and a NULL: one pass, no copy of the rows per column
+        null = F.col(c).isNull()
+        return (F.coalesce(F.min(c) != F.max(c), F.lit(False)) | (F.bool_or(null) & F.bool_or(~null))).alias("_d_" + c)
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[differs(c) for c in cols])
+    names = F.array_compact(F.array(*[F.when(F.col("_d_" + c), F.lit(c)) for c in cols]))
     return (per_key.filter("_n > 1")
                    .select(F.array_join(names, ",").alias("differing_columns"))
                    .groupBy("differing_columns").agg(F.count(F.lit(1)).alias("n_keys")))
@@ -191,15 +200,21 @@ def mismatch_patterns(df: DataFrame, keys: list[str], cols: list[str]) -> DataFr
 def collapse_duplicates(df: DataFrame, keys: list[str], set_col: str,
                         union_col: str) -> DataFrame:
     """A3: group by all key columns (NULL keys kept), sorted set of
-    ``set_col`` and sorted union of the array column ``union_col`` (A7)."""
-    return df.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(set_col)).alias(set_col),
-        union_of_arrays(union_col).alias(union_col))
+    ``set_col`` and sorted union of the array column ``union_col`` (A7).
+    Elements are made distinct per key before they are collected, so a buffer
+    holds the result, not the copies."""
+    one = F.struct(*[F.col(k) for k in keys])
+    sets = df.groupBy(*keys).agg(F.array_sort(F.collect_set(set_col)).alias(set_col))
+    union = union_of_arrays(df.select(one.alias("_key"), union_col), "_key", union_col)
+    return (sets.withColumn("_key", one).join(union.withColumnRenamed("_key", "_k2"),
+                                              F.col("_key").eqNullSafe(F.col("_k2")), "left")
+                .select(*keys, set_col, F.coalesce(union_col, F.array().cast(union.schema[union_col].dataType)).alias(union_col)))
 
 
-def union_of_arrays(col: str) -> Column:
-    """A7 as an aggregate expression."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(col))))
+def union_of_arrays(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, sorted distinct elements of all arrays of the key)."""
+    return (df.select(key, F.explode(col).alias("_e")).distinct()
+              .groupBy(key).agg(F.array_sort(F.collect_list("_e")).alias(col)))
 
 
 def ordered_concat(df: DataFrame, key: str, order: list[str], text: str,
@@ -220,12 +235,19 @@ def ordered_concat(df: DataFrame, key: str, order: list[str], text: str,
 def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row per key by ``order`` (ascending).
 
-    A hash aggregate over ``min(struct(order..., rest...))``: partial
-    aggregation collapses hot keys map-side (no skewed window partition).
+    The order columns and a row hash are minimised per 64-bit key hash first
+    (map-side, without the texts); the rows that can still win, about one per
+    key, then give the first row per full key, so hash collisions are sorted
+    out and full texts travel once per key, not once per copy.
     """
     rest = [c for c in df.columns if c not in key and c not in order]
+    h = df.withColumn("_h", F.xxhash64(*key)).withColumn("_k", F.struct(*[F.col(c) for c in order]))
+    low = h.groupBy("_h").agg(F.min("_k").alias("_low"), F.min(F.xxhash64(*key, F.lit(1))).alias("_a"),
+                              F.max(F.xxhash64(*key, F.lit(1))).alias("_b"))
+    # a hash with one key keeps only rows of the smallest order; others are compared in full
+    near = h.join(low, "_h").filter((F.col("_k") == F.col("_low")) | (F.col("_a") != F.col("_b")))
     packed = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_first")
-    return df.groupBy(*key).agg(packed).select(*key, *[F.col("_first")[c].alias(c) for c in order + rest])
+    return near.groupBy(*key).agg(packed).select(*key, *[F.col("_first")[c].alias(c) for c in order + rest])
 
 
 def dense_ids(df: DataFrame, cols: list[str], out: str = "new_id",

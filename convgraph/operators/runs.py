@@ -77,6 +77,15 @@ def model_summary(raw: DataFrame, flags: list[str]) -> DataFrame:
     return g.select("model_dir", *[F.bround(F.col(c), 2).alias(c) for c in num], *flags)
 
 
+# A35
+def prompt_epoch_means(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """Mean of every metric and number of runs per (prompt_type, epochs), the
+    highest first metric on top; runs without a parsed name drop."""
+    return runs.filter(F.col("prompt_type").isNotNull()).groupBy("prompt_type", "epochs") \
+        .agg(*[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("n_runs")) \
+        .orderBy(F.col(metrics[0]).desc(), "prompt_type", "epochs")
+
+
 # A36
 def mean_by_flag(summary: DataFrame, flag: str, metric: str = "test_f1") -> DataFrame:
     return summary.groupBy(flag).agg(F.avg(metric).alias("mean_" + metric))
@@ -97,18 +106,19 @@ def best_model_then_run(raw: DataFrame, metric: str = "test_f1") -> DataFrame:
 def keep_latest(runs: DataFrame, name: str, created: str, id_col: str,
                 purge_patterns: list[str] | None = None) -> DataFrame:
     """Retention: per name keep the newest run (ties: larger id), report how
-    many older runs would go; names matching a purge pattern keep nothing."""
-    r = runs
-    if purge_patterns:
-        r = r.filter(~F.col(name).rlike("|".join(purge_patterns)))
-    return r.groupBy(name).agg(F.max(F.struct(F.col(created), F.col(id_col))).alias("_k"),
-                               (F.count(F.lit(1)) - 1).alias("n_deleted")) \
-            .select(name, F.col("_k")[id_col].alias("kept_id"), F.col("_k")[created].alias("kept_created"),
-                    "n_deleted")
+    many runs go; names matching a purge pattern keep nothing, so all of their
+    runs are counted and the kept columns are NULL."""
+    purged = F.col(name).rlike("|".join(purge_patterns)) if purge_patterns else F.lit(False)
+    return runs.groupBy(name).agg(F.max(F.struct(F.col(created), F.col(id_col))).alias("_k"),
+                                  F.count(F.lit(1)).alias("_n")) \
+               .select(name, F.when(~purged, F.col("_k")[id_col]).alias("kept_id"),
+                       F.when(~purged, F.col("_k")[created]).alias("kept_created"),
+                       (F.col("_n") - F.when(purged, 0).otherwise(1)).alias("n_deleted"))
 
 
 # W10
 def older_than(name_col: str, cutoff: str, pattern: str = r"(\d{4}-\d{2}-\d{2})") -> Column:
-    """True when the date embedded in the name is before ``cutoff``."""
-    d = F.to_date(F.regexp_extract(F.col(name_col), pattern, 1), "yyyy-MM-dd")
+    """True when the date embedded in the name is before ``cutoff``; NULL for
+    a name without a date."""
+    d = F.try_to_date(F.nullif(F.regexp_extract(F.col(name_col), pattern, 1), F.lit("")), "yyyy-MM-dd")
     return d < F.to_date(F.lit(cutoff))

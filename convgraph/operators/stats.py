@@ -52,6 +52,18 @@ def bonferroni(p: Column, m: Column) -> Column:
     return F.least(p * m, F.lit(1.0))
 
 
+def over(a, b) -> Column:
+    """a / b, NULL where b is 0 (a group without trials, constant values)."""
+    return F.try_divide(a, b)
+
+
+def pooled_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
+    """Pooled two-proportion z; NULL without trials or without variance."""
+    pool = over(x1 + x2, n1 + n2)
+    se = F.sqrt(pool * (1 - pool) * (over(F.lit(1.0), n1) + over(F.lit(1.0), n2)))
+    return F.when(se > 0, over(over(x1, n1) - over(x2, n2), se))
+
+
 # ---------------------------------------------------------------- I1 / I2 (+J14)
 def proportion_pairs(props: DataFrame, group: str, successes: str, trials: str) -> DataFrame:
     """All unordered pairs of groups (J14, on the per-group table): pooled
@@ -60,11 +72,8 @@ def proportion_pairs(props: DataFrame, group: str, successes: str, trials: str)
     a = props.select(F.col(group).alias("group_a"), F.col(successes).alias("_x1"), F.col(trials).alias("_n1"))
     b = props.select(F.col(group).alias("group_b"), F.col(successes).alias("_x2"), F.col(trials).alias("_n2"))
     # the per-group table has one row per group; the pair table is |groups|^2 / 2
-    pairs = a.join(F.broadcast(b), F.col("group_a") < F.col("group_b"))
-    p1, p2 = F.col("_x1") / F.col("_n1"), F.col("_x2") / F.col("_n2")
-    pool = (F.col("_x1") + F.col("_x2")) / (F.col("_n1") + F.col("_n2"))
-    se = F.sqrt(pool * (1 - pool) * (1.0 / F.col("_n1") + 1.0 / F.col("_n2")))
-    z = F.when(se > 0, (p1 - p2) / se)
+    pairs = a.join(b, F.col("group_a") < F.col("group_b"))
+    z = pooled_z(F.col("_x1"), F.col("_n1"), F.col("_x2"), F.col("_n2"))
     out = pairs.select("group_a", "group_b", z.alias("z"))
     m = F.count(F.lit(1)).over(Window.partitionBy())
     out = out.select("group_a", "group_b", "z", (F.col("z") * F.col("z")).alias("chi2"),
@@ -79,9 +88,9 @@ def proportion_vs_half(props: DataFrame, group: str, successes: str, trials: str
                        value: float = 0.5) -> DataFrame:
     """One-sample z per group, H1: p > value, variance from the sample
     proportion; Bonferroni over the groups."""
-    p = F.col(successes) / F.col(trials)
-    se = F.sqrt(p * (1 - p) / F.col(trials))
-    z = F.when(se > 0, (p - value) / se)
+    p = over(F.col(successes), F.col(trials))
+    se = F.sqrt(over(p * (1 - p), F.col(trials)))
+    z = F.when(se > 0, over(p - value, se))
     m = F.count(F.lit(1)).over(Window.partitionBy())
     out = props.select(F.col(group).alias("group"), z.alias("z"), m.alias("_m"))
     out = out.withColumn("p_value", normal_sf(F.col("z")))
@@ -91,9 +100,7 @@ def proportion_vs_half(props: DataFrame, group: str, successes: str, trials: str
 
 # ---------------------------------------------------------------- I4
 def two_sample_larger(x1: Column, n1: Column, x2: Column, n2: Column) -> tuple[Column, Column]:
-    pool = (x1 + x2) / (n1 + n2)
-    se = F.sqrt(pool * (1 - pool) * (1.0 / n1 + 1.0 / n2))
-    z = F.when(se > 0, (x1 / n1 - x2 / n2) / se)
+    z = pooled_z(x1, n1, x2, n2)
     return z, normal_sf(z)
 
 
@@ -102,42 +109,39 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean, sample variance, central moments m2..m4 per group (two
     passes: mean first, then centred powers, for stable sums)."""
     mean = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    # one row per group (a handful of flag values): broadcast
-    c = df.join(F.broadcast(mean), group).withColumn("_d", F.col(value) - F.col("mean"))
+    c = df.join(mean, group).withColumn("_d", F.col(value) - F.col("mean"))
     m = c.groupBy(group, "n", "mean").agg((F.sum(F.col("_d") ** 2)).alias("_s2"),
                                           (F.sum(F.col("_d") ** 3)).alias("_s3"),
                                           (F.sum(F.col("_d") ** 4)).alias("_s4"))
-    return m.select(group, "n", "mean", (F.col("_s2") / (F.col("n") - 1)).alias("var"),
+    return m.select(group, "n", "mean", over(F.col("_s2"), F.col("n") - 1).alias("var"),
                     (F.col("_s2") / F.col("n")).alias("m2"), (F.col("_s3") / F.col("n")).alias("m3"),
                     (F.col("_s4") / F.col("n")).alias("m4"))
 
 
 # I6 (re-aimed normality gate)
 def jarque_bera(moments: DataFrame) -> DataFrame:
-    s = F.col("m3") / F.pow(F.col("m2"), 1.5)
-    k = F.col("m4") / (F.col("m2") * F.col("m2")) - 3
+    """NULL statistics where all values are equal."""
+    s = over(F.col("m3"), F.pow(F.col("m2"), 1.5))
+    k = over(F.col("m4"), F.col("m2") * F.col("m2")) - 3
     jb = F.col("n") / 6.0 * (s * s + k * k / 4.0)
     return moments.select("*", s.alias("skew"), k.alias("kurt"), jb.alias("jb"),
                           F.exp(-jb / 2.0).alias("jb_p"))
 
 
 # I7
-def levene(df: DataFrame, group: str, value: str, exact_median: bool = True) -> DataFrame:
+def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     """Brown-Forsythe (median-centred) Levene W with its F degrees of
-    freedom.  The exact median comes from distributed order statistics (no
-    per-group value buffer); ``exact_median=False`` uses a sketch instead."""
-    if exact_median:
-        meds = exact_percentiles(df, value, [0.5], group).select(group, F.col(value).alias("_med"))
-    else:
-        meds = df.groupBy(group).agg(F.percentile_approx(value, 0.5, 100000).alias("_med"))
-    z = df.join(F.broadcast(meds), group).select(group, F.abs(F.col(value) - F.col("_med")).alias("_z"))
+    freedom; W is NULL for one group or where all distances are equal.  The
+    exact median comes from distributed order statistics."""
+    meds = exact_percentiles(df, value, [0.5], group).select(group, F.col(value).alias("_med"))
+    z = df.join(meds, group).select(group, F.abs(F.col(value) - F.col("_med")).alias("_z"))
     zi = z.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("_z").alias("_zi"))
     zall = z.agg(F.avg("_z").alias("_zbar"), F.count(F.lit(1)).alias("_total"))
-    within = z.join(F.broadcast(zi), group).agg(F.sum((F.col("_z") - F.col("_zi")) ** 2).alias("_w"))
+    within = z.join(zi, group).agg(F.sum((F.col("_z") - F.col("_zi")) ** 2).alias("_w"))
     between = zi.crossJoin(zall).agg(F.sum(F.col("_n") * (F.col("_zi") - F.col("_zbar")) ** 2).alias("_b"),
                                      F.count(F.lit(1)).alias("_k"), F.first("_total").alias("_total"))
     r = between.crossJoin(within)
-    w = (F.col("_total") - F.col("_k")) / (F.col("_k") - 1) * F.col("_b") / F.col("_w")
+    w = over(over(F.col("_total") - F.col("_k"), F.col("_k") - 1) * F.col("_b"), F.col("_w"))
     return r.select(w.alias("w"), (F.col("_k") - 1).cast("double").alias("df1"),
                     (F.col("_total") - F.col("_k")).cast("double").alias("df2"))
 
@@ -148,11 +152,11 @@ def t_tests(m1: dict, m2: dict) -> dict:
     (dicts of Columns n, mean, var)."""
     n1, n2, v1, v2 = m1["n"], m2["n"], m1["var"], m2["var"]
     diff = m1["mean"] - m2["mean"]
-    sp2 = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
-    t_student = diff / F.sqrt(sp2 * (1.0 / n1 + 1.0 / n2))
-    a, b = v1 / n1, v2 / n2
-    t_welch = diff / F.sqrt(a + b)
-    df_welch = (a + b) ** 2 / (a * a / (n1 - 1) + b * b / (n2 - 1))
+    sp2 = over((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
+    t_student = over(diff, F.sqrt(sp2 * (over(F.lit(1.0), n1) + over(F.lit(1.0), n2))))
+    a, b = over(v1, n1), over(v2, n2)
+    t_welch = over(diff, F.sqrt(a + b))
+    df_welch = over((a + b) ** 2, over(a * a, n1 - 1) + over(b * b, n2 - 1))
     return {"t_student": t_student, "df_student": (n1 + n2 - 2).cast("double"),
             "t_welch": t_welch, "df_welch": df_welch}
 
@@ -173,8 +177,8 @@ def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
     u2 = n1 * n2 - u1
     mu = n1 * n2 / 2.0
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    z = (F.greatest(u1, u2) - mu - 0.5) / sigma
+    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - over(F.col("_ties"), n * (n - 1))))
+    z = over(F.greatest(u1, u2) - mu - 0.5, sigma)
     return agg.select(F.col("n1").cast("long").alias("n1"), n2.cast("long").alias("n2"), u1.alias("u"),
                       z.alias("z"), F.least(2.0 * normal_sf(z), F.lit(1.0)).alias("p_value"))
 
@@ -235,6 +239,15 @@ def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(betainc_reg(b / 2.0, a / 2.0, b / (b + a * fv)))
 
 
+# --- fixed values: names of the tests and texts of the conclusions --------
+TEST_STUDENT = "t-test"
+TEST_WELCH = "Welch's t-test"
+TEST_RANKS = "Mann-Whitney U test"
+CONCLUSION_DIFFERENT = "reject, we can assume a difference"
+CONCLUSION_EQUAL = "no reject, we can assume the means are equal"
+# --------------------------------------------------------------------------
+
+
 # I10
 def compare_means(df: DataFrame, flag: str, value: str, alpha: float = 0.05) -> DataFrame:
     """Decision tree of the reference: normality (Jarque-Bera in place of
@@ -255,11 +268,9 @@ def compare_means(df: DataFrame, flag: str, value: str, alpha: float = 0.05) ->
              .withColumn("welch_p", t_two_sided_p(F.col("t_welch"), F.col("df_welch")))
     normal = (F.col("jb_p_1") > alpha) & (F.col("jb_p_2") > alpha)
     homo = F.col("levene_p") > alpha
-    test = F.when(normal & homo, F.lit("t-test")).when(normal, F.lit("Welch's t-test")) \
-            .otherwise(F.lit("Mann-Whitney U test"))
+    test = F.when(normal & homo, F.lit(TEST_STUDENT)).when(normal, F.lit(TEST_WELCH)).otherwise(F.lit(TEST_RANKS))
     p = F.when(normal & homo, F.col("student_p")).when(normal, F.col("welch_p")).otherwise(F.col("mw_p"))
-    concl = F.when(p < alpha, F.lit("reject, we can assume a difference")) \
-             .otherwise(F.lit("no reject, we can assume the means are equal"))
+    concl = F.when(p < alpha, F.lit(CONCLUSION_DIFFERENT)).otherwise(F.lit(CONCLUSION_EQUAL))
     return row.select(normal.alias("normality_pass"), homo.alias("homoscedasticity_pass"),
                       test.alias("test"), p.alias("p_value"), concl.alias("conclusion"),
                       F.col("n_1").alias("n1"), F.col("n_2").alias("n2"))

@@ -1,6 +1,8 @@
 """Registered queries: multi-label evaluation, curves, BLEU, training history."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from convgraph.operators import evaluation as M
@@ -103,7 +105,24 @@ def roc_auc(spark, sf):
     return M.roc_auc(_long(spark, sf)).select("label", r6(F.col("auc")).alias("auc"))
 
 
+@query("roc_curve", _HIST_SQL + """
+SELECT label, round(score, 6) AS threshold, round(CASE WHEN N > 0 THEN cneg / N END, 6) AS fpr,
+       round(CASE WHEN P > 0 THEN cpos / P END, 6) AS tpr FROM c
+""")
+def roc_curve(spark, sf):
+    return M.roc_curve(_long(spark, sf)).select("label", *[r6(F.col(c)).alias(c) for c in ["threshold", "fpr", "tpr"]])
+
+
 # ---------------------------------------------------------------- M6
+@query("precision_recall_curve", _HIST_SQL + """
+SELECT label, round(score, 6) AS threshold, round(cpos / (cpos + cneg), 6) AS "precision",
+       round(CASE WHEN P > 0 THEN cpos / P END, 6) AS recall FROM c
+""")
+def precision_recall_curve(spark, sf):
+    return M.precision_recall_curve(_long(spark, sf)) \
+        .select("label", *[r6(F.col(c)).alias(c) for c in ["threshold", "precision", "recall"]])
+
+
 @query("average_precision", _HIST_SQL + """
 SELECT label, round(sum(CASE WHEN P > 0 THEN (pos / P) * (cpos / (cpos + cneg)) END), 6) AS average_precision
 FROM c GROUP BY label
@@ -114,14 +133,21 @@ def average_precision(spark, sf):
 
 
 # ---------------------------------------------------------------- M10
-_TOK_SQL = r"regexp_extract_all(trim({c}), '([\pL\pN]+|[^\s\pL\pN])', 1)"
+def _tok_sql(c):
+    for pattern, to in M.TOKENIZER_13A:
+        if pattern == "^|$":
+            c = f"(' ' || {c} || ' ')"
+        else:
+            to = re.sub(r"\$(\d)", r"\\\1", to)
+            c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')"
 
 
 @query("corpus_bleu", f"""
 WITH pairs AS (SELECT a.conv_id * 1000 + a.turn AS id, a.text AS hyp, u.text AS ref
                FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn = a.turn - 1
                WHERE a.role = 'assistant'),
-t AS (SELECT id, {_TOK_SQL.format(c='hyp')} AS h, {_TOK_SQL.format(c='ref')} AS r FROM pairs),
+t AS (SELECT id, {_tok_sql('hyp')} AS h, {_tok_sql('ref')} AS r FROM pairs),
 ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
 hg AS (SELECT id, n, array_to_string(h[i:i + n - 1], ' ') AS g
        FROM (SELECT id, n, h, unnest(generate_series(1, len(h) - n + 1)) AS i FROM t CROSS JOIN ns)),

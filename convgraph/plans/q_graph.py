@@ -128,12 +128,17 @@ def largest_component(spark, sf):
 
 # ---------------------------------------------------------------- G10
 @query("n_hop", "WITH " + _E3_U + """,
-h AS (SELECT a AS s, b AS n FROM adj UNION SELECT adj.a, x.b FROM adj JOIN adj x ON adj.b = x.a),
-r AS (SELECT s, n FROM h WHERE s <> n UNION SELECT a, a FROM adj)
+dg AS (SELECT a AS id, count(*) AS d FROM adj GROUP BY a),
+st AS (SELECT id FROM (SELECT id, d, avg(d) OVER () AS mu, stddev_pop(d) OVER () AS sd FROM dg) WHERE (d - mu) / sd > 2),
+h AS (SELECT a AS s, b AS n FROM adj WHERE a IN (SELECT id FROM st)
+      UNION SELECT adj.a, x.b FROM adj JOIN adj x ON adj.b = x.a WHERE adj.a IN (SELECT id FROM st)),
+r AS (SELECT s, n FROM h UNION SELECT id, id FROM st)
 SELECT s AS id, count(*) AS n_within FROM r GROUP BY s
 """)
 def n_hop(spark, sf):
-    r = G.n_hop(e3(spark, sf), 2, include_start=True)
+    """Sizes of the two-hop neighbourhoods of the hubs."""
+    e = e3(spark, sf)
+    r = G.n_hop(e, 2, G.hubs(G.degrees(G.undirected(e))).select("id"))
     return r.groupBy(F.col("start").alias("id")).agg(F.count(F.lit(1)).alias("n_within"))
 
 
@@ -152,8 +157,7 @@ def ego_subgraph(spark, sf):
     """Radius-3 ego graph of the highest-degree node (ties: smallest id)."""
     e = S.e2_edges(spark, sf)
     centre = G.degrees(e).orderBy(F.col("degree").desc(), F.col("id").asc()).limit(1).select("id")
-    reach = G.n_hop(e, 3, include_start=True)
-    ball = reach.join(centre.withColumnRenamed("id", "start"), "start").select(F.col("node").alias("id"))
+    ball = G.n_hop(e, 3, centre).select(F.col("node").alias("id"))
     return G.induced_subgraph(e, ball)
 
 
@@ -200,9 +204,11 @@ UNION ALL
 SELECT 'conversations', NOT EXISTS (SELECT 1 FROM q WHERE s = n), (SELECT count(*) FROM c)
 """)
 def is_dag(spark, sf):
+    """Events with their time order as a certificate, conversations by peeling."""
     rows = []
-    for name, edges in (("events", e3(spark, sf)), ("conversations", S.e1_edges(spark, sf))):
-        rows.append((name, G.is_dag(edges), edges.count()))
+    by_time = S.table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts")
+    for name, edges, order in (("events", e3(spark, sf), by_time), ("conversations", S.e1_edges(spark, sf), None)):
+        rows.append((name, G.is_dag(edges, order), edges.count()))
     return spark.createDataFrame(rows, "graph string, is_dag boolean, n_edges long")
 
 
@@ -414,13 +420,21 @@ def modularity(spark, sf):
     return q.select(r6(F.col("modularity")).alias("modularity")).crossJoin(k)
 
 
+def _largest(e):
+    """The subgraph of the largest component (ties: the smallest id)."""
+    cc = G.connected_components(e)
+    top = cc.groupBy("root").agg(F.count(F.lit(1)).alias("size")) \
+        .agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("root"))
+    return G.induced_subgraph(e, cc.join(F.broadcast(top), "root").select("id"))
+
+
 def _n_hubs(spark, sf):
     return G.hubs(G.degrees(S.e2_edges(spark, sf))).count()
 
 
 @query("louvain_communities")
 def louvain_communities(spark, sf):
-    return C.louvain(S.e2_edges(spark, sf), resolution=0.1, seed=SEED)
+    return C.louvain(S.e2_edges(spark, sf), resolution=0.1)
 
 
 @query("greedy_modularity_communities")
@@ -430,16 +444,20 @@ def greedy_modularity_communities(spark, sf):
 
 @query("fluid_communities")
 def fluid_communities(spark, sf):
-    return C.fluid_communities(S.e2_edges(spark, sf), k=max(1, _n_hubs(spark, sf)), seed=SEED)
+    """On the largest component, where every node is reached."""
+    e = _largest(S.e2_edges(spark, sf))
+    return C.fluid_communities(e, k=max(1, G.hubs(G.degrees(e)).count()), seed=SEED)
 
 
 @query("community_compare")
 def community_compare(spark, sf):
-    """Count, largest size and modularity of each partition."""
-    e = S.e2_edges(spark, sf)
-    parts = {"louvain": louvain_communities(spark, sf),
-             "greedy_modularity": greedy_modularity_communities(spark, sf),
-             "fluid": fluid_communities(spark, sf).filter(F.col("community").isNotNull())}
+    """Count, largest size and modularity of each partition, all of the
+    same nodes: the largest component."""
+    e = _largest(S.e2_edges(spark, sf))
+    k = max(1, G.hubs(G.degrees(e)).count())
+    parts = {"louvain": C.louvain(e, resolution=0.1),
+             "greedy_modularity": C.greedy_modularity(e, resolution=0.08, cutoff=k),
+             "fluid": C.fluid_communities(e, k=k, seed=SEED)}
     out = None
     for name, p in parts.items():
         sizes = C.community_sizes(p).agg(F.count(F.lit(1)).alias("n_communities"), F.max("size").alias("largest"))

@@ -204,15 +204,16 @@ def element_label_matrix(spark, sf):
 
 @query("selected_elements", _ELEM_SQL + """
 , sel AS (SELECT element FROM fr WHERE frequency > 5)
-SELECT id, count(*) AS n_selected FROM el WHERE element IN (SELECT element FROM sel) GROUP BY id
+SELECT lab.id, count(sel.element) AS n_selected
+FROM lab LEFT JOIN el ON lab.id = el.id LEFT JOIN sel ON el.element = sel.element GROUP BY lab.id
 """)
 def selected_elements(spark, sf):
     """A27 + A29: elements seen more than 5 times, and per row how many of
-    them it holds."""
+    them it holds (0 for rows without one)."""
     d = _with_elements(spark, sf)
     sel = E.select_by_frequency(E.frequencies(d, "elements"), 5)
-    m = E.membership_flags(d, "elements", sel)
-    return m.groupBy("id").agg(F.count(F.lit(1)).alias("n_selected"))
+    m = E.membership_flags(d, "elements", sel).groupBy("id").agg(F.count(F.lit(1)).alias("n_selected"))
+    return d.select("id").join(m, "id", "left").fillna(0, ["n_selected"])
 
 
 # ---------------------------------------------------------------- features
@@ -220,14 +221,14 @@ _WORDS_SQL = "list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda x
 _LEX_SQL = f"""
 lex AS (SELECT word, (length(word) % 10) / 10.0 + ascii(word) / 1000.0 AS valence,
                (ascii(right(word, 1)) - 97) / 26.0 AS arousal, (length(word) % 7) / 7.0 AS dominance
-        FROM (SELECT word, count(*) AS c FROM (SELECT unnest({_WORDS_SQL.format(c='text')}) AS word FROM documents)
-              WHERE length(word) >= 3 GROUP BY word ORDER BY c DESC, word LIMIT 200)),
+        FROM (SELECT DISTINCT word FROM (SELECT unnest({_WORDS_SQL.format(c='text')}) AS word FROM documents)
+              WHERE length(word) >= 3)),
 tok AS (SELECT id, unnest({_WORDS_SQL.format(c='text')}) AS word FROM lab)
 """
 
 
 def _lexicon(spark, sf):
-    return FT.top_words_lexicon(S.table(spark, sf, "documents"), "text", 200)
+    return FT.word_lexicon(S.table(spark, sf, "documents"), "text")
 
 
 @query("lexicon_scores", _LABELLED + ", " + _LEX_SQL + """

@@ -32,7 +32,7 @@ def baseline_classifier(spark, sf):
 
 def _with_features(spark, sf, df):
     docs = S.table(spark, sf, "documents")
-    lex = FT.top_words_lexicon(docs, "text", 200)
+    lex = FT.word_lexicon(docs, "text")
     vad = FT.lexicon_scores(df, "id", "text", lex)
     pos = FT.pos_histogram(df, "id", "text")
     return cut_lineage(df.join(vad, "id").join(pos, "id")

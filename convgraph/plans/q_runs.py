@@ -7,6 +7,7 @@ from convgraph.functions import text as X
 from convgraph.operators import runs as RU
 from convgraph.plans import standins as S
 from convgraph.plans.registry import query, r6
+from convgraph.session import scratch_path
 
 _FLAGS = list(RU.FOLDED_FLAGS) + list(RU.CASED_FLAGS)
 
@@ -79,11 +80,12 @@ def best_run(spark, sf):
 
 # ---------------------------------------------------------------- W9
 @query("keep_latest", """
-WITH r AS (SELECT o_orderpriority AS name, o_orderdate AS created, o_orderkey AS id FROM orders
-           WHERE NOT regexp_matches(o_orderpriority, 'LOW')),
-k AS (SELECT name, arg_max(id, (created, id)) AS kept_id, max(created) AS kept_created, count(*) - 1 AS n_deleted
-      FROM r GROUP BY name)
-SELECT name, kept_id, strftime(kept_created, '%Y-%m-%d %H:%M:%S') AS kept_created, n_deleted FROM k
+WITH r AS (SELECT o_orderpriority AS name, o_orderdate AS created, o_orderkey AS id FROM orders),
+k AS (SELECT name, arg_max(id, (created, id)) AS kept_id, max(created) AS kept_created, count(*) AS n,
+             regexp_matches(name, 'LOW') AS purged FROM r GROUP BY name)
+SELECT name, CASE WHEN NOT purged THEN kept_id END AS kept_id,
+       CASE WHEN NOT purged THEN strftime(kept_created, '%Y-%m-%d %H:%M:%S') END AS kept_created,
+       CASE WHEN purged THEN n ELSE n - 1 END AS n_deleted FROM k
 """)
 def keep_latest(spark, sf):
     o = S.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("name"),
@@ -109,22 +111,49 @@ def purge_before_date(spark, sf):
     return o.groupBy("o_orderstatus").agg(F.count_if(old).alias("n_purged"), F.count_if(~old).alias("n_kept"))
 
 
-# ---------------------------------------------------------------- X21 + X22 + A35
-@query("prompt_epoch_means", """
-WITH r AS (SELECT 'model_' || replace(o_orderpriority, '-', '/') || '_prompt_' || o_orderstatus || 'x_' ||
-                  CAST(month(o_orderdate) AS VARCHAR) || '_epochs_seed_' || CAST(o_custkey % 3 AS VARCHAR) AS name,
-                  o_totalprice FROM orders),
-p AS (SELECT regexp_extract(replace(name, '/', '_'), 'prompt_?([A-Za-z0-9]+)', 1) AS prompt_type,
-             CAST(regexp_extract(name, '(\\d+)_epochs', 1) AS INTEGER) AS epochs, o_totalprice FROM r)
-SELECT prompt_type, epochs, round(avg(o_totalprice), 6) AS mean_value, count(*) AS n FROM p GROUP BY ALL
+# ---------------------------------------------------------------- X21 + X22 + S11 + A35
+_PROMPTS = ["zero_shot", "with_definition", "with_example"]     # own stand-in names, with underscores as in real ones
+_METRICS = ["f1", "precision", "recall", "accuracy"]
+_RUN_METRIC_SQL = """
+WITH r AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'zero_shot' WHEN 'O' THEN 'with_definition' ELSE 'with_example' END AS prompt,
+                  month(o_orderdate) * 10 AS epochs, o_custkey % 3 AS seed, o_totalprice AS p FROM orders),
+m AS (SELECT prompt, epochs, seed, avg(p) / 1e6 AS f1, min(p) / 1e6 AS "precision", max(p) / 1e6 AS recall,
+             count(*) / 1e4 AS accuracy FROM r GROUP BY ALL)
+"""
+
+
+def _written_runs(spark, sf):
+    """One metrics file per run directory in the shared folder, written from
+    the orders table; directories of another form stand beside them."""
+    o = S.table(spark, sf, "orders")
+    prompt = F.when(F.col("o_orderstatus") == "F", _PROMPTS[0]).when(F.col("o_orderstatus") == "O", _PROMPTS[1]) \
+        .otherwise(_PROMPTS[2])
+    p = F.col("o_totalprice")
+    runs = o.groupBy(prompt.alias("prompt"), (F.month("o_orderdate") * 10).alias("epochs"),
+                     (F.col("o_custkey") % 3).alias("seed")) \
+        .agg((F.avg(p) / 1e6).alias("f1"), (F.min(p) / 1e6).alias("precision"), (F.max(p) / 1e6).alias("recall"),
+             (F.count(F.lit(1)) / 1e4).alias("accuracy"))
+    name = X.run_name(F.lit("t5-large"), F.lit("prompt_type"), "prompt", F.lit("epochs"),
+                      F.col("epochs").cast("string"), F.lit("seed"), F.col("seed").cast("string"))
+    rows = runs.select(name.alias("run_name"), *_METRICS)
+    rows = rows.unionByName(rows.withColumn("run_name", F.concat(F.lit("other_"), F.col("run_name"))))
+    path = scratch_path(spark, "runs")
+    rows.select("run_name", F.to_json(F.struct(*_METRICS)).alias("value")) \
+        .write.partitionBy("run_name").text(path)
+    return path
+
+
+@query("prompt_epoch_means", _RUN_METRIC_SQL + """
+SELECT prompt AS prompt_type, epochs, round(avg(f1), 6) AS f1, round(avg("precision"), 6) AS "precision",
+       round(avg(recall), 6) AS recall, round(avg(accuracy), 6) AS accuracy, count(*) AS n_runs FROM m GROUP BY ALL
 """)
 def prompt_epoch_means(spark, sf):
-    o = S.table(spark, sf, "orders")
-    name = F.concat(F.lit("model_"), F.replace("o_orderpriority", F.lit("-"), F.lit("/")), F.lit("_prompt_"),
-                    F.col("o_orderstatus"), F.lit("x_"), F.month("o_orderdate").cast("string"),
-                    F.lit("_epochs_seed_"), (F.col("o_custkey") % 3).cast("string"))
-    r = o.select(X.run_name(name).alias("name"), "o_totalprice")
-    pt, ep, _seed = X.parse_run_name("name")
-    return r.select(pt.alias("prompt_type"), ep.alias("epochs"), "o_totalprice") \
-            .groupBy("prompt_type", "epochs").agg(r6(F.avg("o_totalprice")).alias("mean_value"),
-                                                  F.count(F.lit(1)).alias("n"))
+    """Metrics files read back one per run directory (S11), names parsed (X21;
+    directories of another form drop), means per prompt type and epochs (A35),
+    best F1 first."""
+    raw = RU.read_metrics_flat(spark, _written_runs(spark, sf), "*.txt")
+    raw = raw.withColumn("run_name", F.regexp_replace("run_name", "^run_name=", ""))
+    prompt, epochs, _seed = X.parse_run_name("run_name")
+    means = RU.prompt_epoch_means(raw.select(prompt.alias("prompt_type"), epochs.alias("epochs"), *_METRICS), _METRICS)
+    return means.select("prompt_type", F.col("epochs").cast("long").alias("epochs"),
+                        *[r6(F.col(m)).alias(m) for m in _METRICS], "n_runs")

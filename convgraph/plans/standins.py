@@ -125,12 +125,12 @@ FROM documents WHERE lang = 'en'
 
 
 def topic_words(text_col) -> F.Column:
-    """Distinct lower-cased [a-z] runs of length >= 6 (topics / hashtags)."""
+    """Distinct lower-cased [a-z] runs (topics / hashtags)."""
     toks = F.split(F.lower(text_col), "[^a-z]+")
-    return F.array_distinct(F.filter(toks, lambda x: F.length(x) >= 6))
+    return F.array_distinct(F.filter(toks, lambda x: F.length(x) >= 1))
 
 
-TOPIC_WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda x: length(x) >= 6))"
+TOPIC_WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda x: length(x) >= 1))"
 
 
 # --------------------------------------------------------------------------
@@ -158,11 +158,10 @@ FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn =
 
 
 # --------------------------------------------------------------------------
-# graph E2: supplier-customer pairs of large discounted lines (undirected)
+# graph E2: supplier-customer pairs of all order lines (undirected)
 # --------------------------------------------------------------------------
 def e2_edges(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.09)).select("l_orderkey", "l_suppkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     pairs = li.join(o, li.l_orderkey == o.o_orderkey).select(
         (F.col("l_suppkey") * 2).alias("s"), (F.col("o_custkey") * 2 + 1).alias("c"))
@@ -184,7 +183,6 @@ E2_EDGES_SQL = """
 SELECT DISTINCT least(l.l_suppkey * 2, o.o_custkey * 2 + 1) AS src,
                 greatest(l.l_suppkey * 2, o.o_custkey * 2 + 1) AS dst
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-WHERE l.l_quantity >= 49 AND l.l_discount >= 0.09
 """
 E2_NODES_SQL = """
 SELECT i.id, c.community FROM (SELECT src AS id FROM e2 UNION SELECT dst FROM e2) i

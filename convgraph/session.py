@@ -8,6 +8,7 @@ session through :func:`local_session`.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -51,7 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or configured
     if current:
         return current
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         # a machine-local folder is not shared by the executors of a cluster
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for iterative jobs")
     path = tempfile.mkdtemp(prefix="convgraph-ckpt-")
@@ -59,10 +60,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_CUT_PATHS: dict[int, str] = {}
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, for files that a job writes and reads
+    back."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/convgraph-{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, eager: bool = True, replaces=None):
+def cut_lineage(df, replaces=None):
     """Cut lineage by writing the rows to the shared checkpoint folder as
     Parquet and reading them back.
 
@@ -75,11 +79,10 @@ def cut_lineage(df, eager: bool = True, replaces=None):
     storage instead of all of them.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/convgraph-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     df.write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
-    _CUT_PATHS[id(out)] = path
+    out._cut_path = path
     if replaces is not None:
         release(replaces)
     return out
@@ -88,7 +91,7 @@ def cut_lineage(df, eager: bool = True, replaces=None):
 def release(df) -> None:
     """Delete the storage behind a DataFrame returned by ``cut_lineage``
     (no-op for anything else).  Only call it when nothing still reads it."""
-    path = _CUT_PATHS.pop(id(df), None)
+    path = getattr(df, "_cut_path", None)
     if not path:
         return
     try:  # clean-up is best effort: a failure here must not fail the job

@@ -18,13 +18,20 @@ def read_split_csvs(spark: SparkSession, paths: list[str], schema: T.StructType
 
 
 # S5
+_ITEM = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*["]"""
+
+
 def parse_tuple_literal(col) -> Column:
-    """``"('a', 'b')"`` -> ["a", "b"]; ``"()"`` -> []; text that is not a
-    tuple literal passes through as a one-element array... of itself."""
+    """A literal such as ``("it's", 'b')`` -> ["it's", "b"]; ``()`` -> [].
+    Items may stand in either kind of quotes, backslash escapes of quotes and
+    backslashes are undone.  Text that is not a tuple literal is not an array:
+    the result is NULL and the caller keeps the text itself."""
     c = F.col(col) if isinstance(col, str) else col
-    items = F.regexp_extract_all(c, F.lit(r"'((?:[^'\\]|\\.)*)'"), 1)
-    is_tuple = c.rlike(r"^\(.*\)$")
-    return F.when(is_tuple, items).otherwise(F.array(c))
+    is_tuple = c.rlike(rf"(?s)^\s*\(\s*(?:(?:{_ITEM})\s*,\s*)*(?:(?:{_ITEM})\s*)?\)\s*$")
+    quoted = F.regexp_extract_all(c, F.lit(f"({_ITEM})"), 1)
+    inner = F.transform(quoted, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    items = F.transform(inner, lambda x: F.regexp_replace(x, r"""\\(['"\\])""", "$1"))
+    return F.when(is_tuple, items)
 
 
 # S6
@@ -130,11 +137,12 @@ def pajek_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     from convgraph.operators.relations import global_positions
     spark = nodes.sparkSession
     num = global_positions(nodes.select("id").distinct(), ["id"], "n")
-    v = num.select(F.lit(1).alias("_part"), F.col("n").alias("_k"),
+    v = num.select(F.lit(1).alias("_part"), F.col("n").alias("_k"), F.lit(0).cast("long").alias("_k2"),
                    F.concat(F.col("n").cast("string"), F.lit(' "'), F.col("id").cast("string"), F.lit('"')).alias("value"))
     a = (edges.join(num.toDF("src", "ns"), "src").join(num.toDF("dst", "nd"), "dst")
-              .select(F.lit(3).alias("_part"), (F.col("ns") * (1 << 31) + F.col("nd")).alias("_k"),
+              .select(F.lit(3).alias("_part"), F.col("ns").alias("_k"), F.col("nd").alias("_k2"),
                       F.concat_ws(" ", F.col("ns").cast("string"), F.col("nd").cast("string")).alias("value")))
     n = nodes.select("id").distinct().count()
-    head = spark.createDataFrame([(0, 0, f"*Vertices {n}"), (2, 0, "*Arcs")], "_part int, _k long, value string")
+    head = spark.createDataFrame([(0, 0, 0, f"*Vertices {n}"), (2, 0, 0, "*Arcs")],
+                                 "_part int, _k long, _k2 long, value string")
     return head.unionByName(v).unionByName(a)

@@ -183,9 +183,9 @@ def test_directed_clustering_matches_definition(spark):
 
 def test_cut_lineage_release_deletes_superseded_round(spark):
     import os
-    from convgraph.session import _CUT_PATHS, cut_lineage
+    from convgraph.session import cut_lineage
     a = cut_lineage(spark.range(0, 100))
-    path_a = _CUT_PATHS[id(a)].replace("file:", "")
+    path_a = a._cut_path.replace("file:", "")
     b = cut_lineage(a.selectExpr("id * 2 AS id"), replaces=a)
     assert b.count() == 100 and b.agg(F.max("id")).first()[0] == 198
     assert not os.path.exists(path_a)
