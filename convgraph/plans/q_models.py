@@ -35,17 +35,22 @@ def _with_features(spark, sf, df):
     lex = FT.word_lexicon(docs, "text")
     vad = FT.lexicon_scores(df, "id", "text", lex)
     pos = FT.pos_histogram(df, "id", "text")
-    return cut_lineage(df.join(vad, "id").join(pos, "id")
-                         .withColumn("context", F.concat_ws(" ", "source", "lang")))
+    near = docs.select("doc_id", "text")
+    before = near.select((F.col("doc_id") + 1).alias("id"), F.col("text").alias("previous"))
+    after = near.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("posterior"))
+    # previous + main + posterior text as one input, missing sides empty
+    return cut_lineage(df.join(vad, "id").join(pos, "id").join(before, "id", "left").join(after, "id", "left")
+                         .withColumn("text_and_context", F.concat_ws(" ", "previous", "text", "posterior")))
 
 
 @query("context_classifier")
 def context_classifier(spark, sf):
-    """M8: main text + context text + engineered features (VAD scores,
-    part-of-speech counts) concatenated into one feature vector."""
+    """M8: previous, main and posterior text (the documents before and after
+    by id stand in for the conversation) + the engineered features chosen by
+    prefix (VAD scores, part-of-speech counts) in one feature vector."""
     tr, va, te = (_with_features(spark, sf, d) for d in _splits(spark, sf))
-    feats = ["valence", "arousal", "dominance"] + [f"POS_{t}" for t in FT.POS_TAGS]
-    return MD.seeded_runs(tr, va, te, "id", LAB, ["text", "context"], feats, n_runs=1)
+    feats = FT.feature_columns(tr, ["valence", "arousal", "dominance", "POS_"])
+    return MD.seeded_runs(tr, va, te, "id", LAB, ["text_and_context"], feats, n_runs=1)
 
 
 @query("batch_scoring")
@@ -53,5 +58,6 @@ def batch_scoring(spark, sf):
     """M9: score the test split with a fitted model; truth, logits and
     predictions saved next to the text."""
     tr, va, te = _splits(spark, sf)
-    feats, models = MD.fit_binary_relevance(tr, LAB, ["text"], reg=0.1)
-    return MD.score(feats, models, te, "id", LAB, keep=["text"])
+    feats = MD.fit_features(tr, ["text"])
+    models = MD.fit_labels(MD.featurized(feats, tr, "id", LAB), "id", LAB, reg=0.1, seed=42)
+    return MD.score(models, MD.featurized(feats, te, "id", LAB, keep=["text"]), "id", LAB, keep=["text"])
