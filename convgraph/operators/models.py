@@ -33,8 +33,11 @@ def _featurizer(text_cols: list[str], feature_cols: list[str], num_features: int
 
 
 # M7 / M8
-NUM_FEATURES = 1 << 16   # hashing dimension: words that share a bucket share a weight
-MAX_ITER = 50            # L-BFGS iterations at most (a documented bound of the fit, not of the data)
+# Parameters of the fit, not of the data: words that share one of the hash
+# buckets share a weight, and L-BFGS stops after MAX_ITER steps (converged or
+# not).  Raise both for closer fits.
+NUM_FEATURES = 1 << 14
+MAX_ITER = 20
 
 
 def fit_features(train: DataFrame, text_cols: list[str], feature_cols: list[str] | None = None,
