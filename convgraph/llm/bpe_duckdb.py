@@ -28,26 +28,32 @@ from convgraph.llm.common import id_text, worker_cache
 from convgraph.llm.pretokens import Memo, chunks, memo
 
 #: Words of one recursive query, and bytes above which a word is a long one.
-WORDS, LONG, DEPTH = 40_000, 96, 64
+WORDS, LONG, DEPTH = 16_000, 96, 64
 #: Ids of one decoding query; a longer text is a query of its own.
-DECODE_IDS = 1_000_000
+DECODE_IDS = 200_000
 
+# A row is a token with its right neighbour (nxt, at npos) and the rank m of the
+# pair.  best: per word the leftmost pair of minimum rank; its right token goes.
 ENCODE = """
 WITH RECURSIVE step AS (
-  SELECT 0 AS it, w, pos, tok FROM start
+  SELECT 0 AS it, s.w, s.pos, s.tok, s.nxt, s.npos, m.m
+  FROM start s LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 4194304 + s.nxt
   UNION ALL
-  SELECT it + 1, w, pos, CASE WHEN pos = hit THEN m ELSE tok END
-  FROM (
-    SELECT *, best & 4294967295 AS hit FROM (
-      SELECT it, w, pos, tok, m, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS before,
-             min(m::BIGINT << 32 | pos) OVER (PARTITION BY w) AS best
-      FROM (SELECT it, w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM step)
-      LEFT JOIN merges ON pair = tok::BIGINT * 4194304 + nxt)
-    WHERE best IS NOT NULL)
-  WHERE before IS NULL OR before <> hit
+  SELECT it, w, pos, t.tok, t.nxt, npos, m.m FROM (
+    SELECT s.it + 1 AS it, s.w, s.pos, CASE WHEN s.pos = b.pos THEN b.m ELSE s.tok END AS tok,
+           CASE WHEN s.pos = b.pos THEN b.nxt2 WHEN s.npos = b.pos THEN b.m ELSE s.nxt END AS nxt,
+           CASE WHEN s.pos = b.pos THEN b.npos2 ELSE s.npos END AS npos
+    FROM step s JOIN (
+      SELECT a.w, a.pos, a.m, a.gone, q.nxt AS nxt2, q.npos AS npos2
+      FROM (SELECT w, best & 4294967295 AS pos, (best >> 32)::INTEGER AS m, gone
+            FROM (SELECT w, min(m::BIGINT << 32 | pos) AS best, arg_min(npos, m::BIGINT << 32 | pos) AS gone
+                  FROM step WHERE m IS NOT NULL GROUP BY w)) a
+      JOIN step q ON q.w = a.w AND q.pos = a.gone) b ON b.w = s.w
+    WHERE s.pos <> b.gone) t
+  LEFT JOIN merges m ON m.pair = t.tok::BIGINT * 4194304 + t.nxt
 )
-SELECT w, pos, tok FROM (SELECT *, max(it) OVER (PARTITION BY w) AS last FROM step)
-WHERE it = last ORDER BY w, pos
+SELECT s.w, s.pos, s.tok FROM step s JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) l USING (w, it)
+ORDER BY s.w, s.pos
 """
 
 # One generation of the long-word query.  hit: pairs of minimum rank r, every
@@ -122,7 +128,7 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     joined.append(rank)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         pairs = np.array(left, dtype=np.int64) * 4194304 + np.array(right, dtype=np.int64)
         self._give("m", pa.table({"pair": pairs, "m": np.array(joined, dtype=np.int32)}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -148,8 +154,12 @@ class Codec:
         return w, pos, tok
 
     def _start(self, w, pos, tok):
+        import numpy as np
         import pyarrow as pa
-        self._give("start", pa.table({"w": w, "pos": pos, "tok": tok}))
+        last = np.append(w[1:] != w[:-1], True)
+        nxt = np.where(last, -1, np.append(tok[1:], -1)).astype(np.int32)
+        npos = np.where(last, -1, np.append(pos[1:], -1)).astype(np.int32)
+        self._give("start", pa.table({"w": w, "pos": pos, "tok": tok, "nxt": nxt, "npos": npos}))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word (none of them empty)."""
@@ -203,9 +213,9 @@ class Codec:
             if None in ids:
                 ids = [made[c] if i is None else i for c, i in zip(parts[1:], ids)]
             out.append((first[parts[0]] if parts[0] in first else self.first[parts[0]]) + b"".join(ids))
-        for memory, fill in ((self.words, new), (self.rest, made), (self.first, first)):
+        for memory, fill, most in ((self.words, new, WORD_MEMO), (self.rest, made, CHUNK_MEMO), (self.first, first, CHUNK_MEMO)):
             memory.update((k, v) for k, v in fill.items() if len(k) <= memory.longest)
-            memory.trim()
+            memory.trim(most)
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -242,7 +252,9 @@ def _defaults(path, pattern):
 
 
 #: Texts encoded together: about this many characters, one text at least.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
+#: Words and chunks a worker remembers, and the memory of its DuckDB.
+WORD_MEMO, CHUNK_MEMO, MEMORY = 300_000, 300_000, "300MB"
 
 
 def _groups(values, size):
@@ -267,9 +279,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             lo = 0
-            for group in _groups(texts, len):
+            for group in _groups((t.as_py() for t in batch.column(1)), len):
                 done = codec(path, pattern).encode(group)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:lo + len(group)], pa.array(done, pa.binary())],
                                                  names=["id", "ids"])
@@ -288,7 +299,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
         import pyarrow as pa
         for batch in batches:
             lo = 0
-            for group in _groups(batch.column(1).to_pylist(), len):
+            for group in _groups((t.as_py() for t in batch.column(1)), len):
                 done = codec(path, pattern).decode(group)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:lo + len(group)], pa.array(group, pa.binary()), pa.array(done, pa.binary())],

@@ -24,6 +24,16 @@ def chunks(text: str) -> list[str]:
     return _SINGLE.split(text) if _ADJACENT.search(text) else text.split(" ")
 
 
+_BEFORE_SINGLE = re.compile(r"(?<=\S)(?= \S)")
+
+
+def spaced_chunks(text: str) -> list[str]:
+    """The same pieces with their space in front; together they are the text."""
+    if "\0" in text or _ADJACENT.search(text):
+        return _BEFORE_SINGLE.split(text)
+    return text.replace(" ", "\0 ").split("\0")
+
+
 class Memo(dict):
     """Remembers fn(key); a key longer than ``longest`` is computed each time."""
 
@@ -37,8 +47,8 @@ class Memo(dict):
             self[key] = value
         return value
 
-    def trim(self):
-        if len(self) > MEMO_ENTRIES:
+    def trim(self, entries: int = MEMO_ENTRIES):
+        if len(self) > entries:
             self.clear()
 
 
