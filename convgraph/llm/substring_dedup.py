@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from convgraph.llm.common import (id_text, mix, splitmix, text_slices, window_hashes, word_hashes, word_spans)
+from convgraph.llm.common import (mix, splitmix, text_slices, window_hashes, word_hashes, word_spans)
 
 WINDOW = 13
 GRAM = 3
@@ -275,24 +275,29 @@ def duplicate_spans(rows: DataFrame, window: int = WINDOW, buckets: int | None =
 
 
 def remove_spans(rows: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_removed, kept): words of the text that no span covers,
-    joined by one space.  A document's spans are bounded by its own words."""
-    per_doc = spans.groupBy("id", "tag").agg(F.collect_list("first").alias("first"), F.collect_list("windows").alias("windows"))
-    held = rows.withColumn("key", F.coalesce("id", F.lit(int(NO_ID)))) \
-        .join(per_doc.withColumnRenamed("id", "key"), ["key", "tag"], "left").select("id", "text", "first", "windows")
+    """The rows with n_words, n_removed and kept: the words of the text that
+    no span covers, joined by one space.  ``rows``: id, tag, text and any
+    other columns, which come back unchanged (without tag and text, the words
+    are enough).  A document's spans are bounded by its own words."""
+    other = [f for f in rows.schema.fields if f.name not in ("id", "tag", "text")]
+    per_doc = spans.groupBy("id", "tag") \
+        .agg(F.collect_list("first").alias("_first"), F.collect_list("windows").alias("_windows")).withColumnRenamed("id", "_key")
+    held = rows.withColumn("_key", F.coalesce("id", F.lit(int(NO_ID)))).join(per_doc, ["_key", "tag"], "left") \
+        .select("text", "_first", "_windows", "id", *[f.name for f in other])
 
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            at_col, n_col = batch.column(2), batch.column(3)
+            at_col, n_col = batch.column(1), batch.column(2)
             for lo, hi, data, offs in text_slices(batch):
                 s, e, first = word_spans(data, offs)
                 kept, words, removed = [], [], []
                 for r in range(lo, hi):
                     a, z = int(first[r - lo]), int(first[r - lo + 1])
                     words.append(z - a)
+                    base = int(offs[r - lo])
+                    raw = data[base:offs[r - lo + 1]].tobytes()
                     if not at_col[r].is_valid:
-                        raw = data[offs[r - lo]:offs[r - lo + 1]].tobytes()
                         kept.append(b" ".join(raw.split()))
                         removed.append(0)
                         continue
@@ -302,17 +307,37 @@ def remove_spans(rows: DataFrame, spans: DataFrame, window: int = WINDOW) -> Dat
                     np.add.at(cover, begin + n_col[r].values.to_numpy() + window - 1, -1)
                     stay = np.flatnonzero(np.cumsum(cover[:-1]) == 0) + a
                     removed.append(z - a - len(stay))
-                    base = int(offs[r - lo])
-                    raw = data[base:offs[r - lo + 1]].tobytes()
                     kept.append(b" ".join([raw[i - base:j - base] for i, j in zip(s[stay].tolist(), e[stay].tolist())]))
+                carried = [batch.column(i)[lo:hi] for i in range(3, batch.num_columns)]
+                text = batch.column(0)[lo:hi]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(words, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
-    return held.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
+                    [*carried, text, pa.array(words, pa.int64()), pa.array(removed, pa.int64()),
+                     pa.array(kept, pa.binary()).cast(pa.string())],
+                    names=[*batch.schema.names[3:], "text", "n_words", "n_removed", "kept"])
+    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in other)
+    return held.mapInArrow(run, f"id long{fields}, text string, n_words long, n_removed long, kept string")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, other: tuple = ()) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"), *other)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_removed, kept): the text without words that are covered
     by a window whose words also start in a document with a smaller id."""
-    rows = id_text(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("tag"), "text")
-    return remove_spans(rows, duplicate_spans(rows, window), window).withColumnRenamed("id", id_col)
+    rows = _rows(docs, id_col, text_col)
+    return remove_spans(rows, duplicate_spans(rows, window), window).drop("text").withColumnRenamed("id", id_col)
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with all their columns, repeated words cut out of
+    the text.  Texts that lose nothing stay as they are (null ones become
+    empty); documents of which nothing is left go."""
+    plain = _rows(docs, id_col, text_col)
+    kept = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_row")
+    out = remove_spans(_rows(docs, id_col, text_col, (kept,)), duplicate_spans(plain, window), window)
+    lost = F.col("n_removed") > 0
+    return out.where(~lost | (F.col("kept") != "")).select(
+        *[F.when(lost, F.col("kept")).otherwise(F.col("text")).alias(c) if c == text_col else F.col("_row")[c].alias(c)
+          for c in docs.columns])

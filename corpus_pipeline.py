@@ -20,7 +20,7 @@ from convgraph.llm.common import stored, table
 from convgraph.llm.exact_dedup import keep_first
 from convgraph.llm.minhash_hamming import keep_one
 from convgraph.llm.packing import pack
-from convgraph.llm.substring_dedup import substring_dedup
+from convgraph.llm.substring_dedup import cut_texts
 from convgraph.llm.toxicity_chain import keep_clean
 
 
@@ -39,14 +39,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lose nothing stay as they are; the others become the kept
     words joined by one space, with ``n_chars`` counted anew."""
-    cut = substring_dedup(docs).where("n_removed > 0") \
-        .select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"])
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]), "left")
-    changed = F.col("_id").isNotNull()
-    return (joined.where(~changed | (F.col("_kept") != ""))
-            .withColumn("text", F.when(changed, F.col("_kept")).otherwise(F.col("text")))
-            .withColumn("n_chars", F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars")))
-            .select(*docs.columns))
+    before = F.col("n_chars")
+    out = cut_texts(docs.withColumn("_old", F.xxhash64("text")))
+    changed = F.xxhash64("text") != F.col("_old")
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(before)).drop("_old")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
