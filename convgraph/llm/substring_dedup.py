@@ -171,7 +171,7 @@ class _Sender:
         keep = np.flatnonzero(stay)
         keep = keep[np.argsort(bucket[keep], kind="stable")]
         cut = np.flatnonzero(np.diff(bucket[keep])) + 1
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for part in np.split(keep, cut):
             body = pickle.dumps((doc[part], tag[part], start[part].astype(np.int32), count[part].astype(np.int32),
                                  b"\n".join(b" ".join(text[i].split()) for i in part.tolist())), protocol=5)
