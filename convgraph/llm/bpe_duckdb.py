@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from convgraph.llm.common import id_text, worker_cache
-from convgraph.llm.pretokens import Memo, chunks, memo
+from convgraph.llm.pretokens import Memo, memo, spaced_chunks
 
 #: Words of one recursive query, and bytes above which a word is a long one.
 WORDS, LONG, DEPTH = 16_000, 96, 64
@@ -138,9 +138,8 @@ class Codec:
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.match = regex.compile(pattern).findall
-        self.words: Memo = memo(f"duck-word-{path}", self._missing)
-        self.first: Memo = memo(f"duck-first-{path}", self._chunk)
-        self.rest: Memo = memo(f"duck-rest-{path}", self._chunk, " ")
+        # ids of words and of chunks, most of which are one word
+        self.known: Memo = memo(f"duck-{path}", self._missing)
 
     def _give(self, name, table):
         self.con.register(name, table)
@@ -188,34 +187,20 @@ class Codec:
     def _missing(self, word: str) -> bytes:
         return self.encode_words([word])[0]
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.match(chunk)))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) if t else [] for t in texts]
-        found = [list(map(self.rest.get, parts[1:])) for parts in cut]
-        fresh = {c for parts, ids in zip(cut, found) if None in ids for c, i in zip(parts[1:], ids) if i is None}
-        head = {parts[0] for parts in cut if parts and parts[0] not in self.first}
-        pieces = {c: self.match(" " + c) for c in fresh}
-        unknown = list({w for m in pieces.values() for w in m if w not in self.words}
-                       | {w for c in head for w in self.match(c) if w not in self.words})
+        cut = [spaced_chunks(t) if t else [] for t in texts]
+        found = [list(map(self.known.get, parts)) for parts in cut]
+        fresh = {c for parts, ids in zip(cut, found) if None in ids for c, i in zip(parts, ids) if i is None}
+        words = {c: self.match(c) for c in fresh}
+        unknown = list({w for m in words.values() for w in m if w not in self.known})
         new = dict(zip(unknown, self.encode_words(unknown)))
-
-        def ids_of(words):
-            return b"".join([new[w] if w in new else self.words[w] for w in words])
-        made = {c: ids_of(m) for c, m in pieces.items()}
-        first = {c: ids_of(self.match(c)) for c in head}
-        out = []
-        for parts, ids in zip(cut, found):
-            if not parts:
-                out.append(b"")
-                continue
-            if None in ids:
-                ids = [made[c] if i is None else i for c, i in zip(parts[1:], ids)]
-            out.append((first[parts[0]] if parts[0] in first else self.first[parts[0]]) + b"".join(ids))
-        for memory, fill, most in ((self.words, new, WORD_MEMO), (self.rest, made, CHUNK_MEMO), (self.first, first, CHUNK_MEMO)):
-            memory.update((k, v) for k, v in fill.items() if len(k) <= memory.longest)
-            memory.trim(most)
+        for c, m in words.items():
+            if c not in new:
+                new[c] = b"".join([new[w] if w in new else self.known[w] for w in m])
+        out = [b"".join([new[c] if i is None else i for c, i in zip(parts, ids)] if None in ids else ids)
+               for parts, ids in zip(cut, found)]
+        self.known.update((k, v) for k, v in new.items() if len(k) <= self.known.longest)
+        self.known.trim(MEMO)
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -254,7 +239,7 @@ def _defaults(path, pattern):
 #: Texts encoded together: about this many characters, one text at least.
 GROUP_CHARS = 2_000_000
 #: Words and chunks a worker remembers, and the memory of its DuckDB.
-WORD_MEMO, CHUNK_MEMO, MEMORY = 300_000, 300_000, "300MB"
+MEMO, MEMORY = 600_000, "300MB"
 
 
 def _groups(values, size):
