@@ -7,8 +7,9 @@ Conventions that hold for every operator of this subpackage:
 * only the id and text columns named by the caller are read, and they are
   renamed at once, so extra columns cannot clash with result columns;
 * a null text counts as the empty text, a null id is carried as null;
-* rows that repeat an id are separate rows of the same document: each one
-  comes back, and no decision between documents separates them.
+* rows that repeat an id are separate rows: each one is judged by its own text
+  and rows that also repeat the text share the decision; rows with a null id
+  are different documents.
 """
 from __future__ import annotations
 
@@ -39,6 +40,21 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, _row): as ``id_text``, and the row itself as a struct."""
+    return docs.select(F.col(id_col).alias("id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+
+
+def one_null_row(rows: DataFrame, *by) -> DataFrame:
+    """Of the rows (id, text, _row) with a null id one per group of ``by``:
+    the one whose columns have the smallest hash, whatever the layout."""
+    by = [c.alias(f"_by{i}") for i, c in enumerate(by)]
+    best = F.min_by(F.struct("id", "text", "_row"), F.md5(F.to_json("_row"))).alias("_best")
+    return rows.where("id IS NULL").groupBy(*by).agg(best).select("_best.*")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write the rows to the cluster's shared folder and read them back: one
     evaluation for several readers, and a cut of the lineage that survives

@@ -35,9 +35,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from convgraph.llm.common import (LOWER, dropped, id_text, mix, per_salt, salt_bits, splitmix, stored, text_slices,
-                                   window_hashes, with_salt, word_hashes, word_spans)
+from convgraph.llm.common import (LOWER, dropped, id_text, mix, one_null_row, per_salt, salt_bits, splitmix, stored,
+                                   text_slices, whole_rows, window_hashes, with_salt, word_hashes, word_spans)
 from convgraph.operators.graph import connected_components
+from convgraph.operators.relations import global_positions
 
 SHINGLE = 5
 CHUNK = 5
@@ -249,6 +250,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
              chunks: int = 10) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group."""
-    ids = near_dedup(docs, id_col, text_col, percent, chunks).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: one document of
+    each group, the one with the smallest id.  A document is a distinct pair of
+    id and text, or a distinct text of rows without an id; these come after all
+    ids, take part in every comparison, and of equal ones with words one row
+    stays.  If ids are null or repeated, documents are numbered first."""
+    unclear = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
+    if unclear.isEmpty():  # an id is a row
+        ids = near_dedup(docs, id_col, text_col, percent, chunks).where("kept") \
+            .select(F.col(id_col).alias("_kept_id"))
+        return docs.join(ids, docs[id_col] == ids["_kept_id"], "left_semi")
+    rows = whole_rows(docs, id_col, text_col)
+    words = F.col("text").rlike(r"[^\x20\x09-\x0D]")  # texts without any are linked with nothing
+    rows = rows.where(F.col("id").isNotNull() | ~words).unionByName(one_null_row(rows.where(words), F.col("text"))) \
+        .withColumn("sha", F.unhex(F.sha2("text", 256)))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    names = global_positions(rows.select(F.col("id").alias("_id"), F.col("sha").alias("_sha")).distinct(),
+                             [F.col("_id").asc_nulls_last(), F.col("_sha")], "number")
+    names = stored(names, "document-numbers")
+    texts = rows.groupBy("id", "sha").agg(F.min("text").alias("text"))
+    texts = stored(texts.join(names, same).select("number", "text"), "numbered-documents")
+    kept = near_dedup(texts, "number", "text", percent, chunks).where("kept").select("number")
+    stay = names.join(kept, "number", "left_semi")
+    return rows.join(stay, same, "left_semi").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from convgraph.llm.common import dropped, id_text, stored
@@ -179,45 +180,63 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             "threshold": best_threshold(held_out[:, -1], y)}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, toxic_probability, categories, kept) for every row."""
-    rows = id_text(docs, id_col, text_col)
-    kind = rows.schema["id"].dataType.simpleString()
-    features, names, models, threshold = (model[k] for k in ("features", "categories", "models", "threshold"))
+def _probabilities(model: dict):
+    """A function: texts -> probabilities (row, link), in slices of 1000 texts."""
+    features, names, models = (model[k] for k in ("features", "categories", "models"))
     number = {f: i for i, f in enumerate(features)}
     tag = str(hash((tuple(features), tuple(names))))
 
     def hits(chunk):
         return frozenset(number[f] for f in word_features(chunk) if f in number)
 
+    def run(texts):
+        known = memo(f"toxic-{tag}", hits)
+        for lo in range(0, len(texts), 1000):
+            part = texts[lo:lo + 1000]
+            x = np.zeros((len(part), len(features)))
+            for i, t in enumerate(part):
+                if t and features:
+                    on = frozenset().union(*map(known.__getitem__, set(t.split())))
+                    if on:
+                        x[i, list(on)] = 1.0
+            known.trim()
+            yield run_chain(models, x) if models else np.zeros((len(part), 1))
+    return run
+
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, toxic_probability, categories, kept) for every row."""
+    rows = id_text(docs, id_col, text_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    names, models, threshold = (model[k] for k in ("categories", "models", "threshold"))
+    probabilities = _probabilities(model)
+
     def run(batches):
         import pyarrow as pa
-        known = memo(f"toxic-{tag}", hits)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 1000):
-                part = texts[lo:lo + 1000]
-                x = np.zeros((len(part), len(features)))
-                for i, t in enumerate(part):
-                    if t and features:
-                        on = frozenset().union(*map(known.__getitem__, set(t.split())))
-                        if on:
-                            x[i, list(on)] = 1.0
-                known.trim()
-                p = run_chain(models, x) if models else np.zeros((len(part), 1))
+            lo = 0
+            for p in probabilities(batch.column(1).to_pylist()):
                 last = p[:, -1]
                 flat = pa.array(p.ravel())
-                keys = pa.array(names * len(part)) if models else pa.array(["toxic"] * len(part))
-                cut = pa.array(np.arange(len(part) + 1, dtype=np.int32) * p.shape[1])
+                keys = pa.array(names * len(p)) if models else pa.array(["toxic"] * len(p))
+                cut = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:lo + len(part)], pa.array(last), pa.MapArray.from_arrays(cut, keys, flat),
+                    [batch.column(0)[lo:lo + len(p)], pa.array(last), pa.MapArray.from_arrays(cut, keys, flat),
                      pa.array(last < threshold)], names=["id", "toxic_probability", "categories", "kept"])
+                lo += len(p)
     return rows.mapInArrow(run, f"id {kind}, toxic_probability double, categories map<string,double>, kept boolean") \
         .withColumnRenamed("id", id_col)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
-    kept = score(docs, fit(docs, labels, id_col), id_col).where("kept")
-    ids = kept.select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_kept_id"]), "left_semi")
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with all their
+    columns.  Each row is judged by its own text, whatever its id is and
+    however often it occurs."""
+    model = fit(docs, labels, id_col, text_col)
+    probabilities, threshold = _probabilities(model), model["threshold"]
+
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        parts = [p[:, -1] < threshold for p in probabilities(text.tolist())]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
+    return docs.where(clean(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
