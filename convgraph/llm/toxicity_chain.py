@@ -10,8 +10,8 @@ chosen on the out-of-fold probabilities of the last link.
 
 Features are the distinct words of a text (lower case, letters only) and their
 prefixes of 3 to 6 letters.  From a bounded sample of labelled rows (at most
-``toxic_rows`` toxic and ``clean_rows`` clean ones, by a hash of the id; equal
-texts count once) the ``n_features`` features are taken that occur in enough
+``toxic_rows`` toxic and ``clean_rows`` clean ones, by a hash of the id; of an
+id with several texts the one with the smallest hash; equal texts count once) the ``n_features`` features are taken that occur in enough
 toxic texts and separate the classes best.  Scoring covers every row and whole
 texts; the model is a few hundred numbers.
 
@@ -129,8 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .unionByName(known.where("toxic = 0").orderBy(*order).limit(clean_rows))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                         F.coalesce(F.col(category_col).cast("string"), F.lit("")).alias("category"))
-    # at most toxic_rows + clean_rows rows, of two columns
-    rows = texts.join(F.broadcast(sample), "id")
+    # at most toxic_rows + clean_rows rows: of an id with several texts one
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "category", "toxic")).alias("one")
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(one).select("one.*")
 
     def extract(batches):
         import hashlib

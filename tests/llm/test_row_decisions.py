@@ -64,3 +64,16 @@ def test_near_copies_go_whatever_their_id(spark):
     clear = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
     assert left(keep_one(documents(spark, clear))) == [
         "3", "8 b", "no words", "no words", "no words", "null alone", "null c"]
+
+
+def test_a_sampled_id_counts_once_however_often_it_occurs(spark, monkeypatch):
+    docs, labels = toxic_rows(100)
+    hot = [(i, f"{t} only{j}", "en", None, None, None) for i, t, *_ in docs[:2] for j in range(200)]
+    sizes = []
+    fit = T.fit_chain
+    monkeypatch.setattr(T, "fit_chain", lambda x, *a: sizes.append(len(x)) or fit(x, *a))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(docs + hot, DOCS)
+    one, other = (T.fit(x, lab, toxic_rows=10, clean_rows=30) for x in (d.repartition(4), d.orderBy("text")))
+    assert sizes[0] <= 40 and sizes[0] == sizes[1]
+    assert one["features"] == other["features"] and one["threshold"] == other["threshold"]
