@@ -15,7 +15,10 @@ pages that mark exactly one article or main element, labelled by that mark.
 ``sample_pages`` bounds the sample.
 
 Defined results: a null or empty page gives the empty text; broken markup is
-read as far as it goes (an unclosed comment or script swallows the rest);
+read as far as it goes (an unclosed comment, script or style swallows the
+rest, an unclosed title, textarea or iframe ends at its start tag); contents of
+scripts, styles, titles, text areas and iframes are no blocks, those of all
+other elements (formulas, fall-back texts) are for the labeller to judge;
 repeated rows are labelled one by one; equal pages get equal texts; an empty
 table gives an empty one.
 """
@@ -36,7 +39,8 @@ CHUNK_BLOCKS = 20_000
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
-_RAW = frozenset("script style noscript template iframe svg math textarea noembed noframes xmp object head title".split())
+#: Elements whose content is no markup and no text of the page.
+_RAW = frozenset("script style title textarea iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby "
                     "s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -49,6 +53,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, str]] = []  # (tag, label of the path)
     parts: list[str] = []
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
     linked = links = 0
     at = 0
 
@@ -91,12 +96,17 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     pop_to(i)
                     break
             continue
-        if tag in _RAW and not (tag == "head"):
-            if tag not in _INLINE:
-                end_block()
+        if tag in _RAW:
+            end_block()
             if not m.group(2).rstrip().endswith("/") or tag in ("script", "style"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else n
+                if tag not in unclosed:
+                    close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                    if close:
+                        at = close.end()
+                    elif tag in ("script", "style"):
+                        at = n
+                    else:
+                        unclosed.add(tag)
             continue
         if tag not in _INLINE:
             end_block()
