@@ -13,8 +13,10 @@ their documents as spans.
 Inside a task equal super-k-mers are combined first: only the smallest
 document of a string is sent, the others are decided on the spot, so a passage
 that a third of all documents share reaches its bucket at most once per task.
-Grams that are a minimiser of more than one window in ``HOT_SHARE`` are counted
-exactly in a pass before and lose every comparison with other grams; windows
+Grams that are found to be a minimiser of more than one window in ``HOT_SHARE``
+in a pass before lose every comparison with other grams.  The pass is
+approximate (see ``hot_minimisers``), which affects only the balance of the
+buckets: every window is compared whatever the list holds.  Windows
 around a hot gram then spread over the minimisers of their other words.  A
 hot gram can remain only in windows made of hot grams alone, which are equal
 strings and are combined.  The hot list has at most ``HOT_SHARE`` entries.
@@ -84,9 +86,12 @@ def super_kmers(words: np.ndarray, first: np.ndarray, hot: np.ndarray, window: i
 
 def hot_minimisers(rows: DataFrame, window: int = WINDOW, share: int = HOT_SHARE) -> tuple[np.ndarray, int]:
     """Order values of grams that are the minimiser of more than 1 / share of
-    all windows, counted over all rows, and the number of windows.  A task reports the grams above the
-    share among its own windows (at most ``share`` of them) and its total; a
-    hot gram is above the share in a task at least."""
+    all windows, and the number of windows.  The list is approximate: a task
+    reports only the grams above the share among its own windows (at most
+    ``share`` of them) and its total, and drops rare ones on the way, so a gram
+    that is hot over all but rare in many tasks is undercounted and may be
+    missing.  A gram in the list is hot indeed.  Only the balance of the
+    buckets depends on it."""
     def run(batches):
         import pyarrow as pa
         none = np.zeros(0, np.uint64)
