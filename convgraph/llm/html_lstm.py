@@ -12,7 +12,9 @@ sample: (a) pages composed by a small grammar (headers, menus, notices,
 adverts, sidebars, forms, comments, footers around an article) with words of
 the sampled pages, whose labels are known by construction, and (b) the sampled
 pages that mark exactly one article or main element, labelled by that mark.
-``sample_pages`` bounds the sample.
+``sample_pages`` bounds the pages of the sample, ``page_blocks`` the first
+blocks read of each, ``block_words`` the first words of a block and
+``sample_words`` the words in all that the composed pages draw from.
 
 Defined results: a null or empty page gives the empty text; broken markup is
 read as far as it goes (an unclosed comment, script or style swallows the
@@ -33,6 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 96, 32, 8, 24
 SAMPLE_PAGES, COMPOSED_PAGES = 150, 500
+#: Of the sample: blocks of a page, words of a block, and words in all.
+PAGE_BLOCKS, BLOCK_WORDS, SAMPLE_WORDS = 400, 200, 20_000
 #: Blocks whose features are held at once for one page.
 CHUNK_BLOCKS = 20_000
 
@@ -457,16 +461,17 @@ def marked_labels(blocks) -> list[int] | None:
     return out
 
 
-def train(pages: list[str], composed: int = COMPOSED_PAGES, seed: int = 5) -> BiLSTM:
+def train(pages: list[str], composed: int = COMPOSED_PAGES, seed: int = 5, page_blocks: int = PAGE_BLOCKS,
+          block_words: int = BLOCK_WORDS, sample_words: int = SAMPLE_WORDS) -> BiLSTM:
     rng = np.random.default_rng(seed)
     features = Featurizer()
     data, words = [], []
     for page in pages:
-        blocks = leaf_blocks(page)[:400]
-        words += [w for _, text, _ in blocks for w in text.split()[:200]]
+        blocks = leaf_blocks(page)[:page_blocks]
+        words += [w for _, text, _ in blocks for w in text.split()[:block_words]]
         if len(_MARKED.findall(page)) == 1 and blocks:
             data.append((features(blocks), np.array(marked_labels(blocks), np.float32)))
-    words = words[:20_000] or ["word", "text", "and", "of", "the"]
+    words = words[:sample_words] or ["word", "text", "and", "of", "the"]
     words = [_html.escape(w) for w in words]
     for _ in range(composed):
         page, labels = compose(rng, words)
@@ -522,14 +527,17 @@ class Extractor:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",),
-            sample_pages: int = SAMPLE_PAGES, model: BiLSTM | None = None) -> DataFrame:
-    """(id, kept columns, text, n_chars) for every page."""
+            sample_pages: int = SAMPLE_PAGES, model: BiLSTM | None = None, page_blocks: int = PAGE_BLOCKS,
+            block_words: int = BLOCK_WORDS, sample_words: int = SAMPLE_WORDS) -> DataFrame:
+    """(id, kept columns, text, n_chars) for every page; the bounds hold for
+    the training sample only."""
     rows = pages.select(F.col(id_col).alias("_id"), *[F.col(c) for c in keep],
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))
     if model is None:
         sample = rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample_pages)
         texts = rows.join(F.broadcast(sample.distinct()), "_id").select("_id", "_html").orderBy("_id").limit(sample_pages)
-        model = train([r["_html"] for r in texts.collect()])
+        model = train([r["_html"] for r in texts.collect()], page_blocks=page_blocks, block_words=block_words,
+                      sample_words=sample_words)
     weights, hidden = model.p, model.hidden
     schema = rows.schema
 
