@@ -8,6 +8,7 @@ from convgraph.llm.bpe_duckdb import decode, encode
 from convgraph.llm.chat_windows import chat_windows, read_back
 from convgraph.llm.common import table
 from convgraph.llm.html_lstm import extract
+from convgraph.llm import merkle as _merkle
 from convgraph.llm.minhash_hamming import near_dedup
 from convgraph.llm.packing import pack
 from convgraph.llm.quality_ledger import BIT, apply_policy, ledger
@@ -91,3 +92,58 @@ def op9_chat_windows(spark, sf_dir):
 def op10_toxicity_chain(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return _toxicity.score(docs, _toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def _merkle_sql(levels: int = 9, tree_levels: int = 4) -> str:
+    """The manifest with one CTE a level (up to 8 ** levels rows a language)."""
+    def field(c):
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text="text"):
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = ("xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), "
+           "lambda c: list_prepend(ord(c)::BIGINT, repeat([-1::BIGINT], 8))))), lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) "
+           "WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)")
+    ctes = [f"""leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM (
+        SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree, {leaf()} AS leaf,
+               CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf()} END AS shown FROM documents))""",
+            "a0 AS (SELECT tree, pos, leaf AS digest FROM leaves)"]
+
+    def climb(a, s, n):
+        for k in range(n):
+            ctes.append(f"""{s}{k} AS (SELECT tree, pos, digest, count(*) OVER (PARTITION BY tree) > 1 AS hashed,
+                coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+                FROM {a}{k} WINDOW run AS (PARTITION BY tree, pos // 8 ORDER BY pos))""")
+            ctes.append(f"""{a}{k + 1} AS (SELECT tree, pos // 8 AS pos, CASE WHEN bool_or(hashed)
+                THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE min(digest) END AS digest
+                FROM {s}{k} GROUP BY tree, pos // 8)""")
+    climb("a", "s", levels)
+    ctes.append(f"""b0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, digest, tree AS lang
+                FROM a{levels})""")
+    climb("b", "t", tree_levels)
+    ctes.append("""f0 AS (SELECT f.*, b0.pos AS tree_pos, b0.digest AS subroot, shown AS folded, '' AS proof
+                FROM leaves f JOIN b0 ON b0.lang = f.tree)""")
+    for k in range(levels + tree_levels):
+        s, on = (f"s{k}", f"s.tree = f.tree AND s.pos = f.pos // {8 ** k}") if k < levels else (
+            f"t{k - levels}", f"s.pos = f.tree_pos // {8 ** (k - levels)}")
+        ctes.append(f"""f{k + 1} AS (SELECT f.* REPLACE (
+                CASE WHEN hashed THEN sha256(l || folded || r) ELSE folded END AS folded,
+                CASE WHEN hashed THEN proof || l || r ELSE proof END AS proof) FROM f{k} f JOIN {s} s ON {on})""")
+    return "WITH " + ", ".join(ctes) + f"""
+        SELECT doc_id, leaf, subroot, (SELECT digest FROM b{tree_levels}) AS root, sha256(proof) AS proof_sha256,
+               folded AS folded_root, folded = (SELECT digest FROM b{tree_levels}) AS verified
+        FROM f{levels + tree_levels}"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark, sf_dir):
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    shown = F.when(tampered, _merkle.leaf(text=lower)).otherwise(_merkle.leaf())
+    folded = _merkle.fold(F.col("shown"), F.col("proof"))
+    return (_merkle.manifest(table(spark, sf_dir, "documents"), shown=shown)
+            .select("doc_id", "leaf", "subroot", "root", F.sha2(_merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+                    folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
