@@ -14,6 +14,7 @@ from convgraph.llm.packing import pack
 from convgraph.llm.quality_ledger import BIT, apply_policy, ledger
 from convgraph.llm.substring_dedup import substring_dedup
 from convgraph.llm.token_counts import token_counts
+from convgraph.llm.tokenizer_alignment import tokenizer_alignment
 from convgraph.llm import toxicity_chain as _toxicity
 
 QUERIES: dict = {}
@@ -94,6 +95,11 @@ def op10_toxicity_chain(spark, sf_dir):
     return _toxicity.score(docs, _toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark, sf_dir):
+    return tokenizer_alignment(table(spark, sf_dir, "documents"))[0]
+
+
 def _merkle_sql(levels: int = 9, tree_levels: int = 4) -> str:
     """The manifest with one CTE a level (up to 8 ** levels rows a language)."""
     def field(c):
