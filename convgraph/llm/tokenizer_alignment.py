@@ -45,7 +45,9 @@ FAN = 8
 #: Pairs with at least one link in this many are sent to all tasks (16 bytes each).
 HOT_PAIRS = 1 << 18
 #: Distinct pairs that a task counts before it hands its sums on.
-FLUSH_PAIRS = 2_000_000
+FLUSH_PAIRS = 1_000_000
+#: Bytes of text whose tokens and links are held at once.
+SLICE = 400_000
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -57,13 +59,15 @@ class Tokens:
         import sentencepiece
         from convgraph.llm.packing import Encoder, byte_symbols
         a = Encoder(path_a, pattern)
-        a.tokenizer.encode_special_tokens = True
         of_char = {c: b for b, c in enumerate(byte_symbols())}
         self.a = a
         self.bytes_a = [b""] * a.tokenizer.get_vocab_size(with_added_tokens=True)
         for token, i in a.tokenizer.get_vocab(with_added_tokens=True).items():
             if all(c in of_char for c in token):
                 self.bytes_a[i] = bytes(of_char[c] for c in token)
+        self.path_a, self.plain_a = path_a, None
+        if a.fast is not None:
+            a.tokenizer = None  # most workers never need it, and two workers share an executor's memory
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
@@ -80,7 +84,14 @@ class Tokens:
         """Ids of the text as it is; special strings are plain text."""
         if self.a.fast is not None and not self.a.long_run.search(text):
             return self.a.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
-        return np.array(self.a.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+        return np.array(self.library_a().encode(text, add_special_tokens=False).ids, dtype=np.int64)
+
+    def library_a(self):
+        if self.plain_a is None:
+            from tokenizers import Tokenizer
+            self.plain_a = Tokenizer.from_file(self.path_a)
+            self.plain_a.encode_special_tokens = True
+        return self.plain_a
 
     def ids_b(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the space that the model puts before it."""
@@ -221,7 +232,7 @@ def _short(rows: DataFrame, paths, kind) -> DataFrame:
         tokens, rid = _tokens(*paths), TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(1)
-            for lo, hi, data, offs in text_slices(batch):
+            for lo, hi, data, offs in text_slices(batch, slice_bytes=SLICE):
                 n = hi - lo
                 held = [t.as_py() for t in texts[lo:hi]]
                 of_a, of_b = [tokens.ids_a(" " + t) if t else Fragment.EMPTY[0] for t in held], tokens.ids_b(held)

@@ -21,7 +21,7 @@ def walk(tokens, text):
     """(ids a, ids b, groups as text, links) or None."""
     if not text:
         return None
-    a = tokens.a.tokenizer.encode(" " + text, add_special_tokens=False).ids
+    a = tokens.library_a().encode(" " + text, add_special_tokens=False).ids
     b = tokens.b.encode(text)
     want = (" " + text).encode()
     if any(b"".join(table[i] for i in ids) != want for ids, table in ((a, tokens.bytes_a), (b, tokens.bytes_b))):
