@@ -7,6 +7,7 @@ from convgraph.llm import exact_dedup as _exact
 from convgraph.llm.bpe_duckdb import decode, encode
 from convgraph.llm.chat_windows import chat_windows, read_back
 from convgraph.llm.common import table
+from convgraph.llm.disclosure import KINDS, private_spans, written
 from convgraph.llm.html_lstm import extract
 from convgraph.llm import merkle as _merkle
 from convgraph.llm.minhash_hamming import near_dedup
@@ -100,6 +101,17 @@ def op11_tokenizer_alignment(spark, sf_dir):
     return tokenizer_alignment(table(spark, sf_dir, "documents"))[0]
 
 
+@query("op12_pii_disclosure")
+def op12_pii_disclosure(spark, sf_dir):
+    found = private_spans(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in KINDS],
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"))
+
+
 def _merkle_sql(levels: int = 9, tree_levels: int = 4) -> str:
     """The manifest with one CTE a level (up to 8 ** levels rows a language)."""
     def field(c):
