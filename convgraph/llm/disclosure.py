@@ -34,6 +34,7 @@ a base span.
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,7 +48,7 @@ THRESHOLD = 0.9
 SUPPORT = 3
 CLASS = 3
 BLOOM_BITS = 1 << 23
-BLOOM_HASHES = 4
+BLOOM_MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 SALTS = 16
 #: Terms that a task counts before it hands its sums on, and raw words that it remembers.
 FLUSH_TERMS = 500_000
@@ -55,7 +56,8 @@ FLUSH_TERMS = 500_000
 # ------------------------------------------------------------ base rules
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_DIGIT = re.compile(r"[0-9]")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -96,6 +98,8 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     out = []
     if "@" in text:
         out += [("email", s, e, text[s:e].lower()) for s, e in _emails(text)]
+    if not _DIGIT.search(text):
+        return out
     for m in _IP.finditer(text):
         parts = [p.lstrip("0") or "0" for p in m.group().split(".")]
         if all(len(p) <= 3 and int(p) <= 255 for p in parts):
@@ -118,8 +122,18 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+_OTHER_SPACE = re.compile(r"[\x09-\x0D]")
+
+
+def distinct_words(text: str) -> set[str]:
+    """The words of a text; the empty string may be among them."""
+    return set((_OTHER_SPACE.sub(" ", text) if _OTHER_SPACE.search(text) else text).split(" "))
+
+
 def term(word: str) -> str | None:
     """The term of a word, or None."""
+    if word.isalnum():
+        return word.lower() if len(word) > 1 else None
     lo, hi = 0, len(word)
     while lo < hi and not word[lo].isalnum():
         lo += 1
@@ -178,10 +192,12 @@ def mentions(text: str, context: int = CONTEXT):
 
 # ------------------------------------------------------------ Bloom filter
 
-def _bits(t: str) -> list[int]:
-    import hashlib
-    d = hashlib.blake2b(t.encode(), digest_size=4 * BLOOM_HASHES).digest()
-    return [int.from_bytes(d[4 * i:4 * i + 4], "little") % BLOOM_BITS for i in range(BLOOM_HASHES)]
+def _bits(t: str):
+    """Places of a term in the filter, from 32 bits of its bytes: all that equal
+    ones cost is a row that a join drops."""
+    h = zlib.crc32(t.encode())
+    for c in BLOOM_MIX:
+        yield (h * c >> 9) & (BLOOM_BITS - 1)
 
 
 def _bloom(terms: DataFrame):
@@ -206,14 +222,27 @@ class _Known(dict):
 
     def __init__(self, bits: bytes, classes: bool):
         super().__init__()
-        self.bits, self.classes = bits, classes
+        self.bits, self.classes, self.of_class = bits, classes, {}
 
     def has(self, t: str) -> bool:
-        return all(self.bits[b >> 3] >> (b & 7) & 1 for b in _bits(t))
+        for b in _bits(t):
+            if not self.bits[b >> 3] >> (b & 7) & 1:
+                return False
+        return True
 
     def __missing__(self, word: str):
-        t = term(word)
-        out = () if t is None else tuple(x for x in ([t, term_class(t)] if self.classes else [t]) if self.has(x))
+        t, out = term(word), ()
+        if t is not None:
+            if self.has(t):
+                out = (t,)
+            if self.classes:
+                c = t[:CLASS]
+                known = self.of_class.get(c)
+                if known is None:
+                    known = self.of_class[c] = (c + "*",) if self.has(c + "*") else ()
+                    if len(self.of_class) > FLUSH_TERMS:
+                        self.of_class.clear()
+                out += known
         if len(word) <= 64:
             if len(self) >= FLUSH_TERMS:
                 self.clear()
@@ -262,7 +291,7 @@ def term_documents(rows: DataFrame, terms: DataFrame) -> DataFrame:
                                               names=["term", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update({t for word in set(_WORD.findall(text)) for t in known[word]})
+                counts.update({t for found in map(known.__getitem__, distinct_words(text)) if found for t in found})
                 if len(counts) > FLUSH_TERMS:
                     yield out()
                     counts.clear()
@@ -330,7 +359,7 @@ def _places(rows: DataFrame, revealing: DataFrame, with_text: bool) -> DataFrame
             for text in texts:
                 spans = base_spans(text)
                 found = []
-                words = {w for w in set(_WORD.findall(text)) if known[w]}
+                words = {w for w in distinct_words(text) if known[w]}
                 if words:
                     for s, e, _n in _free_words(text, spans)[0]:
                         if text[s:e] in words:
