@@ -14,6 +14,7 @@ from convgraph.plans.registry import query, r6
 from convgraph.session import scratch_path
 from convgraph.sources import io as SIO
 from convgraph.sources import posts as P
+from convgraph.sources.archives import write_archives
 
 
 # ---------------------------------------------------------------- S12 + S4
@@ -107,7 +108,7 @@ def _raw_records(spark, sf):
     return row
 
 
-@query("posts_normalised", """
+_NORMALISED_SQL = """
 SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS api,
        md5(CASE WHEN doc_id % 2 = 0 AND n_chars > 2000 THEN 'full ' || text ELSE text END) AS text_md5,
        md5(CASE WHEN doc_id % 5 = 0 THEN 'RT @src: ' || text ELSE text END) AS original_md5,
@@ -117,17 +118,39 @@ SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v
        CASE WHEN doc_id % 2 = 0 THEN 'replied_to' || CAST(doc_id + 2 AS VARCHAR)
             WHEN doc_id % 5 <> 0 THEN 'quoted' || CAST(doc_id + 1 AS VARCHAR) ELSE '' END AS context
 FROM documents WHERE lang = 'en'
-""")
+"""
+
+
+def _shown_posts(raw):
+    n = P.normalise(raw)
+    ctx = F.array_join(F.transform("context", lambda c: F.concat(c["context_type"], c["context_id"])), "|")
+    return n.select("id", "api", F.md5("text").alias("text_md5"), F.md5("original_text").alias("original_md5"), "username",
+                    "is_retweet", "retweet_id", F.array_join("hashtags", "|").alias("hashtags"), ctx.alias("context"), "origin_file")
+
+
+@query("posts_normalised", _NORMALISED_SQL)
 def posts_normalised(spark, sf):
     """Raw records of both generations written as JSON lines and read back
     with the superset schema, normalised to one shape; only English ones stay."""
     path = scratch_path(spark, "raw")
     SIO.write_jsonl(_raw_records(spark, sf), path)
     raw = SIO.read_jsonl(spark, path, P.RAW_SCHEMA).withColumn("origin_file", F.lit("raw.json"))
-    n = P.normalise(raw)
-    ctx = F.array_join(F.transform("context", lambda c: F.concat(c["context_type"], c["context_id"])), "|")
-    return n.select("id", "api", F.md5("text").alias("text_md5"), F.md5("original_text").alias("original_md5"), "username",
-                    "is_retweet", "retweet_id", F.array_join("hashtags", "|").alias("hashtags"), ctx.alias("context"))
+    return _shown_posts(raw).drop("origin_file")
+
+
+# ---------------------------------------------------------------- S1
+@query("archive_posts", f"""
+WITH n AS ({_NORMALISED_SQL}) SELECT n.*, d.source || '.json' AS origin_file FROM n JOIN documents d ON n.id = CAST(d.doc_id AS VARCHAR)
+""")
+def archive_posts(spark, sf):
+    """Raw records written as zip archives, one a task with a member per source
+    and a statistics file, and read back member by member."""
+    path = scratch_path(spark, "archives")
+    raw = _raw_records(spark, sf)
+    rows = raw.select(F.concat(F.lit("2023/"), F.col("user.username"), F.lit(".json")).alias("member"),
+                      F.to_json(F.struct(*raw.columns)).alias("record"))
+    write_archives(rows, path, "member", "record")
+    return _shown_posts(P.read_json_archives(spark, path))
 
 
 # ---------------------------------------------------------------- S13 + S14

@@ -6,16 +6,12 @@ an absent field reads as NULL.  Both generations are normalised by one
 """
 from __future__ import annotations
 
-import io
-import json
-import zipfile
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convgraph.functions.text import RT_PREFIX
+from convgraph.sources.archives import read_archives
 
 _S, _L, _B = T.StringType(), T.LongType(), T.BooleanType()
 
@@ -59,25 +55,10 @@ def read_json_dir(spark: SparkSession, path: str, skip: str = "statistics.json")
 
 
 def read_json_archives(spark: SparkSession, path: str, skip: str = "statistics.json") -> DataFrame:
-    """Zip archives of JSON-array files.  The archive is the unit of
-    parallelism: each task unzips one archive (Arrow batches out) and the
-    records are parsed by Spark's JSON parser with the fixed schema."""
-    bins = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def unzip(batches):
-        for pdf in batches:
-            rows = []
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        base = name.rsplit("/", 1)[-1]
-                        if not base.endswith(".json") or base == skip:
-                            continue
-                        for rec in json.loads(z.read(name)):
-                            rows.append((base, json.dumps(rec)))
-            yield pd.DataFrame(rows, columns=["origin_file", "record"])
-
-    recs = bins.mapInPandas(unzip, "origin_file string, record string")
+    """Zip archives of JSON-array files, many tasks an archive (see
+    ``sources.archives``); the records are parsed by Spark's JSON parser with
+    the fixed schema."""
+    recs = read_archives(spark, path, skip)
     return recs.select(F.from_json("record", RAW_SCHEMA).alias("r"), "origin_file").select("r.*", "origin_file")
 
 
