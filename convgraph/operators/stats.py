@@ -1,11 +1,16 @@
 """Statistical tests (I1-I10): aggregate in Spark, close the formula on the
 tiny aggregated rows.
 
-Spark SQL has no ``erf``; normal tail probabilities use a Chebyshev
-approximation of erfc (fractional error < 1.2e-7, Numerical Recipes'
-``erfcc``) written as a native expression, so they stay in codegen and can
-be reproduced in SQL.  Student-t and F tails (incomplete beta) run in one
-small Arrow UDF over the per-test rows only.
+Spark SQL has neither ``erf`` nor ``gamma`` nor their inverses.  The tails are
+native expressions that SQL can repeat:
+
+* normal: a trapezoid sum for erfc with the term its poles add (relative error
+  near 1e-15), a short Taylor sum near 0;
+* normal quantile: a rough start and two Newton steps on that tail;
+* Student t and F: the beta integral in the angle whose squared sine is its
+  variable, where half-integer parameters leave no singularity, by the double
+  exponential rule over the part where the integrand is not negligible; the same
+  rule over the rest normalises it, so no gamma function is needed.
 """
 from __future__ import annotations
 
@@ -17,30 +22,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convgraph.operators.relations import exact_percentiles, global_running_sum
+from convgraph.operators.relations import exact_percentiles, global_positions, global_running_sum
+from convgraph.session import cut_lineage, pickle_by_value, release
 
-# --- fixed values: Chebyshev coefficients of the erfc approximation -------
-_ERFC_COEF = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-              0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-# --------------------------------------------------------------------------
+#: Step and terms of the trapezoid sum for erfc.
+_STEP, _TERMS = 0.5, 13
+#: Below this the Taylor sum is used.
+_NEAR = 0.1
 
 
 def erfc(x: Column) -> Column:
+    """2 / sqrt(pi) times the integral of exp(-s^2) from x on."""
     z = F.abs(x)
-    t = 1.0 / (1.0 + 0.5 * z)
-    poly = F.lit(_ERFC_COEF[-1])
-    for c in reversed(_ERFC_COEF[:-1]):
-        poly = poly * t + c
-    ans = t * F.exp(-z * z + poly)
-    return F.when(x >= 0, ans).otherwise(2.0 - ans)
+    total = over(F.lit(1.0), z * z)
+    for n in range(1, _TERMS + 1):
+        q = (n * _STEP) ** 2
+        total = total + 2.0 * math.exp(-q) / (z * z + q)
+    tail = _STEP / math.pi * z * F.exp(-z * z) * total
+    # the poles of the sum lie within the strip of the trapezoid rule up to here
+    tail = tail + F.when(z < math.pi / _STEP, over(F.lit(2.0), 1.0 - F.exp(2.0 * math.pi / _STEP * z))).otherwise(0.0)
+    near = 1.0 - 2.0 / math.sqrt(math.pi) * z * (1.0 + z * z * (-1.0 / 3 + z * z * (1.0 / 10 + z * z * (-1.0 / 42 + z * z / 216))))
+    upper = F.when(z < _NEAR, near).when(z < 26.0, tail).otherwise(F.lit(0.0) * z)
+    return F.when(x >= 0, upper).otherwise(2.0 - upper)
 
 
 def erfc_sql(x: str) -> str:
-    poly = str(_ERFC_COEF[-1])
-    for c in reversed(_ERFC_COEF[:-1]):
-        poly = f"({poly}) * (1.0 / (1.0 + 0.5 * abs({x}))) + {c}"
-    ans = f"(1.0 / (1.0 + 0.5 * abs({x}))) * exp(-abs({x}) * abs({x}) + {poly})"
-    return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
+    z = f"abs({x})"
+    terms = " + ".join([f"1.0e0 / ({z} * {z})"] + [
+        f"{2.0 * math.exp(-(n * _STEP) ** 2)!r}::DOUBLE / ({z} * {z} + {(n * _STEP) ** 2!r})" for n in range(1, _TERMS + 1)])
+    tail = (f"({_STEP / math.pi!r}::DOUBLE * {z} * exp(-{z} * {z}) * ({terms}) "
+            f"+ CASE WHEN {z} < {math.pi / _STEP!r} THEN 2.0e0 / (1.0e0 - exp({2.0 * math.pi / _STEP!r}::DOUBLE * {z})) ELSE 0 END)")
+    near = (f"(1.0e0 - {2.0 / math.sqrt(math.pi)!r}::DOUBLE * {z} * (1.0e0 - {z} * {z} / 3.0e0 + {z} ** 4 / 10.0e0 "
+            f"- {z} ** 6 / 42.0e0 + {z} ** 8 / 216.0e0))")
+    upper = f"(CASE WHEN {z} < {_NEAR} THEN {near} WHEN {z} < 26 THEN {tail} ELSE 0.0e0 END)"
+    return f"(CASE WHEN {x} >= 0 THEN {upper} ELSE 2.0e0 - {upper} END)"
 
 
 def normal_sf(z: Column) -> Column:
@@ -118,7 +133,7 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
                     (F.col("_s4") / F.col("n")).alias("m4"))
 
 
-# I6 (re-aimed normality gate)
+# normality by moments
 def jarque_bera(moments: DataFrame) -> DataFrame:
     """NULL statistics where all values are equal."""
     s = over(F.col("m3"), F.pow(F.col("m2"), 1.5))
@@ -163,8 +178,9 @@ def t_tests(m1: dict, m2: dict) -> dict:
 
 # I9
 def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
-    """Mann-Whitney U with mid-ranks, tie-corrected normal approximation
-    with continuity correction, two-sided.  Ranks come from a value
+    """Mann-Whitney U with mid-ranks, two-sided: the exact law where one sample
+    has at most EXACT_SAMPLE values and none tie, else the tie-corrected normal
+    approximation with continuity correction.  Ranks come from a value
     histogram and a distributed running count: no global sort of the rows."""
     hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"),
                                  F.count_if(F.col(flag)).alias("_c1"))
@@ -179,64 +195,188 @@ def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     mu = n1 * n2 / 2.0
     sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - over(F.col("_ties"), n * (n - 1))))
     z = over(F.greatest(u1, u2) - mu - 0.5, sigma)
-    return agg.select(F.col("n1").cast("long").alias("n1"), n2.cast("long").alias("n2"), u1.alias("u"),
-                      z.alias("z"), F.least(2.0 * normal_sf(z), F.lit(1.0)).alias("p_value"))
+    exact = (F.col("_ties") == 0) & (F.least(n1, n2) <= EXACT_SAMPLE) & (F.least(n1, n2) > 0)
+    out = agg.select(F.col("n1").cast("long").alias("n1"), n2.cast("long").alias("n2"), u1.alias("u"),
+                     z.alias("z"), F.when(z.isNotNull(), F.least(2.0 * normal_sf(z), F.lit(1.0))).alias("_normal"), exact.alias("exact"))
+    return out.withColumn("p_value", F.coalesce(_exact_p("n1", "n2", "u", "exact"), "_normal")).drop("_normal")
 
 
 # ---------------------------------------------------------------- t / F tails
-def _betacf(a, b, x, iters=300):
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-    return h
-
-
-def betainc_reg(a, b, x):
-    """Regularised incomplete beta I_x(a, b), vectorised (continued fraction)."""
-    a, b, x = (np.asarray(v, dtype=float) for v in (a, b, x))
-    from math import lgamma
-    lg = np.vectorize(lgamma)
-    x = np.clip(x, 0.0, 1.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        bt = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(np.where(x > 0, x, 1)) +
-                    b * np.log(np.where(x < 1, 1 - x, 1)))
-        bt = np.where((x == 0) | (x == 1), 0.0, bt)
-        direct = bt * _betacf(a, b, x) / a
-        flipped = 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-        out = np.where(x < (a + 1.0) / (a + b + 2.0), direct, flipped)
-    return np.where(x == 0, 0.0, np.where(x == 1, 1.0, out))
+#: Nodes of the double exponential rule: every 1 / 32 from -3.5 to 3.5.
+_NODES = [k / 32.0 for k in range(-112, 113)]
+#: Half width of the part of the beta integral that counts, in units of
+#: 1 / sqrt(sum of its exponents).
+_WIDTH = 14.0
+
+
+def _beta_part(lo: Column, hi: Column, p: Column, q: Column, top: Column) -> Column:
+    """Integral of sin^p cos^q from lo to hi, divided by exp(top)."""
+    rule = F.lit([math.pi / 2 * math.sinh(s) for s in _NODES])
+    half, middle = (hi - lo) / 2.0, (hi + lo) / 2.0
+
+    def term(acc, u):
+        at = middle + half * F.tanh(u)
+        # sinh(s) = 2 u / pi, so cosh(s) = sqrt(1 + (2 u / pi)^2)
+        weight = F.sqrt(1.0 + F.pow(2.0 / math.pi * u, 2)) / F.pow(F.cosh(u), 2)
+        # a power of 0 is 1, also at the end where the logarithm is not finite
+        log = F.when(p > 0, p * F.log(F.sin(at))).otherwise(0.0) + F.when(q > 0, q * F.log(F.cos(at))).otherwise(0.0)
+        return acc + F.coalesce(weight * F.exp(log - top), F.lit(0.0))
+    return half * (math.pi / 2 / 32.0) * F.aggregate(rule, F.lit(0.0), term)
+
+
+def beta_share(angle: Column, a: Column, b: Column) -> Column:
+    """Regularised incomplete beta I_x(a, b) for a, b >= 1/2 at x = sin(angle)^2."""
+    p, q = 2.0 * a - 1.0, 2.0 * b - 1.0
+    total = F.greatest(p + q, F.lit(1e-9))
+    mode = F.atan2(F.sqrt(F.greatest(p, F.lit(0.0))), F.sqrt(F.greatest(q, F.lit(0.0))))
+    width = _WIDTH / F.sqrt(total)
+    lo, hi = F.greatest(mode - width, F.lit(0.0)), F.least(mode + width, F.lit(math.pi / 2))
+    cut = F.least(F.greatest(angle, lo), hi)
+    top = (F.when(p > 0, p * F.log(F.sin(mode))).otherwise(0.0) + F.when(q > 0, q * F.log(F.cos(mode))).otherwise(0.0))
+    below, above = _beta_part(lo, cut, p, q, top), _beta_part(cut, hi, p, q, top)
+    return F.when(angle.isNotNull(), over(below, below + above))
+
+
+def f_sf(f: Column, d1: Column, d2: Column) -> Column:
+    """P(F > f) with d1 and d2 degrees of freedom."""
+    return F.when(f < 0, F.lit(1.0)).otherwise(beta_share(F.atan2(F.sqrt(d2), F.sqrt(d1 * f)), d2 / 2.0, d1 / 2.0))
+
+
+def t_two_sided_p(t: Column, df: Column) -> Column:
+    """P(|T| > |t|)."""
+    return beta_share(F.atan2(F.sqrt(df), F.abs(t)), df / 2.0, F.lit(0.5))
+
+
+def beta_share_sql(angle: str, a: str, b: str) -> str:
+    """The same as a scalar subquery of DuckDB (one row of list sums)."""
+    def part(lo, hi):
+        at = f"(({hi} + {lo}) / 2 + ({hi} - {lo}) / 2 * tanh(u))"
+        log = (f"(CASE WHEN p > 0 THEN p * ln(greatest(sin({at}), 1e-300)) ELSE 0 END "
+               f"+ CASE WHEN q > 0 THEN q * ln(greatest(cos({at}), 1e-300)) ELSE 0 END)")
+        return (f"(({hi} - {lo}) / 2 * list_sum(list_transform(nodes, lambda u: sqrt(1 + pow({2.0 / math.pi!r} * u, 2)) "
+                f"/ pow(cosh(u), 2) * exp({log} - top))))")
+    return f"""(SELECT below / (below + above) FROM (SELECT {part("lo", "cut")} AS below, {part("cut", "hi")} AS above FROM (
+      SELECT *, least(greatest(angle, lo), hi) AS cut,
+             (CASE WHEN p > 0 THEN p * ln(sin(mode)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(cos(mode)) ELSE 0 END) AS top,
+             list_transform(range(-112, 113), lambda k: {math.pi / 2!r} * sinh(k / 32.0e0)) AS nodes FROM (
+        SELECT *, greatest(mode - {_WIDTH} / sqrt(greatest(p + q, 1e-9)), 0) AS lo,
+               least(mode + {_WIDTH} / sqrt(greatest(p + q, 1e-9)), {math.pi / 2!r}) AS hi FROM (
+          SELECT angle, p, q, atan2(sqrt(greatest(p, 0)), sqrt(greatest(q, 0))) AS mode FROM (
+            SELECT ({angle})::DOUBLE AS angle, 2.0e0 * ({a}) - 1 AS p, 2.0e0 * ({b}) - 1 AS q))))))"""
+
+
+# ---------------------------------------------------------------- normal quantile
+#: The rational start of the normal quantile (Hastings).
+_START = ((2.515517, 0.802853, 0.010328), (1.432788, 0.189269, 0.001308))
+
+
+def normal_quantile(p: Column) -> Column:
+    """z with P(Z <= z) = p, for 0 < p < 1."""
+    small = F.least(p, 1.0 - p)
+    t = F.sqrt(-2.0 * F.log(small))
+    (a0, a1, a2), (b1, b2, b3) = _START
+    z = t - (a0 + a1 * t + a2 * t * t) / (1.0 + b1 * t + b2 * t * t + b3 * t * t * t)
+    out = F.transform(F.array(z), lambda x: _newton(x, small))
+    out = F.transform(out, lambda x: _newton(x, small))[0]
+    return F.when(p < 0.5, -out).when(p > 0.5, out).otherwise(F.lit(0.0))
+
+
+def _newton(z: Column, upper: Column) -> Column:
+    """One step towards P(Z > z) = upper."""
+    return z + (normal_sf(z) - upper) * math.sqrt(2.0 * math.pi) * F.exp(z * z / 2.0)
+
+
+# ---------------------------------------------------------------- I6
+#: Royston's polynomials (algorithm AS R94), highest power first.
+_W_LAST = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0)
+_W_NEXT = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0)
+_W_GAMMA = (0.459, -2.273)
+_W_MU_SMALL = (-0.0006714, 0.025054, -0.39978, 0.5440)
+_W_SIGMA_SMALL = (-0.0020322, 0.062767, -0.77857, 1.3822)
+_W_MU = (0.0038915, -0.083751, -0.31082, -1.5861)
+_W_SIGMA = (0.0030302, -0.082676, -0.4803)
+
+
+def _poly(coefficients, x: Column) -> Column:
+    out = F.lit(float(coefficients[0]))
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def shapiro_wilk(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, w, p_value): order statistics times weights from expected
+    normal scores.  Values are ranked by a range partitioning over all groups;
+    what a group needs beyond its moments (its two largest and two smallest
+    scores and the sum of squares of all) comes with one aggregation, so no
+    group meets in one task.  NULL for fewer than three values, 1 where all are
+    equal; null values do not count."""
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    moments = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    # the groups before a group, as their number of rows: one row per group
+    sizes = global_running_sum(moments.select("g", "n"), [F.col("g").asc_nulls_first()], "n", "upto")
+    bounds = moments.join(sizes.select(F.col("g").alias("h"), "upto"), F.col("g").eqNullSafe(F.col("h"))).drop("h")
+    # equal values share their places among them, so a draw may break ties
+    ranked = global_positions(rows.withColumn("_draw", F.rand(17)), [F.col("g").asc_nulls_first(), "v", "_draw"], "pos")
+    scored = (ranked.join(bounds, ranked["g"].eqNullSafe(bounds["g"])).select(ranked["g"], "v", "n", "mean",
+              (F.col("pos") - F.col("upto") + F.col("n")).alias("i"))
+              .withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25))))
+    d = F.col("v") - F.col("mean")
+    from_end = F.col("n") - F.col("i")
+    ends = [F.sum(F.when((F.col("i") - 1 == k) | (from_end == k), d * F.signum("m"))).alias(f"x{k}") for k in (0, 1)]
+    tops = [F.max(F.when(from_end == k, F.col("m"))).alias(f"m{k}") for k in (0, 1)]
+    inner = (F.col("i") > 2) & (from_end > 1)
+    sums = scored.groupBy("g", "n").agg(F.sum(F.col("m") ** 2).alias("mm"), F.sum(d * d).alias("ss"),
+                                        F.coalesce(F.sum(F.when(inner, F.col("m") * d)), F.lit(0.0)).alias("inner"), *ends, *tops)
+    n, u = F.col("n").cast("double"), 1.0 / F.sqrt(F.col("n").cast("double"))
+    mm, m0, m1 = F.col("mm"), F.col("m0"), F.col("m1")
+    few = F.col("n") <= 5
+    sums = sums.withColumn("a0", F.when(F.col("n") == 3, F.lit(math.sqrt(0.5))).otherwise(_poly(_W_LAST, u) + m0 / F.sqrt(mm)))
+    sums = sums.withColumn("a1", F.when(~few, _poly(_W_NEXT, u) + m1 / F.sqrt(mm)))
+    a0, a1 = F.col("a0"), F.col("a1")
+    eps = F.when(few, over(mm - 2.0 * m0 * m0, 1.0 - 2.0 * a0 * a0)).otherwise(
+        over(mm - 2.0 * m0 * m0 - 2.0 * m1 * m1, 1.0 - 2.0 * a0 * a0 - 2.0 * a1 * a1))
+    # of up to five values the second smallest and largest are inner ones too
+    second = F.when(F.col("n") <= 3, F.lit(0.0)).when(few, m1 / F.sqrt(eps) * F.col("x1")).otherwise(a1 * F.col("x1"))
+    b = a0 * F.col("x0") + second + F.when(F.col("n") <= 4, F.lit(0.0)).otherwise(F.col("inner") / F.sqrt(eps))
+    sums = sums.withColumn("w", F.when(F.col("n") >= 3, F.least(over(b * b, F.col("ss")), F.lit(1.0))))
+    w, ln = F.col("w"), F.log(n)
+    gamma = _poly(_W_GAMMA, n)
+    three = F.greatest(6.0 / math.pi * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75))), F.lit(0.0))
+    small = (-F.log(gamma - F.log(1.0 - w)) - _poly(_W_MU_SMALL, n)) / F.exp(_poly(_W_SIGMA_SMALL, n))
+    large = (F.log(1.0 - w) - _poly(_W_MU, ln)) / F.exp(_poly(_W_SIGMA, ln))
+    sums = sums.select("g", "n", "w", three.alias("three"), F.when(F.col("n") <= 11, small).otherwise(large).alias("z"),
+                       ((F.col("n") > 3) & (F.col("n") <= 11) & (F.log(1.0 - w) >= gamma)).alias("none"))
+    p = (F.when(w >= 1.0, F.lit(1.0)).when(F.col("n") == 3, F.col("three")).when(F.col("none"), F.lit(1e-99))
+         .otherwise(normal_sf(F.col("z"))))
+    return sums.select(F.col("g").alias(group), "n", "w", F.when(w.isNotNull(), p).alias("p_value"))
+
+
+# ---------------------------------------------------------------- I9, small samples
+#: The exact law is used where a sample is not larger than this and no values tie.
+EXACT_SAMPLE = 8
+
+
+def exact_rank_sum_p(n1: int, n2: int, u: float) -> float:
+    """Two-sided p of U = max(u, n1 n2 - u) without ties: the numbers of
+    arrangements by their U are the coefficients of the product of
+    (1 - q^(n + i)) / (1 - q^i), i from 1 to the smaller size."""
+    m, n = sorted((int(n1), int(n2)))
+    least = int(round(min(u, n1 * n2 - u)))
+    ways = np.zeros(least + 1)
+    ways[0] = 1.0
+    for i in range(1, m + 1):
+        if n + i <= least:
+            ways[n + i:] = ways[n + i:] - ways[:least + 1 - n - i]
+        pad = -len(ways) % i
+        ways = np.cumsum(np.append(ways, np.zeros(pad)).reshape(-1, i), axis=0).ravel()[:least + 1]
+    return min(2.0 * float(ways.sum()) / math.comb(n + m, m), 1.0)
 
 
 @F.pandas_udf(T.DoubleType())
-def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    tv, dv = t.to_numpy(dtype=float), df.to_numpy(dtype=float)
-    return pd.Series(betainc_reg(dv / 2.0, 0.5, dv / (dv + tv * tv)))
-
-
-@F.pandas_udf(T.DoubleType())
-def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    fv, a, b = (s.to_numpy(dtype=float) for s in (f, d1, d2))
-    return pd.Series(betainc_reg(b / 2.0, a / 2.0, b / (b + a * fv)))
+def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series, wanted: pd.Series) -> pd.Series:
+    # one row per test
+    return pd.Series([exact_rank_sum_p(a, b, c) if w else None for a, b, c, w in zip(n1, n2, u, wanted)], dtype="float64")
 
 
 # --- fixed values: names of the tests and texts of the conclusions --------
@@ -250,32 +390,38 @@ CONCLUSION_EQUAL = "no reject, we can assume the means are equal"
 
 # I10
 def compare_means(df: DataFrame, flag: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """Decision tree of the reference: normality (Jarque-Bera in place of
-    Shapiro-Wilk, declared deviation) and Levene gate the choice between
-    Student t, Welch t and Mann-Whitney U.  One row per flag value pair."""
-    g = df.select(F.col(flag).cast("boolean").alias("_g"), F.col(value).alias("_v"))
-    mom = jarque_bera(group_moments(g, "_g", "_v"))
-    one = mom.filter(F.col("_g")).select(*[F.col(c).alias(c + "_1") for c in ["n", "mean", "var", "jb_p"]])
-    zero = mom.filter(~F.col("_g")).select(*[F.col(c).alias(c + "_2") for c in ["n", "mean", "var", "jb_p"]])
+    """Decision tree over two samples: Shapiro-Wilk on each and Levene on both
+    choose between Student's t, Welch's t and Mann-Whitney U.  Rows without flag
+    or value do not count."""
+    # two columns, read by four jobs
+    g = cut_lineage(df.select(F.col(flag).cast("boolean").alias("_g"), F.col(value).alias("_v")).dropna())
+    mom = group_moments(g, "_g", "_v").join(
+        shapiro_wilk(g, "_g", "_v").select("_g", F.col("p_value").alias("normal_p")), "_g")
+    kept = ["n", "mean", "var", "normal_p"]
+    one = mom.filter(F.col("_g")).select(*[F.col(c).alias(c + "_1") for c in kept])
+    zero = mom.filter(~F.col("_g")).select(*[F.col(c).alias(c + "_2") for c in kept])
     lev = levene(g, "_g", "_v")
-    mw = mann_whitney(g, "_g", "_v").select(F.col("p_value").alias("mw_p"))
+    mw = mann_whitney(g, "_g", "_v").select(F.col("p_value").alias("mw_p"), F.col("exact").alias("mw_exact"))
+    # one row each
     row = one.crossJoin(zero).crossJoin(lev).crossJoin(mw)
     tt = t_tests({"n": F.col("n_1"), "mean": F.col("mean_1"), "var": F.col("var_1")},
                  {"n": F.col("n_2"), "mean": F.col("mean_2"), "var": F.col("var_2")})
-    row = row.select("*", *[v.alias(k) for k, v in tt.items()])
+    # one row, written so that the tails below see plain columns
+    row = cut_lineage(row.select("*", *[v.alias(k) for k, v in tt.items()]))
+    release(g)
     row = row.withColumn("levene_p", f_sf(F.col("w"), F.col("df1"), F.col("df2"))) \
              .withColumn("student_p", t_two_sided_p(F.col("t_student"), F.col("df_student"))) \
              .withColumn("welch_p", t_two_sided_p(F.col("t_welch"), F.col("df_welch")))
-    normal = (F.col("jb_p_1") > alpha) & (F.col("jb_p_2") > alpha)
-    homo = F.col("levene_p") > alpha
+    # a test without a p (too few values, all equal) is not passed
+    normal = F.coalesce((F.col("normal_p_1") > alpha) & (F.col("normal_p_2") > alpha), F.lit(False))
+    homo = F.coalesce(F.col("levene_p") > alpha, F.lit(False))
     test = F.when(normal & homo, F.lit(TEST_STUDENT)).when(normal, F.lit(TEST_WELCH)).otherwise(F.lit(TEST_RANKS))
     p = F.when(normal & homo, F.col("student_p")).when(normal, F.col("welch_p")).otherwise(F.col("mw_p"))
     concl = F.when(p < alpha, F.lit(CONCLUSION_DIFFERENT)).otherwise(F.lit(CONCLUSION_EQUAL))
     return row.select(normal.alias("normality_pass"), homo.alias("homoscedasticity_pass"),
                       test.alias("test"), p.alias("p_value"), concl.alias("conclusion"),
-                      F.col("n_1").alias("n1"), F.col("n_2").alias("n2"))
-
+                      F.col("n_1").alias("n1"), F.col("n_2").alias("n2"),
+                      F.col("normal_p_1").alias("normal_p1"), F.col("normal_p_2").alias("normal_p2"), "levene_p", "mw_exact")
 
-from convgraph.session import pickle_by_value  # noqa: E402
 
 pickle_by_value(__name__)

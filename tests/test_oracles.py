@@ -53,7 +53,7 @@ def _collect(spark, name):
 def test_every_other_query_is_checked():
     assert {n for n, (_f, s) in REG.items() if not s} == {
         "louvain_communities", "greedy_modularity_communities", "fluid_communities", "community_compare",
-        "compare_means", "baseline_classifier", "context_classifier", "batch_scoring"}
+        "baseline_classifier", "context_classifier", "batch_scoring"}
 
 
 def test_community_compare(spark):
@@ -64,15 +64,15 @@ def test_community_compare(spark):
     assert all(-0.5 <= r.modularity <= 1 and 1 <= r.n_communities and r.largest >= 1 for r in rows.values())
 
 
-def test_compare_means_takes_the_rank_test(spark, con):
-    rows = {r.flag: r for r in _collect(spark, "compare_means")}
-    assert set(rows) == {"status_f", "urgent", "even_customer"}
-    ranks = con.execute(REG["mann_whitney"][1]).df()
-    r = rows["status_f"]
-    assert (r.n1, r.n2) == (ranks.n1[0], ranks.n2[0])
-    if r.test.startswith("Mann"):
-        assert abs(r.p_value - ranks.p_value[0]) < 1e-5
-    assert all((x.p_value < 0.05) == x.conclusion.startswith("reject") for x in rows.values())
+def test_compare_means_takes_every_branch():
+    """At the size of the driver's check; the rows themselves are compared there."""
+    sql = REG["compare_means"][1]
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    rows = {r[0]: r for r in c.execute(f"SELECT sample, test, mw_exact FROM ({sql}) x").fetchall()}
+    assert rows["equal spread"][1:] == ("t-test", False) and rows["two spreads"][1:] == ("Welch's t-test", False)
+    assert rows["skewed"][1:] == ("Mann-Whitney U test", False) and rows["few"][1:] == ("Mann-Whitney U test", True)
 
 
 def test_seeded_classifier_runs(spark):
