@@ -14,6 +14,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,22 +35,33 @@ CONTEXT_CLOSE = "[/context]"
 GENDER_SIGNS = ["♀", "♂"]
 # --------------------------------------------------------------------------
 
-# Emoji code points kept by the unicode clean-up and matched by the emoji
-# extractor.  Java's regex engine has no emoji property, so the emoji blocks
-# are listed as code-point ranges (the same ranges work in RE2 / DuckDB).
-EMOJI_RANGES = (
-    r"\x{00A9}\x{00AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}"
-    r"\x{21A9}-\x{21AA}\x{231A}-\x{231B}\x{2328}\x{23CF}\x{23E9}-\x{23F3}"
-    r"\x{23F8}-\x{23FA}\x{24C2}\x{25AA}-\x{25AB}\x{25B6}\x{25C0}"
-    r"\x{25FB}-\x{25FE}\x{2600}-\x{27BF}\x{2934}-\x{2935}\x{2B05}-\x{2B07}"
-    r"\x{2B1B}-\x{2B1C}\x{2B50}\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}"
-    r"\x{1F000}-\x{1F1E5}\x{1F200}-\x{1F3FA}\x{1F400}-\x{1FAFF}"
-)
+
+def _class_ranges(members) -> str:
+    """A regex class body of ascending code points."""
+    out, run = [], []
+    for cp in [*members, None]:
+        if run and cp != run[-1] + 1:
+            out.append("\\x{%04X}" % run[0] + ("-\\x{%04X}" % run[-1] if len(run) > 1 else ""))
+            run = []
+        run.append(cp)
+    return "".join(out)
+
+
+def _emoji_points() -> list[int]:
+    """Code points with the Unicode property Emoji that are an emoji by
+    themselves: not the keycap characters (ASCII) and not regional indicators."""
+    planes = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]))
+    return [ord(c) for c in regex.findall(r"\p{Emoji}", planes) if not 0x1F1E6 <= ord(c) <= 0x1F1FF]
+
+
+# Java's and RE2's regex engines have no emoji property, so the class is
+# written out as code-point ranges, from the property table of ``regex``.
+EMOJI_RANGES = _class_ranges(_emoji_points())
 REGIONAL_INDICATORS = r"\x{1F1E6}-\x{1F1FF}"
 SKIN_TONES = r"\x{1F3FB}-\x{1F3FF}"
 
 # Characters outside ASCII that survive clean_unicodes.
-NON_KEPT = r"[^\x00-\x7F" + EMOJI_RANGES + REGIONAL_INDICATORS + SKIN_TONES + "]"
+NON_KEPT = r"[^\x00-\x7F" + EMOJI_RANGES + REGIONAL_INDICATORS + "]"
 
 # Emoji grammar of the extractor: a flag (two regional indicators), or a base
 # emoji with an optional skin tone and an optional gender sign.  This is the

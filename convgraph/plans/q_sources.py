@@ -168,7 +168,7 @@ def graph_export(spark, sf):
         F.when(F.col("_part") == 1, "node").otherwise("edge").alias("part"), F.md5("value").alias("line_md5"))
 
 
-# ---------------------------------------------------------------- X24 + X1, X2, X5-X7 on texts that need them
+# ---------------------------------------------------------------- X24
 _DRESSED_SQL = r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'RT @abc: ' || text WHEN 1 THEN chr(9) || text || ' ' || chr(10)
   WHEN 2 THEN 'see https://ex.org/a?b=1 ' || text ELSE chr(8220) || 'a' || chr(8221) || ' it' || chr(8217) || 's   ' || text END AS t FROM documents"""
 

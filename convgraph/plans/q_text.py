@@ -199,3 +199,65 @@ def mention_frequency(spark, sf):
     d = S.table(spark, sf, "documents").select(
         X.lower_alnum(F.regexp_extract_all("text", F.lit(r"@([A-Za-z0-9_.]+)"), 1)).alias("mentions"))
     return E.frequencies(d, "mentions")
+
+
+# ---------------------------------------------------------------- X1, X2, X4-X10, X14 on texts that need them
+#: (what stands before a text, what cleaning makes of it, emojis in it)
+_DRESSES = [
+    ("RT @abc: hi x", " hi x", []),
+    ("see https://ex.org/a?b=1&c x", "see x", []),
+    ("“a” it’s ‘b’   x", "\"a\" it's 'b' x", []),
+    ("Tom &amp; J&eacute;r&ocirc;me &lt;3 &#128512;\tx", "Tom & Jerome <3 😀 x", []),
+    ("☆✓🂡🧀 👇🏿€x", "🧀 👇🏿x", ["🧀", "👇🏿"]),
+    ("\xa0\n\\ a b\x0bx", " a b x", []),
+    ("🤦🏼♀🤷♀ 🇫🇷🇩🇪🇫 🏿 1# x", "🤦🏼♀🤷♀ 🇫🇷🇩🇪🇫 🏿 1# x", ["🤦🏼♀", "🤷♀", "🇫🇷", "🇩🇪", "🏿"]),
+    ("♥❤️©→ ½ x", "♥❤© 12 x", ["♥", "❤", "©"]),
+]
+
+
+def _dressed(spark, sf):
+    d = S.table(spark, sf, "documents")
+    k = (F.col("doc_id") % len(_DRESSES) + 1).cast("int")
+    return d.select("doc_id", "text", F.element_at(F.lit([x[0] for x in _DRESSES]), k).alias("dress"))
+
+
+def _by_doc(values) -> str:
+    return f"[{', '.join(values)}][doc_id % {len(_DRESSES)} + 1]"
+
+
+def _sql_text(x: str) -> str:
+    return " || ".join(f"chr({ord(c)})" if ord(c) > 126 or ord(c) < 32 or c == "'" else f"'{c}'" for c in x) or "''"
+
+
+@query("clean_dressed", f"""
+SELECT doc_id, {_by_doc(_sql_text(x[1]) for x in _DRESSES)} || {_CLEAN_SQL.replace('__C__', "('x' || text)")}[2:] AS clean FROM documents
+""")
+def clean_dressed(spark, sf):
+    """Texts behind retweet marks, links, quotes, entities, accents, escapes,
+    emojis and signs that are none."""
+    return _dressed(spark, sf).select("doc_id", X.clean_text(F.concat("dress", "text")).alias("clean"))
+
+
+@query("emoji_extract", f"""
+SELECT doc_id, {_by_doc(_sql_text("|".join(x[2])) for x in _DRESSES)} AS emojis FROM documents
+""")
+def emoji_extract(spark, sf):
+    """Emojis of the dressed texts in order; the documents themselves have none."""
+    d = _dressed(spark, sf)
+    return d.select("doc_id", F.array_join(X.extract_emojis(F.concat("dress", "text")), "|").alias("emojis"))
+
+
+_MENTIONS = [("", ""), ("@a @b_2 @ünal x", "@user @user @user x"), ("@a @b  @c\n@d x", "@user @user ... @user x"),
+             ("hi @a@b@c @d @e @f x", "hi @user @user ... @user x")]
+
+
+@query("mask_runs", f"""
+SELECT doc_id, [{", ".join(_sql_text(b) for _a, b in _MENTIONS)}][doc_id % {len(_MENTIONS)} + 1]
+  || regexp_replace(regexp_replace(text, '@[\\pL\\pN_]+\\s?', '@user ', 'g'),
+                    '(@user\\s*){{4,}}', '@user @user ... @user ', 'g') AS masked FROM documents
+""")
+def mask_runs(spark, sf):
+    """Runs of mentions: four or more are shortened, three are not."""
+    d = S.table(spark, sf, "documents")
+    before = F.element_at(F.lit([a for a, _b in _MENTIONS]), (F.col("doc_id") % len(_MENTIONS) + 1).cast("int"))
+    return d.select("doc_id", X.mask_mentions(F.concat(before, "text")).alias("masked"))

@@ -28,5 +28,5 @@ def r6(c):
 def load_all():
     # importing the plan modules fills REGISTRY
     from convgraph.plans import (q_relations, q_text, q_labels, q_graph,  # noqa: F401
-                                 q_stats, q_eval, q_runs, q_models, q_sources)
+                                 q_stats, q_eval, q_runs, q_models, q_sources, q_lexicons)
     return REGISTRY
