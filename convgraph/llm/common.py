@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str):
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with null texts as empty texts."""
     return docs.select(F.col(id_col).alias("id"),
@@ -44,7 +49,7 @@ def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, text, _row): as ``id_text``, and the row itself as a struct."""
     return docs.select(F.col(id_col).alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                       F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+                       F.struct(*[named(c) for c in docs.columns]).alias("_row"))
 
 
 def one_null_row(rows: DataFrame, *by) -> DataFrame:
@@ -204,6 +209,54 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
+#: Ranges longer than this are compared one by one.
+LONG_RANGE = 4096
+
+
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from a equal the n bytes from b, eight at a time over
+    all ranges."""
+    same = np.ones(len(a), dtype=bool)
+    alive = np.flatnonzero((a != b) & (n > 0))
+    for i in alive[n[alive] > LONG_RANGE]:
+        same[i] = np.array_equal(data[a[i]:a[i] + n[i]], data[b[i]:b[i] + n[i]])
+    alive = alive[n[alive] <= LONG_RANGE]
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:len(data)] = data
+    view = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    x, y, left = a[alive], b[alive], n[alive]
+    while len(alive):
+        differ = view[x] ^ view[y]
+        short = left < 8
+        if short.any():
+            keep = (_u64(1) << (np.minimum(left, 7).astype(np.uint64) * _u64(8))) - _u64(1)
+            differ = np.where(short, differ & keep, differ)
+        same[alive[differ != 0]] = False
+        more = (differ == 0) & (left > 8)
+        alive, x, y, left = alive[more], x[more] + 8, y[more] + 8, left[more] - 8
+    return same
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, owner: np.ndarray):
+    """(number of every range, bound of the numbers): equal numbers for equal
+    bytes of one owner and for nothing else.  ``keys`` are hashes that equal
+    ranges of an owner share; ranges that share one by chance are told apart by
+    their bytes."""
+    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    lead, n = first[number], ends - starts
+    same = (n == n[lead]) & (owner == owner[lead])
+    at = np.flatnonzero(same)
+    same[at] = equal_ranges(data, starts[at], starts[lead[at]], n[at])
+    bound = len(first)
+    if not same.all():
+        seen: dict = {}
+        for i in np.flatnonzero(np.isin(number, number[~same])).tolist():
+            key = (int(owner[i]), data[starts[i]:ends[i]].tobytes())
+            number[i] = seen.setdefault(key, bound + len(seen))
+        bound += len(seen)
+    return number, bound
+
+
 def window_hashes(words: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     """Hash of the k words from each position on; len(words) - k + 1 of them."""
     n = len(words) - k + 1

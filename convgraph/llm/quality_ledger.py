@@ -9,6 +9,7 @@ over the ledger and without touching the texts again.
 
 The measurements are taken per batch with numpy (see ``common``): one pass,
 no shuffle; memory is one slice of about 2 MB of text, one text at least.
+Words and lines are equal if their bytes are: hashes only bring them together.
 
 Defined results: a null text has no words, so it fails rule 0 only; repeated
 rows are measured row by row; an empty table gives an empty ledger.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from convgraph.llm.common import id_text, mix, text_slices, window_hashes, word_hashes, word_spans
+from convgraph.llm.common import exact_ids, id_text, mix, text_slices, word_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters",
@@ -68,13 +69,17 @@ def measure(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     upper = (data >= 65) & (data <= 90)
     letters = upper | ((data >= 97) & (data <= 122))
 
-    # words inside 3-word windows that occur twice or more in their text
+    # words inside 3-word windows that occur twice or more in their text; the
+    # words of a text are numbered, so windows are compared without a hash
     row = np.repeat(np.arange(rows), n_words)
     covered = np.zeros(len(words) + 1, dtype=np.int32)
     if len(words) >= 3:
+        number, bound = exact_ids(data, starts, ends, mix(words ^ mix(row.astype(np.uint64) + np.uint64(1))), row)
         same = np.flatnonzero(row[:-2] == row[2:])
-        keys = mix(window_hashes(words, 3)[same] ^ mix(row[same].astype(np.uint64) + np.uint64(1)))
-        _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+        keys = number[same] * bound + number[same + 1]
+        if bound >= 1 << 20:  # three numbers do not fit into 63 bits
+            keys = np.unique(keys, return_inverse=True)[1]
+        _, back, times = np.unique(keys * bound + number[same + 2], return_inverse=True, return_counts=True)
         twice = same[times[back] > 1]
         covered[twice] += 1
         np.subtract.at(covered, twice + 3, 1)
@@ -91,7 +96,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         a, z = cut[worded], stop[worded]
         line_row = np.searchsorted(offs, a, side="right") - 1
         keys = mix(word_hashes(data, a, z) ^ mix(line_row.astype(np.uint64) + np.uint64(1)))
-        _, at = np.unique(keys, return_index=True)
+        _, at = np.unique(exact_ids(data, a, z, keys, line_row)[0], return_index=True)
         n_lines = np.bincount(line_row, minlength=rows)
         n_dup = n_lines - np.bincount(line_row[at], minlength=rows)
     else:

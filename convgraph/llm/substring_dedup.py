@@ -5,9 +5,9 @@ gram with the smallest hash in it; consecutive windows with the same minimiser
 form a super-k-mer, which travels once, as one packed string of its words, to
 the bucket of the minimiser.  All windows with the same words have the same
 minimiser and so meet in one bucket.  There the strings are unpacked, their
-windows are sorted by a 128-bit hash of their words (words by 64-bit hashes of
-their bytes), and runs of equal windows give the smallest document of each
-window exactly.  Windows that also start in a smaller document go back to
+windows are sorted by a 128-bit hash of their words, the windows of a run are
+compared by their bytes, and runs of equal windows give the smallest document of
+each window exactly.  Windows that also start in a smaller document go back to
 their documents as spans.
 
 Inside a task equal super-k-mers are combined first: only the smallest
@@ -17,9 +17,11 @@ Grams that are found to be a minimiser of more than one window in ``HOT_SHARE``
 in a pass before lose every comparison with other grams.  The pass is
 approximate (see ``hot_minimisers``), which affects only the balance of the
 buckets: every window is compared whatever the list holds.  Windows
-around a hot gram then spread over the minimisers of their other words.  A
-hot gram can remain only in windows made of hot grams alone, which are equal
-strings and are combined.  The hot list has at most ``HOT_SHARE`` entries.
+around a hot gram then spread over the minimisers of their other words.  The
+pass is made once, on the plain order: where all grams of a passage that very
+many documents share are common, the next one of them becomes the minimiser of
+its windows, and strings that differ around the passage meet in its bucket.  The
+hot list has at most ``HOT_SHARE`` entries.
 
 Defined results: null texts have no words; windows that repeat only inside
 their own document stay; of rows that repeat an id none is smaller, so they do
@@ -31,8 +33,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from convgraph.llm.common import (mix, splitmix, text_slices, window_hashes, word_hashes, word_spans)
+from convgraph.llm.common import (equal_ranges, mix, named, splitmix, text_slices, window_hashes, word_hashes,
+                                  word_spans)
 
 WINDOW = 13
 GRAM = 3
@@ -192,7 +196,7 @@ def _first_documents(payloads, window: int):
     import pickle
     import zstandard
     open_ = zstandard.ZstdDecompressor()
-    docs, tags, pos, one, two = [], [], [], [], []
+    docs, tags, pos, one, two, begin, end, texts, size = [], [], [], [], [], [], [], [], 0
     for p in payloads:
         doc, tag, start, count, lines = pickle.loads(open_.decompress(p))
         data = np.frombuffer(lines, dtype=np.uint8)
@@ -202,15 +206,33 @@ def _first_documents(payloads, window: int):
         at = np.repeat(before - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
         one.append(window_hashes(words, window, seed=21)[at])
         two.append(window_hashes(words, window, seed=22)[at])
+        begin.append(s[at] + size)
+        end.append(e[at + window - 1] + size)
+        texts.append(data)
+        size += len(data)
         docs.append(np.repeat(doc, count))
         tags.append(np.repeat(tag, count))
         pos.append(np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum())))
-    doc, tag, at, one, two = (np.concatenate(x) for x in (docs, tags, pos, one, two))
+    doc, tag, at, one, two, begin, end, data = (np.concatenate(x) for x in (docs, tags, pos, one, two, begin, end, texts))
     order = np.lexsort((doc, two, one))
     new = np.empty(len(order), dtype=bool)
     new[0] = True
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-    smallest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    run = np.cumsum(new) - 1
+    lead = order[np.flatnonzero(new)][run]
+    smallest = doc[lead]
+    # a packed window is its words joined by one space, so equal windows are equal bytes
+    length = end - begin
+    later = np.flatnonzero(~new)
+    mine, first = order[later], lead[later]
+    same = length[mine] == length[first]
+    same[same] = equal_ranges(data, begin[mine[same]], begin[first[same]], length[mine[same]])
+    if not same.all():  # other words with the same hashes: told apart by their bytes
+        smallest = smallest.copy()
+        seen: dict = {}
+        for i in np.flatnonzero(np.isin(run, run[later[~same]])).tolist():  # by document within a run
+            w = order[i]
+            smallest[i] = seen.setdefault(data[begin[w]:end[w]].tobytes(), doc[w])
     found = order[doc[order] > smallest]
     return runs(doc[found], tag[found], at[found])
 
@@ -319,8 +341,9 @@ def remove_spans(rows: DataFrame, spans: DataFrame, window: int = WINDOW) -> Dat
                     [*carried, text, pa.array(words, pa.int64()), pa.array(removed, pa.int64()),
                      pa.array(kept, pa.binary()).cast(pa.string())],
                     names=[*batch.schema.names[3:], "text", "n_words", "n_removed", "kept"])
-    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in other)
-    return held.mapInArrow(run, f"id long{fields}, text string, n_words long, n_removed long, kept string")
+    added = [StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()),
+             StructField("kept", StringType())]
+    return held.mapInArrow(run, StructType([StructField("id", LongType()), *other, *added]))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, other: tuple = ()) -> DataFrame:
@@ -340,7 +363,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     the text.  Texts that lose nothing stay as they are (null ones become
     empty); documents of which nothing is left go."""
     plain = _rows(docs, id_col, text_col)
-    kept = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_row")
+    kept = F.struct(*[named(c) for c in docs.columns if c != text_col]).alias("_row")
     out = remove_spans(_rows(docs, id_col, text_col, (kept,)), duplicate_spans(plain, window), window)
     lost = F.col("n_removed") > 0
     return out.where(~lost | (F.col("kept") != "")).select(
