@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convgraph.llm.common import stored, table
+from convgraph.llm.common import dropped, stored, table
 from convgraph.llm.exact_dedup import keep_first
 from convgraph.llm.minhash_hamming import keep_one
 from convgraph.llm.packing import pack
@@ -39,10 +39,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lose nothing stay as they are; the others become the kept
     words joined by one space, with ``n_chars`` counted anew."""
-    before = F.col("n_chars")
-    out = cut_texts(docs.withColumn("_old", F.xxhash64("text")))
-    changed = F.xxhash64("text") != F.col("_old")
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(before)).drop("_old")
+    old = "_old"
+    while old in docs.columns:
+        old += "_"
+    out = cut_texts(docs.withColumn(old, F.xxhash64("text")))
+    changed = F.xxhash64("text") != F.col(old)
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(old)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(before)  # the stage after it is written; the table itself stays
     return docs
