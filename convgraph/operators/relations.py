@@ -200,15 +200,12 @@ def mismatch_patterns(df: DataFrame, keys: list[str], cols: list[str]) -> DataFr
 def collapse_duplicates(df: DataFrame, keys: list[str], set_col: str,
                         union_col: str) -> DataFrame:
     """A3: group by all key columns (NULL keys kept), sorted set of
-    ``set_col`` and sorted union of the array column ``union_col`` (A7).
-    Elements are made distinct per key before they are collected, so a buffer
-    holds the result, not the copies."""
-    one = F.struct(*[F.col(k) for k in keys])
-    sets = df.groupBy(*keys).agg(F.array_sort(F.collect_set(set_col)).alias(set_col))
-    union = union_of_arrays(df.select(one.alias("_key"), union_col), "_key", union_col)
-    return (sets.withColumn("_key", one).join(union.withColumnRenamed("_key", "_k2"),
-                                              F.col("_key").eqNullSafe(F.col("_k2")), "left")
-                .select(*keys, set_col, F.coalesce(union_col, F.array().cast(union.schema[union_col].dataType)).alias(union_col)))
+    ``set_col`` and sorted union of the array column ``union_col`` (A7).  One
+    grouping over the exploded elements: they are made distinct per key before
+    the shuffle and after it, so a buffer holds the result, not the copies."""
+    rows = df.select(*keys, set_col, F.explode_outer(union_col).alias("_e"))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(set_col)).alias(set_col),
+                                   F.array_sort(F.collect_set("_e")).alias(union_col))
 
 
 def union_of_arrays(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -254,12 +251,39 @@ def dense_ids(df: DataFrame, cols: list[str], out: str = "new_id",
               start: int = 0) -> DataFrame:
     """Dense id of each distinct value of ``cols`` in sorted order
     (``ngroup``), from ``start``.  NULL keys are dropped (pandas default)."""
+    if len(cols) == 1 and dict(df.dtypes)[cols[0]] == "string":
+        return _dense_text_ids(df, cols[0], out, start)
     distinct = df.select(*cols).dropna().dropDuplicates()
     numbered = global_positions(distinct, cols, "_pos")
     numbered = numbered.withColumn(out, F.col("_pos") - 1 + start).drop("_pos")
     return df.join(numbered, cols, "left")
 
 
+#: Code points of a text by which it is ordered before its whole is looked at.
+PREFIX = 48
+
+
+def _dense_text_ids(df: DataFrame, col: str, out: str, start: int, prefix: int = PREFIX) -> DataFrame:
+    """Dense ids of long texts through a two-level dictionary.  A text is known
+    by its SHA-256 and ordered by its first code points; only texts that
+    share these with another text are ordered by the whole.  So one copy of the
+    rows is shuffled, with the digest they are joined on, and of the dictionary
+    the short keys and the tied texts."""
+    digest = F.unhex(F.sha2(F.col(col), 256))
+    keyed = df.withColumn("_digest", digest)
+    words = (df.where(F.col(col).isNotNull()).select(digest.alias("_digest"), F.substring(col, 1, prefix).alias("_prefix"))
+             .dropDuplicates(["_digest"]))
+    # a prefix that is shorter than the limit is the whole text, so it ties with longer ones only if it is as long
+    tied = (words.where(F.length("_prefix") == prefix).groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            .select("_prefix"))
+    whole = (df.select(F.substring(col, 1, prefix).alias("_prefix"), digest.alias("_digest"), F.col(col).alias("_whole"))
+             .where(F.length("_prefix") == prefix).join(tied, "_prefix", "left_semi").dropDuplicates(["_digest"]).drop("_prefix"))
+    ordered = words.join(whole, "_digest", "left").withColumn("_whole", F.coalesce("_whole", F.lit("")))
+    numbered = global_positions(ordered, ["_prefix", "_whole", "_digest"], "_pos")
+    ids = numbered.select("_digest", (F.col("_pos") - 1 + start).alias(out))
+    return keyed.join(ids, "_digest", "left").drop("_digest")
+
+
 def pseudonymise(df: DataFrame, id_col: str, name_col: str, prefix: str = "user",
                  out: str = "anonymised_user_id") -> DataFrame:
     """W2 + J4: ``prefix + ngroup(id, name)``, joined back on both columns,

@@ -189,3 +189,17 @@ def test_cut_lineage_release_deletes_superseded_round(spark):
     b = cut_lineage(a.selectExpr("id * 2 AS id"), replaces=a)
     assert b.count() == 100 and b.agg(F.max("id")).first()[0] == 198
     assert not os.path.exists(path_a)
+
+
+def test_dense_ids_of_long_texts(spark):
+    """Prefixes that tie, texts that are the prefix of others, nulls, copies and
+    characters whose UTF-16 order differs from their code points."""
+    rng = random.Random(6)
+    stem = "é" * (R.PREFIX - 1)
+    texts = [None, "", "a", stem, stem + "x", stem + "xa", stem + "xb" * 300, stem + "\U0001f600", stem + "\uffee", "\U0001f600", "\uffee"]
+    texts += ["".join(rng.choice("ab") for _ in range(rng.randrange(120))) for _ in range(200)] + ["b" * R.PREFIX + c for c in "zyx"]
+    rows = [(i, rng.choice(texts)) for i in range(900)]
+    out = R.dense_ids(spark.createDataFrame(rows, "i long, t string").repartition(5), ["t"], "n", 3)
+    assert out.columns == ["i", "t", "n"]
+    rank = {t: k + 3 for k, t in enumerate(sorted({t for _, t in rows if t is not None}, key=lambda t: t.encode()))}
+    assert sorted(tuple(r) for r in out.select("i", "n").collect()) == [(i, rank.get(t)) for i, t in rows]
