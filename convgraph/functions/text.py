@@ -237,6 +237,34 @@ def fill_template(template: str, **placeholders) -> Column:
     return out
 
 
+# --- fixed values: the four prompts by type -------------------------------
+PROMPTS = {
+    "with_fallacy_definition": "Given the following tweet and fallacy definitions, which of the fallacies defined below occurs in the tweet? More than one can occur :\n\nDefinitions:\n{fallacy_def_text}\n\nTweet: {main_tweet}",
+    "with_fallacy_definition_with_NotA": "Given the following tweet and fallacy definitions, which of the fallacies defined below occurs in the tweet? More than one can occur. (If none of them occur, you can answer 'none of the above') :\n\nDefinitions:\n{fallacy_def_text}\n\nTweet: {main_tweet}",
+    "without_fallacy_definition": "Given the tweet below, which of the following fallacies occurs in the tweet: {fallacies}? More than one can occur. \nTweet: {main_tweet}",
+    "without_fallacy_definition_with_NotA": "Given the tweet below, which of the following fallacies occurs in the tweet: {fallacies}? More than one can occur. (If none of them occur, you can answer 'none of the above') \nTweet: {main_tweet}",
+}
+# --------------------------------------------------------------------------
+
+
+def prompt_text(prompt_type: str, names: list[str], definitions: dict[str, str], text) -> Column:
+    """The prompt of a type: class names or a block of one "name: definition"
+    line per class, then the text, whose own braces are left alone."""
+    fixed = {"fallacies": ", ".join(names), "fallacy_def_text": "\n".join(f"{n}: {d}" for n, d in definitions.items())}
+    before, after = PROMPTS[prompt_type].split("{main_tweet}")
+    for key, value in fixed.items():
+        before = before.replace("{" + key + "}", value)
+    return F.concat(F.lit(before), _c(text), F.lit(after))
+
+
+def prompt_record(prompt_type: str, flags: dict[str, str], none_flag: str, definitions: dict[str, str], text) -> Column:
+    """The record that a line of a training file holds: input, target and 0/1
+    target under ``translation``.  ``flags``: label column -> class name."""
+    return F.struct(prompt_text(prompt_type, list(flags.values()), definitions, text).alias("input"),
+                    target_text(list(flags), list(flags.values())).alias("target"),
+                    binary_vector([*flags, none_flag]).alias("binary_target"))
+
+
 # X18
 def target_text(flags: list, names: list[str], none_text: str = "none of the above") -> Column:
     picked = F.array_compact(F.array(*[F.when(_c(f) == 1, F.lit(n)) for f, n in zip(flags, names)]))

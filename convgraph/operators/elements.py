@@ -61,6 +61,26 @@ def element_label_matrix(df: DataFrame, col: str, long_labels: DataFrame, min_fr
     return ab.select(element, "label", "absolute", (F.col("absolute") / F.col("frequency")).alias("relative"))
 
 
+def element_label_tables(df: DataFrame, col: str, labels: list[str], element: str = "element") -> DataFrame:
+    """One row per element, none left out: ``frequency``, and for each 0/1 label
+    column ``abs_<label>``, its occurrences in rows that carry the label (0 where
+    there are none), and ``rel_<label>``, their share.  One grouping, no join: the
+    labels travel with the elements of their row.  NULL labels count as 0."""
+    toks = df.select(F.explode(col).alias(element), *[F.coalesce(F.col(l), F.lit(0)).alias(l) for l in labels])
+    sums = toks.groupBy(element).agg(F.count(F.lit(1)).alias("frequency"),
+                                     *[F.count_if(F.col(l) == 1).alias("abs_" + l) for l in labels])
+    return sums.select("*", *[(F.col("abs_" + l) / F.col("frequency")).alias("rel_" + l) for l in labels])
+
+
+def element_label_report(tables: DataFrame, label: str, min_frequency: int, n: int, element: str = "element") -> DataFrame:
+    """The ``n`` elements with the largest and the ``n`` with the smallest share
+    of ``label`` (ties by element) among those seen at least ``min_frequency``
+    times; an element that is both is one row.  A top-k report: two
+    TakeOrderedAndProject."""
+    rows = tables.filter(F.col("frequency") >= min_frequency)
+    return extremes(rows, "rel_" + label, element, n).drop("end").dropDuplicates([element])
+
+
 # A27
 def select_by_frequency(freq: DataFrame, threshold: int, element: str = "element") -> DataFrame:
     """Elements seen more than ``threshold`` times, without those that hold a

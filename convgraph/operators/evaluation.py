@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convgraph.operators.relations import global_running_sums
+from convgraph.operators.relations import global_positions, global_running_sums
 
 
 # M1
@@ -98,6 +98,19 @@ def bce_with_logits(long: DataFrame) -> DataFrame:
     return long.agg(F.avg(loss).alias("bce_loss"))
 
 
+def bce_batch_means(long: DataFrame, id_col: str, batch_rows: int) -> DataFrame:
+    """(n_batches, bce_loss): the loss of an evaluation loop, which averages the
+    means of batches of ``batch_rows`` rows in id order, so a short last batch
+    counts as much as a full one.  Rows are numbered by a range partitioning of
+    one row per id, and a batch is one group of sums."""
+    x, y = F.col("logit"), F.col("y")
+    loss = F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
+    rows = long.groupBy(id_col).agg(F.sum(loss).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    placed = global_positions(rows, [id_col], "_pos").withColumn("_batch", F.expr(f"(_pos - 1) div {int(batch_rows)}"))
+    means = placed.groupBy("_batch").agg((F.sum("_sum") / F.sum("_n")).alias("_mean"))
+    return means.agg(F.count(F.lit(1)).alias("n_batches"), F.avg("_mean").alias("bce_loss"))
+
+
 def _score_histogram(long: DataFrame) -> DataFrame:
     return long.groupBy("label", "score").agg(F.sum("y").alias("_pos"),
                                                F.sum(1 - F.col("y")).alias("_neg"))

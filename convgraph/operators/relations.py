@@ -300,6 +300,12 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.unpivot([], cols, "column", "n_null")
 
 
+def rows_with_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Rows that lack a value in any of the columns, and all rows."""
+    lacks = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols or df.columns])
+    return df.agg(F.count_if(lacks).alias("n_any_null"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def completion_rate(df: DataFrame, col: str) -> Column:
     """A13 as an aggregate expression: share of non-NULL values."""
     return F.try_divide(F.count_if(F.col(col).isNotNull()), F.count(F.lit(1)))

@@ -86,6 +86,15 @@ def bce_loss(spark, sf):
     return M.bce_with_logits(_long(spark, sf)).select(r6(F.col("bce_loss")).alias("bce_loss"))
 
 
+@query("bce_batch_means", _LONG_SQL + """
+, b AS (SELECT (dense_rank() OVER (ORDER BY id) - 1) // 16 AS batch, greatest(logit, 0.0) - logit * y + ln(1 + exp(-abs(logit))) AS loss FROM lq),
+m AS (SELECT batch, avg(loss) AS mean FROM b GROUP BY batch)
+SELECT count(*) AS n_batches, round(avg(mean), 6) AS bce_loss FROM m
+""")
+def bce_batch_means(spark, sf):
+    return M.bce_batch_means(_long(spark, sf), "id", 16).select("n_batches", r6(F.col("bce_loss")).alias("bce_loss"))
+
+
 _HIST_SQL = _LONG_SQL + """
 , h AS (SELECT label, score, sum(y) AS pos, sum(1 - y) AS neg FROM lq GROUP BY label, score),
 c AS (SELECT label, score, pos, neg,

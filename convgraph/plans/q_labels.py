@@ -202,6 +202,46 @@ def element_label_matrix(spark, sf):
     return m.select("element", "label", "absolute", r6(F.col("relative")).alias("relative"))
 
 
+_TABLES_SQL = _ELEM_SQL + f"""
+, tb AS (SELECT el.element, count(*) AS frequency, {", ".join(f"count(*) FILTER (WHERE lab.{l} = 1) AS abs_{l}" for l in S.LABELS)}
+         FROM el JOIN lab USING (id) GROUP BY 1),
+tr AS (SELECT element, frequency, {", ".join(f"abs_{l}, round(abs_{l} / frequency, 6) AS rel_{l}" for l in S.LABELS)} FROM tb)"""
+
+
+@query("share_above", _ELEM_SQL + """
+SELECT c.cut, round(100.0 * avg(CAST(frequency > c.cut AS INTEGER)), 6) AS pct_elements,
+       round(100.0 * sum(CASE WHEN frequency > c.cut THEN frequency ELSE 0 END) / sum(frequency), 6) AS pct_occurrences
+FROM fr, (SELECT unnest([1, 5, 20]) AS cut) c GROUP BY c.cut
+""")
+def share_above(spark, sf):
+    """The share of elements and of their occurrences above three cuts."""
+    fr, out = E.frequencies(_with_elements(spark, sf), "elements"), None
+    for cut in (1, 5, 20):
+        r = E.share_above(fr, cut).select(F.lit(cut).alias("cut"), r6(F.col("pct_elements")).alias("pct_elements"),
+                                          r6(F.col("pct_occurrences")).alias("pct_occurrences"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("element_label_tables", _TABLES_SQL + "SELECT * FROM tr")
+def element_label_tables(spark, sf):
+    """Unfiltered absolute and relative tables, zeros included."""
+    t = E.element_label_tables(_with_elements(spark, sf), "elements", S.LABELS)
+    return t.select("element", "frequency", *["abs_" + l for l in S.LABELS], *[r6(F.col("rel_" + l)).alias("rel_" + l) for l in S.LABELS])
+
+
+@query("element_label_report", _TABLES_SQL + f"""
+, f AS (SELECT *, abs_{S.NONE_LABEL} / frequency AS v FROM tb WHERE frequency >= 5),
+k AS (SELECT element, row_number() OVER (ORDER BY v DESC, element) AS top, row_number() OVER (ORDER BY v, element) AS bottom FROM f)
+SELECT tr.element, frequency, rel_{S.NONE_LABEL} FROM tr JOIN k USING (element) WHERE top <= 10 OR bottom <= 10
+""")
+def element_label_report(spark, sf):
+    """The ten elements with the largest and with the smallest share of rows without a label."""
+    t = E.element_label_tables(_with_elements(spark, sf), "elements", S.LABELS)
+    r = E.element_label_report(t, S.NONE_LABEL, 5, 10)
+    return r.select("element", "frequency", r6(F.col("rel_" + S.NONE_LABEL)).alias("rel_" + S.NONE_LABEL))
+
+
 @query("selected_elements", _ELEM_SQL + """
 , sel AS (SELECT element FROM fr WHERE frequency > 5)
 SELECT lab.id, count(sel.element) AS n_selected

@@ -157,6 +157,14 @@ def null_audit(spark, sf):
     return R.null_counts(_relationships(spark, sf))
 
 
+@query("any_null_audit", _REL_SQL + """
+SELECT count(*) FILTER (WHERE id IS NULL OR context_id IS NULL OR context_type IS NULL OR context_text IS NULL) AS n_any_null,
+       count(*) AS n_rows FROM r
+""")
+def any_null_audit(spark, sf):
+    return R.rows_with_null(_relationships(spark, sf), ["id", "context_id", "context_type", "context_text"])
+
+
 # ---------------------------------------------------------------- J1 + A13
 @query("completion_rate", _REL_SQL + """
 , f AS (SELECT r.*, coalesce(r.context_text, c.event_type) AS filled
