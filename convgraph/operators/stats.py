@@ -54,7 +54,7 @@ def erfc_sql(x: str) -> str:
             f"+ CASE WHEN {z} < {math.pi / _STEP!r} THEN 2.0e0 / (1.0e0 - exp({2.0 * math.pi / _STEP!r}::DOUBLE * {z})) ELSE 0 END)")
     near = (f"(1.0e0 - {2.0 / math.sqrt(math.pi)!r}::DOUBLE * {z} * (1.0e0 - {z} * {z} / 3.0e0 + {z} ** 4 / 10.0e0 "
             f"- {z} ** 6 / 42.0e0 + {z} ** 8 / 216.0e0))")
-    upper = f"(CASE WHEN {z} < {_NEAR} THEN {near} WHEN {z} < 26 THEN {tail} ELSE 0.0e0 END)"
+    upper = f"(CASE WHEN {z} < {_NEAR} THEN {near} WHEN {z} < 26 THEN {tail} ELSE 0.0e0 * {z} END)"
     return f"(CASE WHEN {x} >= 0 THEN {upper} ELSE 2.0e0 - {upper} END)"
 
 
