@@ -65,6 +65,26 @@ def hubs(deg: DataFrame, z_cut: float = 2.0) -> DataFrame:
                .filter(F.col("z") > z_cut).drop("_mu", "_sd"))
 
 
+#: A node at the ends of at least one edge in HOT is joined apart.
+HOT = 1000
+
+
+def hot_nodes(edges: DataFrame, a: str, b: str, total: int) -> DataFrame:
+    """(id): nodes with at least one in ``HOT`` of the ``total`` edges.  An edge
+    has two ends, so there are at most 2 * HOT of them at every size."""
+    ends = edges.select(F.explode(F.array(a, b)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(ends.filter(F.col("n") * HOT >= total).select("id"))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key).  The keys of ``hot``, a
+    table of bounded size, take their rows of ``table`` by broadcast, so their
+    rows stay where they are; all other keys meet in a shuffle."""
+    few = F.broadcast(hot.withColumnRenamed("id", key))
+    return rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, how) \
+        .unionByName(rows.join(few, key, "left_anti").join(table, key, how))
+
+
 # G5
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Connected components by alternating large-star / small-star
@@ -76,26 +96,33 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     Edges are kept as (u, v) with v < u.  A node is finished once its only
     edge leads to a root that has no smaller neighbour; finished stars leave
     the active edges as soon as all edges of their root are of that kind, so
-    later rounds touch only what still changes.  A round ends the loop when
-    no active edge is left.
+    later rounds touch only what still changes.  The loop ends when no active
+    edge is left.  Roots and hubs with at least one in ``HOT`` of a round's
+    edges are joined by broadcast (:func:`spread_join`).
     """
     active = cut_lineage(edges.filter(F.col("src") != F.col("dst"))
                          .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    total = active.count()
+    hot = hot_nodes(active, "u", "v", total)
     done = None
-    while active.limit(1).count():
-        new = cut_lineage(_small_star(_large_star(active)), replaces=active)
+    while total:
+        new = cut_lineage(_small_star(_large_star(active, hot), hot), replaces=active)
+        before, hot = hot, hot_nodes(new, "u", "v", new.count())
+        release(before)
         # a star is settled if its root has no smaller neighbour and each leaf
         # has this one edge only: v that is a u, u with two edges, u that is a v
         per_u = new.groupBy("u").agg(F.count(F.lit(1)).alias("_n"))
         ends = per_u.filter(F.col("_n") > 1).select("u") \
             .union(new.select(F.col("v").alias("u")).distinct().join(per_u.select("u"), "u", "left_semi")).distinct()
-        open_roots = new.join(ends, "u", "left_semi").select(F.col("v").alias("r")) \
-            .union(ends.select(F.col("u").alias("r"))).distinct()
-        flagged = cut_lineage(new.join(open_roots.withColumn("_open", F.lit(True)), new["v"] == open_roots["r"], "left")
+        open_roots = spread_join(new, ends, "u", hot, "left_semi").select("v") \
+            .union(ends.select(F.col("u").alias("v"))).distinct()
+        flagged = cut_lineage(spread_join(new, open_roots.withColumn("_open", F.lit(True)), "v", hot, "left")
                               .select("u", "v", F.coalesce("_open", F.lit(False)).alias("open")), replaces=new)
         settled = flagged.filter(~F.col("open")).select("u", "v")
         done = settled if done is None else done.union(settled)
         active = cut_lineage(flagged.filter("open").select("u", "v"))
+        total = active.count()
+    release(hot)
     stars = done if done is not None else active
     roots = stars.select(F.col("u").alias("id"), F.col("v").alias("root")) \
         .union(stars.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
@@ -105,19 +132,22 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     return roots
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, hot: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node
     and its neighbours.  Edges come and go as (u, v) with v < u."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     m = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(m, "u") \
+    return spread_join(e.select(F.col("v").alias("u"), F.col("u").alias("w")), m, "u", hot) \
         .select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked to the smallest of them."""
+def _small_star(e: DataFrame, hot: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are linked to the smallest of them.  A
+    node has no more smaller neighbours than before the large star, so ``hot``
+    is the list of the edges before it."""
     m = e.groupBy("u").agg(F.min("v").alias("m"))
-    out = e.join(m, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = spread_join(e, m, "u", hot).filter(F.col("v") != F.col("m")) \
+        .select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.union(m.select("u", F.col("m").alias("v"))).distinct()
 
 

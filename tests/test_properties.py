@@ -203,3 +203,37 @@ def test_dense_ids_of_long_texts(spark):
     assert out.columns == ["i", "t", "n"]
     rank = {t: k + 3 for k, t in enumerate(sorted({t for _, t in rows if t is not None}, key=lambda t: t.encode()))}
     assert sorted(tuple(r) for r in out.select("i", "n").collect()) == [(i, rank.get(t)) for i, t in rows]
+
+
+def test_components_around_hubs(spark):
+    """Hubs above and below the cut for hot nodes, at both ends of the ids."""
+    import random
+    rnd = random.Random(5)
+    edges = [(100000, i) for i in range(1, 1200)] + [(5000, i) for i in range(5001, 6300)]
+    edges += [(rnd.randrange(20000, 24000), rnd.randrange(20000, 24000)) for _ in range(2500)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["id"]: r["root"] for r in G.connected_components(
+        spark.createDataFrame(edges, "src long, dst long"),
+        spark.createDataFrame([(x,) for x in parent], "id long")).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
+def test_spread_join_moves_no_hot_rows(spark):
+    rows = spark.range(0, 5000).selectExpr("if(id < 3000, 7, id) AS u", "id AS w")
+    edges = rows.selectExpr("u", "w AS v")
+    hot = G.hot_nodes(edges, "u", "v", 5000)
+    assert 7 in [r["id"] for r in hot.collect()] and hot.count() <= 2 * G.HOT
+    table = rows.groupBy("u").count()
+    for how in ("inner", "left"):
+        out = G.spread_join(rows, table, "u", hot, how)
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.join(table, "u", how).collect()))
+    some = table.filter("u % 2 = 1").select("u")
+    assert G.spread_join(rows, some, "u", hot, "left_semi").count() == rows.join(some, "u", "left_semi").count()
