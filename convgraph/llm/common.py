@@ -257,6 +257,21 @@ def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.n
     return number, bound
 
 
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Eight bytes of the BLAKE2b digest of every word.  Distinct words of the
+    slice are told apart by their bytes and hashed once each, so words made to
+    share a value of :func:`word_hashes` differ here."""
+    import hashlib
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    number, _ = exact_ids(data, starts, ends, word_hashes(data, starts, ends), np.zeros(len(starts), np.int64))
+    _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    digests = b"".join(hashlib.blake2b(raw[a:z], digest_size=8).digest()
+                       for a, z in zip(starts[first].tolist(), ends[first].tolist()))
+    return np.frombuffer(digests, dtype="<u8")[number]
+
+
 def window_hashes(words: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     """Hash of the k words from each position on; len(words) - k + 1 of them."""
     n = len(words) - k + 1

@@ -1,6 +1,7 @@
 """MinHash near-dedup: multi-index Hamming join over b-bit signatures.
 
-A text becomes the set of its distinct 5-word shingles (64-bit hashes) and a
+A text becomes the set of its distinct 5-word shingles (64-bit hashes over
+BLAKE2b digests of the words, so no one makes words that collide at will) and a
 signature of 5 m minima, each cut to b = 16 bits.  Pairs whose signatures differ
 in at most 2 m - 1 symbols are wanted.  With m = 7 two sets of similarity 0.85
 differ in 5.25 symbols on average and 3 in 10,000 such pairs in more than 13;
@@ -17,7 +18,8 @@ Texts with equal sets are one node from the start.  The members of a bucket
 1. star: every member against the bucket's smallest id; distance and size
    filter, then the exact intersection of the full sets;
 2. buckets whose members are not yet all connected are cut into blocks of
-   about 512; a task takes two blocks, compares signatures with numpy, and
+   about 512, or less where texts are so long that these would hold more than
+   ``BLOCK_SHINGLES`` on average; a task takes two blocks, compares signatures with numpy, and
    confirms on the full sets only pairs that pass the distance, that are not
    connected yet and for which this bucket is the first one they share.  It
    returns confirmed links that connect something, at most one per member.
@@ -36,20 +38,22 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from convgraph.llm.common import (LOWER, dropped, id_text, mix, one_null_row, per_salt, salt_bits, splitmix, stored,
-                                   text_slices, whole_rows, window_hashes, with_salt, word_hashes, word_spans)
+                                   text_slices, whole_rows, window_hashes, with_salt, word_digests, word_spans)
 from convgraph.operators.graph import connected_components
 from convgraph.operators.relations import global_positions
 
 SHINGLE = 5
 CHUNK = 5
 BLOCK = 512
+#: Shingles of a block on average (64 MB), where its texts are long.
+BLOCK_SHINGLES = 1 << 23
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a slice."""
     data = LOWER[data]
     starts, ends, first = word_spans(data, offs)
-    words = word_hashes(data, starts, ends)
+    words = word_digests(data, starts, ends)
     windows = window_hashes(words, k)
     out = []
     for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -115,7 +119,7 @@ def set_rows(rows: DataFrame, chunks: int) -> DataFrame:
 
 
 def bucket_keys(reps: DataFrame, chunks: int) -> DataFrame:
-    """(node, slot, key): one key per chunk and wildcard."""
+    """(node, n, slot, key): one key per chunk and wildcard."""
     keys = []
     for c in range(chunks):
         for w in range(CHUNK):
@@ -124,7 +128,7 @@ def bucket_keys(reps: DataFrame, chunks: int) -> DataFrame:
                             F.substring("sig", at + 2 * w + 3, 2 * (CHUNK - 1 - w)))
             keys.append(F.struct(F.lit(c * CHUNK + w).cast("byte").alias("slot"),
                                  F.xxhash64(F.lit(c * CHUNK + w), rest).alias("key")))
-    return reps.select("node", F.inline(F.array(*keys)))
+    return reps.select("node", "n", F.inline(F.array(*keys)))
 
 
 def distance(a: str, b: str, chunks: int):
@@ -200,9 +204,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = reps.where("node IS NOT NULL").select("node", "n", "sig")
 
     keys = bucket_keys(nodes, chunks)
-    buckets = keys.groupBy("slot", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")) \
-        .where("size > 1")
-    members = stored(keys.join(buckets, ["slot", "key"]), "members")  # rows of shared buckets only
+    buckets = keys.groupBy("slot", "key") \
+        .agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 1") \
+        .withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")) \
+        .drop("shingles")
+    members = stored(keys.drop("n").join(buckets, ["slot", "key"]), "members")  # rows of shared buckets only
 
     needed = members.select(F.col("node").alias("id")).distinct()
     sets = stored(set_rows(rows.where("id IS NOT NULL").join(needed, "id", "left_semi"), chunks), "sets")
@@ -227,7 +233,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where("lo <> hi").select("slot", "key")
     left = (labelled.join(open_, ["slot", "key"])
             .where("size > 2")  # two members: the star has seen the pair
-            .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("peer", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select("slot", "key", F.least("block", "peer").alias("one"), F.greatest("block", "peer").alias("two"),

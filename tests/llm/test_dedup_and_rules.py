@@ -150,6 +150,13 @@ def test_near_dedup_planted(spark, block, monkeypatch):
     assert got == expected_components(rows)
 
 
+def test_near_dedup_of_long_texts_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 60)
+    rows = planted()
+    got = sorted(map(tuple, M.near_dedup(frame(spark, rows).repartition(4)).collect()), key=repr)
+    assert got == expected_components(rows)
+
+
 def test_near_dedup_at_eighty(spark):
     rows = planted(7)
     got = sorted(map(tuple, M.near_dedup(frame(spark, rows), percent=80, chunks=10).collect()), key=repr)

@@ -85,3 +85,11 @@ def test_equal_ranges_against_bytes():
     b[-3:] = [4500, 4501, 4500]
     want = [data[x:x + k].tobytes() == data[y:y + k].tobytes() for x, y, k in zip(a, b, n)]
     assert L.equal_ranges(data, a, b, n).tolist() == want and 20 < sum(want) < 390
+
+
+def test_twins_are_different_shingles(spark):
+    from convgraph.llm.minhash_hamming import near_dedup
+    rows = [(i, f"a b c {w} e f") for i, w in enumerate(TWINS)] + [(2, "A b c collisionexample e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
