@@ -277,17 +277,31 @@ def rich_club(edges: DataFrame) -> DataFrame:
     return out.select("k", (2.0 * F.col("e_k") / (F.col("n_k") * (F.col("n_k") - 1))).alias("phi"))
 
 
+#: Ways through a node (in * out) up to which it may be contracted.
+WAYS = 16
+
+
 # G3
 def is_dag(edges: DataFrame, order: DataFrame | None = None) -> bool:
     """True when the directed graph has no cycle.
 
     ``order`` (id, columns of a total order) is a certificate: if every edge
     ascends in it, one pass proves the graph acyclic.  Otherwise every round
-    removes the nodes that are a source or a sink (they cannot lie on a
-    cycle) and contracts chain nodes (in = out = 1) picked by a random-mate
-    coin, so long paths shrink geometrically.  When edges remain but no node
-    is a source or sink, every node has in >= 1 and out >= 1, so a cycle
-    exists.  A self loop is a cycle.
+
+    * removes the nodes that are a source or a sink, which lie on no cycle; if
+      edges remain and there is none, every node has a way in and a way on, so
+      there is a cycle;
+    * contracts nodes with few ways through them (in * out <= ``WAYS``): their
+      predecessors are linked to their successors, so each cycle through them
+      stays as a shorter one, in the end as a self loop.  Of adjacent such
+      nodes the one with the smallest hash of the round is taken.  While the
+      graph has more edges than twice the first ones, only nodes that leave no
+      more edges than they had are.
+
+    So the rounds grow with the logarithm of the depth on chains, ladders and
+    other narrow graphs, where removing sources and sinks alone needs a round
+    per level.  Contracted nodes have at most ``WAYS`` edges a side; joins with
+    hubs go through :func:`spread_join`.
     """
     e = edges.select("src", "dst").distinct()
     if order is not None:
@@ -298,42 +312,58 @@ def is_dag(edges: DataFrame, order: DataFrame | None = None) -> bool:
         if bad.limit(1).count() == 0:
             return True
     e = cut_lineage(e)
-    deg, rnd = None, 0
+    first = n = e.count()
+    rnd = 0
     try:
-        while True:
+        while n:
             if e.filter(F.col("src") == F.col("dst")).limit(1).count():
                 return False
-            if e.limit(1).count() == 0:
-                return True
-            outd = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o"))
-            ind = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i"))
-            deg = cut_lineage(outd.join(ind, "id", "full").fillna(0, ["o", "i"]), replaces=deg)
-            dead = deg.filter((F.col("o") == 0) | (F.col("i") == 0)).select("id")
-            if dead.limit(1).count() == 0:
+            ends = e.select(F.inline(F.array(
+                F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+                F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
+            few = F.col("o") * F.col("i") <= WAYS
+            if n > 2 * first:
+                few &= F.col("o") * F.col("i") <= F.col("o") + F.col("i")
+            inner = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")) \
+                .filter((F.col("o") > 0) & (F.col("i") > 0)).select("id", few.alias("few"))
+            hot = hot_nodes(e, "src", "dst", n)
+            rows = spread_join(e, inner.toDF("src", "few_src"), "src", hot)
+            live = cut_lineage(spread_join(rows, inner.toDF("dst", "few_dst"), "dst", hot), replaces=e)
+            release(hot)
+            e, before, n = live, n, live.count()
+            if n == before:  # neither source nor sink is left
                 return False
-            left = e.join(dead.withColumnRenamed("id", "src"), "src", "left_anti") \
-                    .join(dead.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
-            # random mate: contract chain node v (coin heads) whose predecessor
-            # is not a contracted node (coin tails or not a chain node)
             rnd += 1
-            heads = deg.filter((F.col("o") == 1) & (F.col("i") == 1) & (F.xxhash64(F.col("id"), F.lit(rnd)) % 2 == 0)) \
-                .select("id")
-            cut = cut_lineage(left, replaces=e)
-            into = cut.join(heads.withColumnRenamed("id", "dst"), "dst", "left_semi") \
-                      .join(heads.withColumnRenamed("id", "src"), "src", "left_anti")          # u -> v
-            outof = cut.join(heads.withColumnRenamed("id", "src"), "src", "left_semi")         # v -> w
-            bypass = into.select(F.col("src").alias("u"), F.col("dst").alias("v")) \
-                         .join(outof.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v")
-            # an end of the chain may be gone already: then v is left to the next round
-            gone = bypass.select(F.col("v").alias("id"))
-            e = cut_lineage(cut.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
-                               .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
-                               .unionByName(bypass.select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct(),
-                            replaces=cut)
+            e = _contract(live, rnd)
+            n = e.count()
+        return True
     finally:
         release(e)
-        if deg is not None:
-            release(deg)
+
+
+def _contract(e: DataFrame, rnd: int) -> DataFrame:
+    """Edges (src, dst, few_src, few_dst) without the nodes that win among
+    their neighbours with few ways; their predecessors are linked to their
+    successors."""
+    def draw(c):
+        return F.struct(F.xxhash64(F.col(c), F.lit(rnd)), F.col(c))
+    both = F.col("few_src") & F.col("few_dst")
+    asked = e.select(F.inline(F.array(
+        F.struct(F.col("src").alias("id"), F.col("few_src").alias("few"), (both & (draw("src") > draw("dst"))).alias("lost")),
+        F.struct(F.col("dst").alias("id"), F.col("few_dst").alias("few"), (both & (draw("dst") > draw("src"))).alias("lost")))))
+    won = asked.filter("few").groupBy("id").agg(F.max("lost").alias("lost")).filter(~F.col("lost")).select("id")
+
+    def marked(rows, end):  # only nodes with few ways can win: a key has at most WAYS rows
+        few = rows.filter(f"few_{end}").join(won.select(F.col("id").alias(end), F.lit(True).alias(f"won_{end}")), end, "left")
+        return few.unionByName(rows.filter(f"NOT few_{end}").withColumn(f"won_{end}", F.lit(None).cast("boolean")))
+    rows = cut_lineage(marked(marked(e, "src"), "dst")
+                       .select("src", "dst", F.coalesce("won_src", F.lit(False)).alias("won_src"),
+                               F.coalesce("won_dst", F.lit(False)).alias("won_dst")), replaces=e)
+    into = rows.filter("won_dst").select(F.col("src").alias("a"), F.col("dst").alias("via"))
+    onto = rows.filter("won_src").select(F.col("src").alias("via"), F.col("dst").alias("b"))
+    through = into.join(onto, "via").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return cut_lineage(rows.filter("NOT won_src AND NOT won_dst").select("src", "dst").unionByName(through).distinct(),
+                       replaces=rows)
 
 
 # G18

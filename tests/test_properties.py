@@ -2,6 +2,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -207,7 +208,6 @@ def test_dense_ids_of_long_texts(spark):
 
 def test_components_around_hubs(spark):
     """Hubs above and below the cut for hot nodes, at both ends of the ids."""
-    import random
     rnd = random.Random(5)
     edges = [(100000, i) for i in range(1, 1200)] + [(5000, i) for i in range(5001, 6300)]
     edges += [(rnd.randrange(20000, 24000), rnd.randrange(20000, 24000)) for _ in range(2500)]
@@ -237,3 +237,37 @@ def test_spread_join_moves_no_hot_rows(spark):
         assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.join(table, "u", how).collect()))
     some = table.filter("u % 2 = 1").select("u")
     assert G.spread_join(rows, some, "u", hot, "left_semi").count() == rows.join(some, "u", "left_semi").count()
+
+
+def test_is_dag_on_a_deep_ladder(spark, monkeypatch):
+    """Two nodes a level, all linked to the next level: rounds do not grow with the depth."""
+    rounds = []
+    contract = G._contract
+    monkeypatch.setattr(G, "_contract", lambda e, r: rounds.append(r) or contract(e, r))
+    levels = 120
+    ladder = [(2 * i + a, 2 * i + 2 + b) for i in range(levels) for a in (0, 1) for b in (0, 1)]
+    assert G.is_dag(spark.createDataFrame(ladder, "src long, dst long"))
+    assert len(rounds) <= 30
+    assert not G.is_dag(spark.createDataFrame(ladder + [(2 * levels + 1, 5)], "src long, dst long"))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_is_dag_against_search(spark, seed):
+    rnd = random.Random(seed)
+    n = rnd.randrange(5, 40)
+    pairs = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randrange(4, 2 * n))]
+    edges = [(min(p), max(p)) for p in pairs if p[0] != p[1]]
+    if seed % 2:
+        a, b = rnd.choice(edges)
+        edges.append((b, a))
+
+    def search():
+        left = set(edges)
+        while left:
+            heads, tails = {a for a, _ in left}, {b for _, b in left}
+            rest = {(a, b) for a, b in left if a in tails and b in heads}
+            if rest == left:
+                return False
+            left = rest
+        return True
+    assert G.is_dag(spark.createDataFrame(edges, "src long, dst long")) == search()
