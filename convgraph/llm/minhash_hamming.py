@@ -47,6 +47,8 @@ CHUNK = 5
 BLOCK = 512
 #: Shingles of a block on average (64 MB), where its texts are long.
 BLOCK_SHINGLES = 1 << 23
+#: Bytes of text whose shingles a task makes at a time, one text at least.
+SLICE = 500_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -90,7 +92,7 @@ def signatures(rows: DataFrame, chunks: int) -> DataFrame:
         import hashlib
         import pyarrow as pa
         for batch in batches:
-            for lo, hi, data, offs in text_slices(batch):
+            for lo, hi, data, offs in text_slices(batch, slice_bytes=SLICE):
                 sets = shingle_sets(data, offs)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()),
@@ -106,7 +108,7 @@ def set_rows(rows: DataFrame, chunks: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            for lo, hi, data, offs in text_slices(batch):
+            for lo, hi, data, offs in text_slices(batch, slice_bytes=SLICE):
                 sets = shingle_sets(data, offs)
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
