@@ -226,6 +226,26 @@ def test_components_around_hubs(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_components_by_contraction_write_little(spark, monkeypatch):
+    """Rounds above SMALL edges shrink, so all of them write a few times the edges."""
+    rnd, written = random.Random(11), []
+    monkeypatch.setattr(G, "SMALL", 20)
+    cut = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df, **k: (lambda out: (written.append(out.count()), out)[1])(cut(df, **k)))
+    edges = [(i, i + 1) for i in range(3000)] + [(10000, 10000 + i) for i in range(1, 1500)]
+    edges += [(rnd.randrange(20000, 21000), rnd.randrange(20000, 21000)) for _ in range(900)] + [(-5, 30000), (30001, 30001)]
+    nodes = sorted({x for e in edges for x in e} | {40000})
+    got = {r["id"]: r["root"] for r in G.connected_components(
+        spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(x,) for x in nodes], "id long")).collect()}
+    by_root = {}
+    for n, root in got.items():
+        by_root.setdefault(root, set()).add(n)
+    assert all(root == min(members) for root, members in by_root.items()) and set(got) == set(nodes)
+    assert {got[x] for x in range(3001)} == {0} and {got[10000 + i] for i in range(1500)} == {10000} and got[30000] == -5
+    assert all(got[a] == got[b] for a, b in edges) and len({got[x] for x in (30001, 40000)}) == 2
+    assert sum(written) < 15 * len(edges)
+
+
 def test_spread_join_moves_no_hot_rows(spark):
     rows = spark.range(0, 5000).selectExpr("if(id < 3000, 7, id) AS u", "id AS w")
     edges = rows.selectExpr("u", "w AS v")
