@@ -134,3 +134,39 @@ def test_n_hop_from_given_starts(spark):
     for r in G.n_hop(chain, 2, starts).collect():
         got.setdefault(r.start, set()).add(r.node)
     assert got == {0: {0, 1, 2}, 5: {3, 4, 5, 6, 7}}
+
+
+def test_emoji_classes_are_not_tried_on_ascii(spark):
+    """Long ASCII stretches cost no more than a small class does."""
+    import time
+    from convgraph.functions import text as X
+    df = spark.createDataFrame([("lorem ipsum, " * 20000 + "\U0001F44B\U0001F3FD ok",)] * 8, "t string").cache()
+    assert df.count() == 8
+
+    def seconds(c):
+        best = []
+        for _ in range(3):
+            t = time.perf_counter()
+            df.select(F.sum(F.length(F.array_join(c, "|"))), F.max(F.array_join(c, "|"))).collect()
+            best.append(time.perf_counter() - t)
+        return min(best)
+    plain = seconds(F.regexp_extract_all("t", F.lit(r"([\x{1F440}-\x{1F450}])"), 1))
+    assert seconds(X.extract_emojis("t")) < 4 * plain + 0.1
+    assert df.select(X.extract_emojis("t").alias("e")).first().e == ["\U0001F44B\U0001F3FD"]
+
+
+def test_clean_steps_equal_the_plain_regexes():
+    import html
+    import random
+    import re
+    import unicodedata
+    from convgraph.functions import text as X
+    rnd = random.Random(3)
+    letters = "ab &é\u0301\u0323\u2019\u201c\x1c\x85\u3000\u212b\uac00\U0001F600\u00bd\ufb01 \t&amp;"
+
+    def plain(s):
+        s = re.sub(r"\s+$", "", re.sub(r"\s+", " ", html.unescape(s))).translate(str.maketrans(X.QUOTES))
+        return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    for _ in range(2000):
+        s = "".join(rnd.choice(letters) for _ in range(rnd.randrange(12)))
+        assert X._x4_to_x8(s) == plain(s)
