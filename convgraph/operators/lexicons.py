@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from convgraph.session import cut_lineage
+
 #: A word is hot from one token in this many on; bounds the broadcast rows.
 HOT_SHARE = 10_000
 
@@ -37,11 +39,12 @@ def hot_words(tokens: DataFrame, word: str = "word", share: int = HOT_SHARE) ->
     return counts.crossJoin(F.broadcast(total)).where(F.col("_n") * share >= F.col("_total")).select(word)
 
 
-def lookup(tokens: DataFrame, lexicon: DataFrame, word: str = "word", share: int = HOT_SHARE) -> DataFrame:
+def lookup(tokens: DataFrame, lexicon: DataFrame, word: str = "word", share: int = HOT_SHARE,
+           hot: DataFrame | None = None) -> DataFrame:
     """The tokens that are in the lexicon, with its columns.  ``lexicon`` has
-    one row per word."""
+    one row per word.  ``hot``: the hot words, if they are at hand."""
     # at most ``share`` rows
-    hot = hot_words(tokens, word, share)
+    hot = hot_words(tokens, word, share) if hot is None else hot
     known = hot.join(lexicon.withColumn("_in", F.lit(True)), word, "left").withColumn("_hot", F.lit(True))
     marked = tokens.where(F.col(word).isNotNull()).join(F.broadcast(known), word, "left")
     names = [c for c in lexicon.columns if c != word]
@@ -65,11 +68,14 @@ def lexicon_means(df: DataFrame, id_col: str, words: Column, lexicon: DataFrame,
 
 # ---------------------------------------------------------------- A31
 
+#: What is neither letter nor digit at the start or the end of a word.
+_EDGES = r"(?<!\S)[^\p{L}\p{N}\s]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}\s]++(?!\S)"
+
+
 def _tokens(text: Column) -> Column:
     """Words between white space without what is not a letter or digit at their
-    ends; what has neither is no word."""
-    bare = F.transform(F.split(text, r"[\s]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(bare, lambda w: w != "")
+    ends; what has neither is no word.  The ends go in one pass over the text."""
+    return F.filter(F.split(F.regexp_replace(text, _EDGES, ""), r"\s+"), lambda w: w != "")
 
 
 def _once(value: Column, of) -> Column:
@@ -84,7 +90,7 @@ def modifiers(words: Column) -> Column:
     def of_words(ws):
         return F.struct(
             F.transform(ws, F.lower).alias("lower"),
-            F.transform(ws, lambda w: w.rlike(r"\p{Lu}") & (w == F.upper(w))).alias("capitals"))
+            F.transform(ws, lambda w: (w == F.upper(w)) & w.rlike(r"\p{Lu}")).alias("capitals"))
 
     def of_flags(x):
         n_capitals = F.size(F.filter(x["capitals"], lambda c: c))
@@ -121,8 +127,10 @@ def rule_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
     with map-side sums.  What a row has by itself joins in as a row of the union."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("_id"), text.alias("_text"), _tokens(text).alias("_words"))
-    marked = rows.select("_id", F.inline(modifiers(F.col("_words"))))
-    found = lookup(marked, lexicon.select("word", F.col(score).cast("double").alias("_score")), "word", share)
+    # written once: the counts, the hot words and the others read it
+    marked = cut_lineage(rows.select("_id", F.inline(modifiers(F.col("_words")))).select("_id", "word", "add", "times"))
+    hot = cut_lineage(hot_words(marked, "word", share))
+    found = lookup(marked, lexicon.select("word", F.col(score).cast("double").alias("_score")), "word", share, hot)
     value = (F.col("_score") + F.signum("_score") * F.col("add")) * F.col("times")
     zero = F.lit(0.0)
 

@@ -77,3 +77,12 @@ def test_emoji_grammar(spark, text, emojis):
     assert df.select(X.extract_emojis("t")).head()[0] == emojis
     kept = df.select(X.keep_ascii_and_emoji("t")).head()[0]
     assert text is None or kept == "".join(c for c in text if c.isascii() or c not in "☆✓🂡€")
+
+
+def test_word_ends_in_one_pass(spark):
+    texts = ["--a-- b", "a--b ... --", " 'it's' (x)! ,", "", "é«à» \u2028z\u2028", "...", "-1- +2+\n\t¿q?", "a" + "-" * 500 + "b"]
+    old = F.filter(F.transform(F.split("t", r"[\s]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert all(r.a == r.b for r in df.select(LX._tokens(F.col("t")).alias("a"), old.alias("b")).collect())
+    plan = df.select(LX._tokens(F.col("t")).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan  # no expression of its own for every word
