@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convgraph.operators.relations import exact_percentiles, global_positions, global_running_sum
+from convgraph.operators.relations import exact_percentiles, global_positions, global_running_sum, join_per_group
 from convgraph.session import cut_lineage, pickle_by_value, release
 
 #: Step and terms of the trapezoid sum for erfc.
@@ -124,7 +124,7 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean, sample variance, central moments m2..m4 per group (two
     passes: mean first, then centred powers, for stable sums)."""
     mean = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    c = df.join(mean, group).withColumn("_d", F.col(value) - F.col("mean"))
+    c = join_per_group(df, mean, group, "n").withColumn("_d", F.col(value) - F.col("mean"))
     m = c.groupBy(group, "n", "mean").agg((F.sum(F.col("_d") ** 2)).alias("_s2"),
                                           (F.sum(F.col("_d") ** 3)).alias("_s3"),
                                           (F.sum(F.col("_d") ** 4)).alias("_s4"))
@@ -149,10 +149,12 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     freedom; W is NULL for one group or where all distances are equal.  The
     exact median comes from distributed order statistics."""
     meds = exact_percentiles(df, value, [0.5], group).select(group, F.col(value).alias("_med"))
-    z = df.join(meds, group).select(group, F.abs(F.col(value) - F.col("_med")).alias("_z"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+    z = join_per_group(df, cut_lineage(meds.join(sizes, group)), group, "_rows") \
+        .select(group, F.abs(F.col(value) - F.col("_med")).alias("_z"))
     zi = z.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("_z").alias("_zi"))
     zall = z.agg(F.avg("_z").alias("_zbar"), F.count(F.lit(1)).alias("_total"))
-    within = z.join(zi, group).agg(F.sum((F.col("_z") - F.col("_zi")) ** 2).alias("_w"))
+    within = join_per_group(z, zi, group, "_n").agg(F.sum((F.col("_z") - F.col("_zi")) ** 2).alias("_w"))
     between = zi.crossJoin(zall).agg(F.sum(F.col("_n") * (F.col("_zi") - F.col("_zbar")) ** 2).alias("_b"),
                                      F.count(F.lit(1)).alias("_k"), F.first("_total").alias("_total"))
     r = between.crossJoin(within)

@@ -291,3 +291,20 @@ def test_is_dag_against_search(spark, seed):
             left = rest
         return True
     assert G.is_dag(spark.createDataFrame(edges, "src long, dst long")) == search()
+
+
+def test_join_per_group_keeps_large_groups_apart(spark, monkeypatch):
+    monkeypatch.setattr(R, "LARGEST", 2)
+    rows = spark.range(0, 4000).selectExpr("CASE WHEN id < 3000 THEN id % 2 WHEN id < 3010 THEN NULL ELSE id % 50 END AS g", "id AS v")
+    per = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    out = R.join_per_group(rows.repartition(16), per, "g", "n")
+    key = lambda d: sorted(tuple(r) for r in d.select("g", "v", "n").collect())
+    assert key(out) == key(rows.join(per, "g"))
+    held = out.filter("g < 2").groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert held < 1000  # 3040 rows in two groups
+
+
+def test_invalidated_rows_may_stay_equal(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a")], "k int, t string")
+    assert R.invalidate_when(rows, F.lit(True), ["k"], distinct=False).count() == 2
+    assert R.invalidate_when(rows, F.lit(True), ["k"]).count() == 1
