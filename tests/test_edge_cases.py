@@ -170,3 +170,19 @@ def test_clean_steps_equal_the_plain_regexes():
     for _ in range(2000):
         s = "".join(rnd.choice(letters) for _ in range(rnd.randrange(12)))
         assert X._x4_to_x8(s) == plain(s)
+
+
+def test_quality_from_the_neighbourhood(spark, rings):
+    """One pass over the edges gives the modularity of a labelling, self loops included."""
+    adj = rings.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(rings.select("dst", "src")) \
+        .withColumn("w", F.lit(1.0)).union(spark.createDataFrame([(0, 0, 6.0), (11, 11, 2.0)], "a long, b long, w double"))
+    lab = adj.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.floor(F.col("node") / 20))
+    rows, node = adj.collect(), {r.node: (r.c, r.k) for r in lab.collect()}
+    m2 = sum(r.w for r in rows)
+    inner = sum(r.w for r in rows if node[r.a][0] == node[r.b][0])
+    tot = {}
+    for c, k in node.values():
+        tot[c] = tot.get(c, 0.0) + k
+    want = inner / m2 - sum(t * t for t in tot.values()) / m2 ** 2
+    assert C._quality_of(lab, C._neighbourhood(lab, adj), 1.0) == pytest.approx(want)
+    assert C._quality(lab, adj, 1.0) == pytest.approx(want)
