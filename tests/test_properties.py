@@ -302,3 +302,44 @@ def test_join_per_group_keeps_large_groups_apart(spark, monkeypatch):
     assert key(out) == key(rows.join(per, "g"))
     held = out.filter("g < 2").groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
     assert held < 1000  # 3040 rows in two groups
+
+
+def _labels(df):
+    return {r["id"]: r["community"] for r in df.collect()}
+
+
+def test_communities_over_parts_and_in_one_task_agree(spark, monkeypatch):
+    """Rounds over parts of the graph give what the rounds in one task give."""
+    from convgraph.operators import community as C
+    rnd = random.Random(3)
+    edges = [(b * 10 + rnd.randrange(10), b * 10 + rnd.randrange(10)) for b in range(3) for _ in range(40)] + [(0, 10), (10, 20), (900, 901)]
+    e = spark.createDataFrame(edges, "src long, dst long").cache()
+    runs = (lambda: C.louvain(e), lambda: C.greedy_modularity(e, 1.0, 2), lambda: C.fluid_communities(e, 3))
+    at_once = [_labels(run()) for run in runs]
+    monkeypatch.setattr(C, "FEW", 40)
+    monkeypatch.setattr(C, "PART", 60)
+    assert [_labels(run()) for run in runs] == at_once
+    assert all(len(x) == 32 for x in at_once) and at_once[2][900] is None
+
+
+def test_small_communities_write_few_tables(spark, monkeypatch):
+    """A graph of bounded size goes through all rounds in one task: the jobs do
+    not grow with the rounds."""
+    from convgraph.operators import community as C
+    cuts, cut = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda *a, **k: cuts.append(1) or cut(*a, **k))
+    edges = [(10 * r + i, 10 * r + j) for r in range(4) for i in range(5) for j in range(i)] + [(0, 10), (10, 20), (20, 30)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    for run in (lambda: C.louvain(e), lambda: C.greedy_modularity(e), lambda: C.fluid_communities(e, 4)):
+        cuts.clear()
+        assert len(_labels(run())) == 20 and len(cuts) <= 3
+
+
+def test_draws_in_tasks_are_those_of_spark(spark):
+    import numpy as np
+    from convgraph.operators.community_arrays import xxhash64
+    rows = [(5, 7), (-3, 2 ** 40), (10 ** 12, -1)]
+    got = spark.createDataFrame(rows, "a long, b long").select(
+        F.xxhash64("a"), F.xxhash64("a", "b"), F.xxhash64("a", F.lit(3))).collect()
+    a, b = (np.array(x) for x in zip(*rows))
+    assert [tuple(r) for r in got] == list(zip(*(x.tolist() for x in (xxhash64(a), xxhash64(a, b), xxhash64(a, np.int32(3))))))
