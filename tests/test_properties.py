@@ -343,3 +343,42 @@ def test_draws_in_tasks_are_those_of_spark(spark):
         F.xxhash64("a"), F.xxhash64("a", "b"), F.xxhash64("a", F.lit(3))).collect()
     a, b = (np.array(x) for x in zip(*rows))
     assert [tuple(r) for r in got] == list(zip(*(x.tolist() for x in (xxhash64(a), xxhash64(a, b), xxhash64(a, np.int32(3))))))
+
+
+def test_disconnect_of_ids_with_several_communities(spark):
+    """Every community an id comes with counts, as does every size at a tie."""
+    import hashlib
+    rnd = random.Random(8)
+    edges = sorted({(rnd.randrange(0, 30), rnd.randrange(0, 30)) for _ in range(45)})
+    comm = [(i, rnd.randrange(0, 4)) for i in range(30)] + [(i, rnd.randrange(0, 4)) for i in range(0, 30, 3)] + [(31, None)]
+    size, of, deg = defaultdict(int), defaultdict(list), defaultdict(int)
+    for i, c in comm:
+        size[c] += 1
+        of[i].append(c)
+    for a, b in edges:
+        deg[a] += 1
+        deg[b] += 1
+    def mark(x):
+        return hashlib.md5(f"42:{x}".encode()).hexdigest()
+    want = set()
+    for a, b in edges:
+        if not any(x != y for x in of[a] for y in of[b]):
+            continue
+        for x in of[a]:
+            for y in of[b]:
+                if deg[a] != deg[b]:
+                    want.add(a if deg[a] < deg[b] else b)
+                elif size[x] != size[y]:
+                    want.add(a if size[x] > size[y] else b)
+                else:
+                    want.add(a if mark(a) < mark(b) else b)
+    got = G.disconnect(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(comm, "id long, community long"), 42)
+    assert {r["id"] for r in got.collect()} == want
+
+
+def test_cut_components_reads_the_order_lines_once(spark, monkeypatch):
+    """The edges are made once, not by every step that reads them."""
+    from convgraph.plans import q_graph as Q, standins as S
+    made, build = [], S.e2_edges
+    monkeypatch.setattr(S, "e2_edges", lambda *a: made.append(1) or build(*a))
+    assert Q.cut_components(spark, "/root/testdata/sf0.001").count() and len(made) == 1
